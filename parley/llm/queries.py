@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.common import table
 from parley.llm.language_id import language_id
+from parley.llm.pii import pii
+from parley.llm.quality_classifier import quality
 from parley.llm.sentencepiece_codec import encode_decode
+from parley.llm.toxicity import toxicity
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -23,14 +26,29 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_sentencepiece": op4_sentencepiece,
+        "op7_pii": op7_pii,
+        "op8_toxicity": op8_toxicity,
     }
 
 
