@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parley.llm.common import table
 from parley.llm.language_id import language_id
 from parley.llm import license_scan as licences
+from parley.llm import warc
 from parley.llm.pii import pii
 from parley.llm.quality_classifier import quality
 from parley.llm.quality_rules import quality_rules
@@ -40,6 +41,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_warc": op5_warc,
         "op7_pii": op7_pii,
         "op8_toxicity": op8_toxicity,
         "op9_quality_rules": op9_quality_rules,
@@ -67,4 +73,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licences.oracle_sql(),
+        "op5_warc": warc.ORACLE_SQL,
     }
