@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.common import table
+from parley.llm import decontamination as clean
 from parley.llm.language_id import language_id
 from parley.llm import license_scan as licences
 from parley.llm import warc
@@ -45,6 +46,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_warc": op5_warc,
+        "op6_decontamination": op6_decontamination,
         "op7_pii": op7_pii,
         "op8_toxicity": op8_toxicity,
         "op9_quality_rules": op9_quality_rules,
@@ -74,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licences.oracle_sql(),
         "op5_warc": warc.ORACLE_SQL,
+        "op6_decontamination": clean.ORACLE_SQL,
     }
