@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.common import table
 from parley.llm import decontamination as clean
+from parley.llm import ngram_join
 from parley.llm.language_id import language_id
 from parley.llm import license_scan as licences
 from parley.llm import warc
@@ -62,6 +63,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pii": op7_pii,
         "op8_toxicity": op8_toxicity,
         "op9_quality_rules": op9_quality_rules,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
@@ -81,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": licences.oracle_sql(),
         "op5_warc": warc.ORACLE_SQL,
         "op6_decontamination": clean.ORACLE_SQL,
+        "op10_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     }
