@@ -159,6 +159,20 @@ def score(stats: DataFrame, model: QualityModel) -> DataFrame:
     return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that score ``threshold`` or more; texts are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for part in chunks(batch):
+                yield part.filter(pa.array(m.score(statistics(filled(part.column(place))).astype(np.float32).astype(float)) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, held: Column | None = None) -> DataFrame:
     """Contract columns. ``held`` marks the rows whose labels are not learned from."""
     held = crc_mod(F.col("doc_id"), 5) == 0 if held is None else held
