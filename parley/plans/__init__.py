@@ -1 +1,6 @@
+"""Registered queries over the given tables."""
 
+from parley.plans import analytics, archive, relations
+from parley.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "analytics", "archive", "relations"]
