@@ -49,6 +49,8 @@ class ToxicityModel:
     offset: float = -math.inf
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
+        if math.isinf(self.offset):  # labels of one kind only
+            return np.full(len(evidence), float(self.offset > 0))
         return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * evidence, -700, 700)))
 
 
