@@ -54,8 +54,11 @@ def size_bounds(n: int, threshold: int = THRESHOLD) -> tuple[int, int]:
     return math.ceil(n * threshold / (200 - threshold)), n * (200 - threshold) // threshold
 
 
-def bigrams(unit: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.translate(unit, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
+def words_of(unit: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.translate(unit, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
+
+
+def bigrams(words: Column) -> Column:
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     # zip_with pads the shorter side with null, and concat_ws leaves the last word alone.
     return F.array_distinct(F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
@@ -71,7 +74,10 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("n"), F.lit(a).alias("least"), F.lit(b).alias("most")) for name, grams, a, b in known])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \\t\\r]*\n"), F.array(text)))
-    rows = docs.select("doc_id", units.alias("units")).select("doc_id", F.transform("units", bigrams).alias("units"))
+    # More distinct words than a template allows bigrams: the bigrams need not be made.
+    fits = lambda w: (F.size(w) <= most + 1) | (F.size(F.array_distinct(w)) <= most + 1)
+    rows = docs.select("doc_id", F.filter(F.transform(units, words_of), lambda w: F.size(w) > least).alias("units"))
+    rows = rows.select("doc_id", F.transform(F.filter("units", fits), bigrams).alias("units"))
     rows = rows.select("doc_id", F.filter("units", lambda b: F.size(b).between(least, most) & F.arrays_overlap(b, every)).alias("units"))
 
     def matches(b: Column) -> Column:
