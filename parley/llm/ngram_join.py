@@ -5,21 +5,23 @@ Documents with equal sets are one class and searched once. Two global orders of
 are used, by hash ascending and descending, each refined by frequency:
 
 * Under an order, the extended prefix of a set of n holds its first p + l - 1 shingles, with
-  p = n - ceil(t n) + 1 and l = max(1, ceil(0.06 n)). Two sets with Jaccard >= t share their
-  first min(l) common shingles inside both extended prefixes.
+  p = n - ceil(t n) + 1 and l a share of n. Two sets with Jaccard >= t share their first min(l)
+  common shingles inside both extended prefixes.
 * Frequencies of prefix shingles are counted over all sets. A set with fewer than l(ceil(t n))
   prefix shingles that another set has too can have no partner and leaves; of the others the
   l(ceil(t n)) - 1 most frequent ones are dropped, and every pair still shares one that is left.
   So a passage that many documents hold never is what pairs are made of, unless it is nearly all
   that they hold.
-* What is left after the first order is small; both orders are then applied to it. A candidate
+* What is left after the first order is small; both orders are then applied to it with a longer
+  prefix, half of a set from either end. A candidate
   pair must share a kept shingle under both orders, and only then are the full sets compared.
 
-Pairs are never expanded within a group. First each class is compared with one pivot (of the
-smallest ids in its shingle groups the one met most often); classes that pass hang below it.
-Groups whose members lie in one tree need no more; from the others come the pairs between
-different trees. Components of the verified links are found by minimum labels with pointer
-jumping, staged in the shared folder.
+Pairs are never expanded within a group. First each class is compared with one pivot, a row of
+common shingles in its groups; classes that pass form trees. Groups whose members lie in one
+tree need no more. From the others come pairs between different trees, only of rows outside a
+group's largest tree, and only those whose 512-bit maps allow the similarity. Components of
+the verified links are found by minimum labels with pointer jumping, staged in the shared
+folder.
 
 Defined cases: a null text or one without words has an empty set (n_shingles 0) and is linked
 with nothing; its component is its own id. Rows that share a doc_id are searched by their own
@@ -45,6 +47,10 @@ SHINGLE, PERCENT = 5, 80
 BROADCAST_ROWS = 500_000
 BUCKET_TOKENS = 150_000
 EMIT_TOKENS = 1_000_000
+BITMAP_LONGS, STAR_ROUNDS = 8, 1
+#: Per cent of a set that partners share within their prefixes: little for all sets, and for those
+#: left so much that the prefixes of both orders are the halves of a set.
+FIRST, HALVES = 6, 30
 MASK = np.uint64((1 << 48) - 1)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
 BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -106,17 +112,17 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def common_prefix(n: int) -> int:
-    return max(1, -(-6 * n // 100))
+def common_prefix(n: int, share: int) -> int:
+    return max(1, -(-share * n // 100))
 
 
-def extended_prefix(n: int, percent: int) -> int:
-    return n - required(n, percent) + common_prefix(n)
+def extended_prefix(n: int, percent: int, share: int) -> int:
+    return n - required(n, percent) + common_prefix(n, share)
 
 
-def least_shared(n: Column, percent: int) -> Column:
+def least_shared(n: Column, percent: int, share: int) -> Column:
     """common_prefix of the smallest partner of a set of n."""
-    return F.greatest(F.lit(1), F.ceil(6 * F.ceil(percent * n / 100) / 100)).cast("int")
+    return F.greatest(F.lit(1), F.ceil(share * F.ceil(percent * n / 100) / 100)).cast("int")
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
@@ -134,10 +140,12 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, sig binary, tokens binary")
 
 
-def prefix_tokens(sets: DataFrame, percent: int, descending: bool, total: int) -> DataFrame:
-    """id, kept: for each set that can have a partner its kept prefix shingles under one order.
-    ``sets``: id, n, sig, tokens. Sets of one task with equal sig count once."""
-    buckets = max(8, math.ceil(0.27 * total / BUCKET_TOKENS))
+def prefix_tokens(sets: DataFrame, percent: int, share: int, descending: bool) -> DataFrame:
+    """id, kept, weight: for each set that can have a partner its kept prefix shingles under one order,
+    and how common its prefix shingles are (mean logarithm of their frequencies). ``sets``: id, n,
+    sig, tokens. Sets of one task with equal sig count once."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, math.ceil((100 - percent + share) / 100 * total / BUCKET_TOKENS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -159,7 +167,7 @@ def prefix_tokens(sets: DataFrame, percent: int, descending: bool, total: int) -
                 if len(seen) < 1_000_000:
                     seen.add(sig)
                 own = unpacked(raw)
-                n = extended_prefix(len(own), percent)
+                n = extended_prefix(len(own), percent, share)
                 own = own[-n:] if descending else own[:n]
                 tokens.append(own)
                 ids.append(np.full(len(own), key, np.int64))
@@ -180,8 +188,12 @@ def prefix_tokens(sets: DataFrame, percent: int, descending: bool, total: int) -
 
     shared = sets.select("id", "sig", "tokens").mapInArrow(emit, "bucket int, tokens binary, ids binary").groupBy("bucket").applyInArrow(count, "id long, token long, df int")
     lists = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    keep = F.size("t") - least_shared(F.col("n"), percent) + 1
-    return lists.join(sets.select("id", "n"), "id").withColumn("keep", keep).where("keep > 0").select("id", F.transform(F.slice("t", F.lit(1), F.col("keep")), lambda x: x["token"]).alias("kept"))
+    keep = F.size("t") - least_shared(F.col("n"), percent, share) + 1
+    return lists.join(sets.select("id", "n"), "id").withColumn("keep", keep).where("keep > 0").select(
+        "id",
+        F.transform(F.slice("t", F.lit(1), F.col("keep")), lambda x: x["token"]).alias("kept"),
+        (F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log(x["df"].cast("double"))) / F.col("n")).alias("weight"),
+    )
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -205,17 +217,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """id, root of a forest given by id, parent with parent < id (roots have no row)."""
-    now = staged(parents.select("id", F.col("parent").alias("root")), "roots")
-    while True:
-        up = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        after = staged(now.join(_small(up), "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
-        now = after.select("id", "root")
-        if not after.where("moved").limit(1).count():
-            return now
-
-
 def components(edges: DataFrame) -> DataFrame:
     """id, root: the smallest id that edges (a, b) reach from each id they name."""
     both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -232,43 +233,74 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """id, n, b0 .. b7: 512 bits that a set's shingles fall on."""
+    names = [f"b{i}" for i in range(BITMAP_LONGS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.zeros((batch.num_rows, BITMAP_LONGS), np.uint64)
+            for i, raw in enumerate(batch.column(2).to_pylist()):
+                t = unpacked(raw)
+                np.bitwise_or.at(words[i], (t % np.uint64(64 * BITMAP_LONGS) >> np.uint64(6)).astype(np.int64), np.uint64(1) << (t & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in words.T.copy()]], names=["id", "n", *names])
+
+    return sets.select("id", "n", "tokens").mapInArrow(run, "id long, n long, " + ", ".join(f"{x} long" for x in names))
+
+
+def may_reach(percent: int) -> Column:
+    """Bitmap filter of rows with both sides' columns (the second one's with a y_): a bit that one
+    side lacks is a shingle that it lacks, which bounds the overlap from above."""
+    lacks = lambda a, b: F.expr(" + ".join(f"bit_count({a}b{i} & ~{b}b{i})" for i in range(BITMAP_LONGS)))
+    both = percent * (F.col("n") + F.col("y_n"))
+    return ((100 + percent) * (F.col("n") - lacks("", "y_")) >= both) & ((100 + percent) * (F.col("y_n") - lacks("y_", "")) >= both)
+
+
+def stars(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: verified links of rows (token, id, root, weight) with a pivot. The pivot of a shingle group
+    is its row with the most common shingles, which near copies differ least from; each row is
+    compared with the one pivot of another tree that it meets most often."""
+    pivots = tokens.groupBy("token").agg(F.max_by(F.struct("id", "root"), F.struct("weight", -F.col("id"))).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    met = tokens.join(pivots.select("token", "p"), "token").where("p.root <> root").groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("n"))
+    star = met.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
+    return verified(staged(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "pivots"), sets, percent)
+
+
 def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     """id, root of the distinct sets (id, n, sig, tokens) that are linked with another."""
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    first = staged(prefix_tokens(sets, percent, False, total), "order-1")
-    second = staged(prefix_tokens(sets, percent, True, total), "order-2")
+    first = staged(prefix_tokens(sets, percent, HALVES, False), "order-1")
+    sets = staged(sets.join(_small(first.select("id")), "id", "left_semi"), "order-1-sets")
+    second = staged(prefix_tokens(sets, percent, HALVES, True), "order-2")
     both = staged(first.join(second.select("id", F.col("kept").alias("kept2")), "id"), "both-orders")
-    tokens = both.select("id", F.explode("kept").alias("token"))
-    # Trees: each class below the pivot it meets most often.
-    pivots = tokens.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("token", "pivot")
-    met = tokens.join(pivots, "token").where("pivot < id").groupBy("id", "pivot").agg(F.count("*").alias("n"))
-    star = met.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    star = staged(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "pivots")
-    tree = staged(verified(star, sets, percent).select(F.col("a").alias("id"), F.col("b").alias("parent")), "trees")
-    rooted = roots(tree)
-    # Pairs between different trees that share a kept shingle under both orders.
-    place = both.select("id", "kept", "kept2").join(_small(rooted), "id", "left").join(sets.select("id", "n"), "id")
-    place = staged(place.select("id", "kept", "kept2", "n", F.coalesce("root", "id").alias("root")), "placed")
-    rows = place.select(F.explode("kept").alias("token"), "id", "root", "n")
-    open_groups = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    rows = staged(rows.join(open_groups, "token"), "open-groups")
-    other = rows.select("token", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"))
-    fits = (F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    pairs = rows.join(other, "token").where(fits).select(F.col("id").alias("a"), "b").distinct()
+    tokens = both.select("id", "weight", F.explode("kept").alias("token"))
+    links, rooted = None, None
+    for _ in range(STAR_ROUNDS):
+        now = tokens.withColumn("root", F.col("id")) if rooted is None else tokens.join(_small(rooted), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        found = staged(stars(now, sets, percent), "stars")
+        links = found if links is None else links.unionByName(found)
+        rooted = components(links)
+    # Pairs between different trees that share a kept shingle: rows outside the largest tree of a
+    # group against all of its rows.
+    place = both.select("id", "kept").join(_small(rooted), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = place.select("id", "root", F.explode("kept").alias("token"))
+    trees = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count("*").alias("trees")).where("trees > 1")
+    rows = rows.join(trees.select("token", "top"), "token").withColumn("inside", F.col("root") == F.col("top")).drop("top")
+    rows = staged(rows.join(bitmaps(sets), "id"), "open-groups")
+    other = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in rows.columns if c != "token"])
+    fits = (F.col("root") != F.col("y_root")) & (F.col("y_inside") | (F.col("id") < F.col("y_id"))) & (100 * F.least("n", "y_n") >= percent * F.greatest("n", "y_n")) & may_reach(percent)
+    pairs = rows.where("NOT inside").join(other, "token").where(fits).select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct()
     pairs = staged(pairs, "order-1-pairs")
-    orders = place.select("id", "kept2")
+    orders = both.select("id", "kept2")
     pairs = pairs.join(orders.withColumnsRenamed({"id": "a", "kept2": "k"}), "a").join(orders.withColumnsRenamed({"id": "b", "kept2": "l"}), "b").where(F.arrays_overlap("k", "l")).select("a", "b")
-    more = staged(verified(staged(pairs, "both-orders-pairs"), sets, percent), "links")
-    return components(more.select("a", "b").unionByName(tree.select(F.col("id").alias("a"), F.col("parent").alias("b"))))
+    return components(links.unionByName(verified(staged(pairs, "both-orders-pairs"), sets, percent)))
 
 
 def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Contract columns: doc_id, n_shingles, component_id."""
     every = staged(document_sets(docs), "sets")
     known = every.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
     nodes = known.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "tokens")
-    near = staged(prefix_tokens(nodes, percent, False, total).select("id"), "may-have-partners")
+    near = staged(prefix_tokens(nodes, percent, FIRST, False).select("id"), "may-have-partners")
     # Of equal sets among them one goes on, under the smallest doc_id of its class.
     classes = staged(known.groupBy("sig").agg(F.min("doc_id").alias("class_id")), "classes")
     chosen = nodes.select("id", "sig").join(_small(near), "id", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))

@@ -313,11 +313,12 @@ def test_prefix_bounds():
         b = [x for x in a if rng.random() < 0.93] + rng.sample(range(10_000, 20_000), rng.randint(0, 4))
         if not b or 100 * len(set(a) & set(b)) < 80 * len(set(a) | set(b)):
             continue
-        e = [set(sorted(s)[: ngram_join.extended_prefix(len(s), 80)]) for s in (a, b)]
-        least = min(ngram_join.common_prefix(len(a)), ngram_join.common_prefix(len(b)))
-        assert len(e[0] & e[1]) >= least
-        for s in (a, b):
-            assert ngram_join.common_prefix(ngram_join.required(len(s), 80)) <= least
+        for share in (ngram_join.FIRST, ngram_join.HALVES):
+            e = [set(sorted(s)[: ngram_join.extended_prefix(len(s), 80, share)]) for s in (a, b)]
+            least = min(ngram_join.common_prefix(len(s), share) for s in (a, b))
+            assert len(e[0] & e[1]) >= least
+            for s in (a, b):
+                assert ngram_join.common_prefix(ngram_join.required(len(s), 80), share) <= least
 
 
 # Pipeline
