@@ -3,9 +3,10 @@ shared folder, and Arrow text access in bounded chunks."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,14 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1_500_000
 
 
+#: Rows of an Arrow batch between the JVM and Python; texts of some KB each.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,14 +43,25 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/parley-{uuid.uuid4().hex}/{label}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again. It cuts the lineage:
     a lost executor costs the tasks at hand, not what came before."""
-    path = shared_path(df.sparkSession, label)
+    path = shared_path(df.sparkSession, label) if folder is None else f"{folder}/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``staged`` for tables that go when the block ends; what leaves it must be staged elsewhere."""
+    folder = shared_path(spark, "work")
+    try:
+        yield lambda df, label: staged(df, label, folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 

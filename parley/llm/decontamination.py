@@ -21,11 +21,13 @@ each. An empty table on either side gives no hit. Only doc_id, item_id and text
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from parley.llm.common import staged
+from parley.llm.common import staged, workspace
 
 WINDOW, KEYS = 10, 3
 BROADCAST_WINDOWS = 100_000
@@ -55,7 +57,8 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 class Index:
     """Windows of the test items, each with its rarest terms by their count in the documents."""
 
-    def __init__(self, docs: DataFrame, items: DataFrame, size: int = WINDOW, keys: int = KEYS):
+    def __init__(self, docs: DataFrame, items: DataFrame, staged: Callable[[DataFrame, str], DataFrame], size: int = WINDOW, keys: int = KEYS):
+        self.staged = staged
         windows = windows_of(items, size).withColumn("window", F.xxhash64("words"))
         self.windows = staged(windows, "test-windows")
         self.small = self.windows.count() <= BROADCAST_WINDOWS
@@ -76,7 +79,7 @@ class Index:
         """key, window, start (0-based): starts on which all keys of a window agree."""
         # One row a term with all its windows, so postings are not multiplied before they are stored.
         terms = self.keys.select("term").distinct()
-        stored = staged(postings(docs, self._sent(terms)), "postings")
+        stored = self.staged(postings(docs, self._sent(terms)), "postings")
         starts = stored.join(self._sent(self.keys), "term").select("key", "window", "offset", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
         need = self.keys.groupBy("window").agg(F.count("*").alias("need"))
         agreed = starts.groupBy("key", "window", "start").agg(F.size(F.collect_set("offset")).alias("n"))
@@ -85,9 +88,10 @@ class Index:
 
 def _found(docs: DataFrame, items: DataFrame, size: int, keys: int) -> DataFrame:
     """Every row of docs (key, doc_id, w: its words) with ``found``: its exact matches (start, n, items)."""
-    index = Index(docs, items, size, keys)
-    found = index.candidates(docs).join(index._sent(index.windows), "window").select("key", F.struct("start", "words", "items").alias("c"))
-    found = staged(found.groupBy("key").agg(F.collect_list("c").alias("found")), "candidates")
+    with workspace(docs.sparkSession) as stage:
+        index = Index(docs, items, stage, size, keys)
+        found = index.candidates(docs).join(index._sent(index.windows), "window").select("key", F.struct("start", "words", "items").alias("c"))
+        found = staged(found.groupBy("key").agg(F.collect_list("c").alias("found")), "candidates")
     if found.count() <= BROADCAST_WINDOWS:  # each bounded by the document's own length
         found = F.broadcast(found)
     rows = docs.join(found, "key", "left").select("key", "doc_id", words_of(F.col("text")).alias("w"), "found")

@@ -33,14 +33,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import chunks, filled, raw_text, staged
+from parley.llm.common import chunks, filled, raw_text, staged, workspace
 
 SHINGLE, PERCENT = 5, 80
 #: Links between fewer rows than this go to every task, more are joined by a shuffle.
@@ -51,6 +51,7 @@ BITMAP_LONGS, STAR_ROUNDS = 8, 1
 #: Per cent of a set that partners share within their prefixes: little for all sets, and for those
 #: left so much that the prefixes of both orders are the halves of a set.
 FIRST, HALVES = 6, 30
+Stage = Callable[[DataFrame, str], DataFrame]
 MASK = np.uint64((1 << 48) - 1)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
 BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -217,7 +218,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, staged: Stage) -> DataFrame:
     """id, root: the smallest id that edges (a, b) reach from each id they name."""
     both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")), "labels")
@@ -256,7 +257,7 @@ def may_reach(percent: int) -> Column:
     return ((100 + percent) * (F.col("n") - lacks("", "y_")) >= both) & ((100 + percent) * (F.col("y_n") - lacks("y_", "")) >= both)
 
 
-def stars(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def stars(tokens: DataFrame, sets: DataFrame, percent: int, staged: Stage) -> DataFrame:
     """a, b: verified links of rows (token, id, root, weight) with a pivot. The pivot of a shingle group
     is its row with the most common shingles, which near copies differ least from; each row is
     compared with the one pivot of another tree that it meets most often."""
@@ -266,7 +267,7 @@ def stars(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return verified(staged(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "pivots"), sets, percent)
 
 
-def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
+def linked_classes(sets: DataFrame, percent: int, staged: Stage) -> DataFrame:
     """id, root of the distinct sets (id, n, sig, tokens) that are linked with another."""
     first = staged(prefix_tokens(sets, percent, HALVES, False), "order-1")
     sets = staged(sets.join(_small(first.select("id")), "id", "left_semi"), "order-1-sets")
@@ -276,9 +277,9 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     links, rooted = None, None
     for _ in range(STAR_ROUNDS):
         now = tokens.withColumn("root", F.col("id")) if rooted is None else tokens.join(_small(rooted), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        found = staged(stars(now, sets, percent), "stars")
+        found = staged(stars(now, sets, percent, staged), "stars")
         links = found if links is None else links.unionByName(found)
-        rooted = components(links)
+        rooted = components(links, staged)
     # Pairs between different trees that share a kept shingle: rows outside the largest tree of a
     # group against all of its rows.
     place = both.select("id", "kept").join(_small(rooted), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -292,23 +293,26 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     pairs = staged(pairs, "order-1-pairs")
     orders = both.select("id", "kept2")
     pairs = pairs.join(orders.withColumnsRenamed({"id": "a", "kept2": "k"}), "a").join(orders.withColumnsRenamed({"id": "b", "kept2": "l"}), "b").where(F.arrays_overlap("k", "l")).select("a", "b")
-    return components(links.unionByName(verified(staged(pairs, "both-orders-pairs"), sets, percent)))
+    return components(links.unionByName(verified(staged(pairs, "both-orders-pairs"), sets, percent)), staged)
 
 
 def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Contract columns: doc_id, n_shingles, component_id."""
-    every = staged(document_sets(docs), "sets")
-    known = every.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = known.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "tokens")
-    near = staged(prefix_tokens(nodes, percent, FIRST, False).select("id"), "may-have-partners")
-    # Of equal sets among them one goes on, under the smallest doc_id of its class.
-    classes = staged(known.groupBy("sig").agg(F.min("doc_id").alias("class_id")), "classes")
-    chosen = nodes.select("id", "sig").join(_small(near), "id", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
-    chosen = staged(chosen.join(classes, "sig"), "chosen")
-    sets = nodes.join(_small(chosen.select("id", "class_id")), "id").select(F.col("class_id").alias("id"), "n", "sig", "tokens").dropDuplicates(["id"])
-    linked = linked_classes(staged(sets, "distinct-sets"), percent)
-    found = staged(classes.join(_small(staged(linked, "components")), F.col("class_id") == F.col("id"), "left").select("sig", F.coalesce("root", "class_id").alias("component")), "class-components")
-    return every.select("doc_id", "n_shingles", "sig").join(found, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    spark = docs.sparkSession
+    with workspace(spark) as stage:
+        every = stage(document_sets(docs), "sets")
+        known = every.where("sig IS NOT NULL AND doc_id IS NOT NULL")
+        nodes = known.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "tokens")
+        near = stage(prefix_tokens(nodes, percent, FIRST, False).select("id"), "may-have-partners")
+        # Of equal sets among them one goes on, under the smallest doc_id of its class.
+        classes = stage(known.groupBy("sig").agg(F.min("doc_id").alias("class_id")), "classes")
+        chosen = nodes.select("id", "sig").join(_small(near), "id", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
+        chosen = stage(chosen.join(classes, "sig"), "chosen")
+        sets = nodes.join(_small(chosen.select("id", "class_id")), "id").select(F.col("class_id").alias("id"), "n", "sig", "tokens").dropDuplicates(["id"])
+        linked = linked_classes(stage(sets, "distinct-sets"), percent, stage)
+        found = stage(classes.join(_small(stage(linked, "components")), F.col("class_id") == F.col("id"), "left").select("sig", F.coalesce("root", "class_id").alias("component")), "class-components")
+        out = every.select("doc_id", "n_shingles", "sig").join(found, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        return staged(out, "jaccard-components")
 
 
 ORACLE_SQL = """

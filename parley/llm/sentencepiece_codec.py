@@ -36,7 +36,7 @@ from parley.llm.common import chunks, filled
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LONG = 256
-CACHED = 400_000
+CACHED = 200_000
 NONE = np.int64(1 << 40)
 
 
