@@ -71,12 +71,12 @@ def dialogue_bundles(rows: DataFrame, window: int, span_us: int) -> DataFrame:
     def step(state: dict, row) -> dict:
         state["n"] += 1
         state["open"] = [b for b in state["open"] if state["n"] - b["n"] <= window and row.us - b["us"] <= span_us]
-        terms = set(row.terms)
-        home = next((b for b in reversed(state["open"]) if b["terms"] & terms and (b["object"] is None or row.object is None or b["object"] == row.object)), None)
+        terms, known = set(row.terms), None if row.object is None or row.object != row.object else row.object  # a null number arrives as NaN
+        home = next((b for b in reversed(state["open"]) if b["terms"] & terms and (b["object"] is None or known is None or b["object"] == known)), None)
         if home is None:
             home = {"id": row.row_id, "object": None}
             state["open"].append(home)
-        home.update(n=state["n"], us=row.us, terms=terms, object=home["object"] if row.object is None else row.object)
+        home.update(n=state["n"], us=row.us, terms=terms, object=home["object"] if known is None else known)
         return {"chat_id": row.chat_id, "row_id": row.row_id, "bundle": home["id"]}
 
     return scan(rows, "chat_id", ["us", "row_id"], step, "chat_id long, row_id long, bundle long", lambda: {"open": [], "n": 0})
