@@ -10,8 +10,8 @@ document, where the other words are compared in place, so what is returned are e
 matches. ``phrase_matches`` gives them as rows; ``proximity_matches`` gives test terms that
 occur in order within a span.
 
-Test windows are broadcast up to BROADCAST_WINDOWS of them and joined by a shuffle beyond. The
-same holds for candidates.
+Test windows are broadcast up to BROADCAST_WINDOWS of them and joined by a shuffle beyond,
+candidates up to BROADCAST_CANDIDATES.
 
 Words are runs of a-z (A-Z lower-cased), 0-9 and characters over U+007F. Defined cases: a null
 text has no words, hits or items; an item without words has no window; equal items all count.
@@ -31,6 +31,8 @@ from parley.llm.common import staged, workspace
 
 WINDOW, KEYS = 10, 3
 BROADCAST_WINDOWS = 100_000
+#: Candidates with their words and items, some 230 bytes each: 70 MB at most.
+BROADCAST_CANDIDATES = 300_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -92,7 +94,7 @@ def _found(docs: DataFrame, items: DataFrame, size: int, keys: int) -> DataFrame
         index = Index(docs, items, stage, size, keys)
         found = index.candidates(docs).join(index._sent(index.windows), "window").select("key", F.struct("start", "words", "items").alias("c"))
         found = staged(found.groupBy("key").agg(F.collect_list("c").alias("found")), "candidates")
-    if found.count() <= BROADCAST_WINDOWS:  # each bounded by the document's own length
+    if (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_CANDIDATES:
         found = F.broadcast(found)
     rows = docs.join(found, "key", "left").select("key", "doc_id", words_of(F.col("text")).alias("w"), "found")
     exact = F.filter("found", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["words"])) == c["words"])
