@@ -83,3 +83,31 @@ def rounds(rows: DataFrame, scope: str, order: list[str]) -> DataFrame:
     from pyspark.sql.window import Window as W
 
     return rows.withColumn("round", F.row_number().over(W.partitionBy(scope).orderBy(*order)).cast("long"))
+
+
+def guarded_sample(candidates: pd.DataFrame, k: int, most: float) -> list[int]:
+    """Ids in the given order whose terms' Jaccard with every accepted one is at most ``most``."""
+    chosen: list[tuple[int, set]] = []
+    for r in candidates.itertuples():
+        terms = set(r.terms)
+        if all(len(terms & t) <= most * len(terms | t) for _, t in chosen):
+            chosen.append((int(r.id), terms))
+            if len(chosen) == k:
+                break
+    return [i for i, _ in chosen]
+
+
+def budgeted(candidates: pd.DataFrame, budget: int, gain: int = 20, again: int = 15) -> list[int]:
+    """Up to ``budget`` ids by score, plus ``gain`` for every label not covered yet, less ``again``
+    for each package of the same scope chosen before; smaller id first."""
+    left = {int(r.id): (int(r.score), set(r.labels), r.scope) for r in candidates.itertuples()}
+    chosen: list[int] = []
+    covered: set = set()
+    scopes: dict = {}
+    while left and len(chosen) < budget:
+        best = min(left, key=lambda i: (-(left[i][0] + gain * len(left[i][1] - covered) - again * scopes.get(left[i][2], 0)), i))
+        _, labels, scope = left.pop(best)
+        chosen.append(best)
+        covered |= labels
+        scopes[scope] = scopes.get(scope, 0) + 1
+    return chosen

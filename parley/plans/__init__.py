@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from parley.plans import analytics, archive, relations, semantics
+from parley.plans import analytics, archive, packets, relations, semantics
 from parley.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "archive", "relations", "semantics"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "archive", "packets", "relations", "semantics"]

@@ -182,3 +182,21 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["chat_id"], r["n"]) for r in spark.table("sessions").collect()] == [(1, 2)]
+
+
+def test_guarded_and_budgeted_choice():
+    import pandas as pd
+
+    rows = pd.DataFrame({"id": [1, 2, 3], "terms": [["a", "b"], ["a", "b", "c"], ["x"]]})
+    assert greedy.guarded_sample(rows, 5, 0.35) == [1, 3]
+    packages = pd.DataFrame({"id": [1, 2, 3], "score": [50, 49, 30], "labels": [["p"], ["p"], ["q"]], "scope": ["s", "s", "t"]})
+    assert greedy.budgeted(packages, 2) == [1, 3]
+
+
+def test_greedy_cover_takes_rare_labels_first():
+    import pandas as pd
+
+    pages = {1: ["a"], 2: ["a", "b"], 3: ["a", "c"], 4: ["a"]}
+    counts = pd.DataFrame({"label": ["a", "b", "c"], "n": [4, 1, 1]})
+    of = lambda label, n: pd.DataFrame([(p, x) for p, x in pages.items() if label in x][:n], columns=["page", "labels"])
+    assert greedy.greedy_cover(counts, of, 3) == [2, 3]
