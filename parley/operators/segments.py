@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def scan(rows: DataFrame, scope: str, order: list[str], step: Callable[[dict, object], dict], fields: str, fresh: Callable[[], dict]) -> DataFrame:
@@ -80,3 +81,38 @@ def dialogue_bundles(rows: DataFrame, window: int, span_us: int) -> DataFrame:
         return {"chat_id": row.chat_id, "row_id": row.row_id, "bundle": home["id"]}
 
     return scan(rows, "chat_id", ["us", "row_id"], step, "chat_id long, row_id long, bundle long", lambda: {"open": [], "n": 0})
+
+
+def bundle_parents(rows: DataFrame, most: int) -> DataFrame:
+    """chat_id, row_id, bundle, candidate_rank: a row joins every open bundle whose last row it shares a
+    term with and no object contradicts, the first ``most`` of them, and only these stay open. A row
+    without such a bundle opens one and keeps the others open behind it, ``most`` in all. A bundle is
+    named by its first row. ``rows``: chat_id, us, row_id, terms, object; null terms match nothing."""
+
+    def step(state: dict, row) -> dict:
+        terms = {t for t in row.terms if t is not None} if row.terms is not None else set()
+        known = None if row.object is None or row.object != row.object else row.object  # a null number arrives as NaN
+        fit = [b[0] for b in state["open"] if b[1] & terms and (b[2] is None or known is None or b[2] == known)][:most]
+        if fit:
+            state["open"] = [(b, terms, known) for b in fit]
+        else:
+            fit = [row.row_id]
+            state["open"] = [(row.row_id, terms, known), *state["open"]][:most]
+        return {"chat_id": row.chat_id, "row_id": row.row_id, "bundles": fit}
+
+    joined = scan(rows, "chat_id", ["us", "row_id"], step, "chat_id long, row_id long, bundles array<long>", lambda: {"open": []})
+    return joined.select("chat_id", "row_id", F.posexplode("bundles").alias("candidate_rank", "bundle"))
+
+
+def bundle_scales(rows: DataFrame) -> DataFrame:
+    """scale, chat_id, message_id, fragments, first_fragment, last_fragment. Scales: micro (a fragment),
+    turn (a message's fragments), session (a chat's; no message_id), and for cold fragments a sparse and
+    a cold bundle each. ``rows``: chat_id, message_id, fragment, cold. A repeated fragment is one, cold if
+    any of its rows is; a null ``cold`` is false. Sessions add up turns, so a chat of any size is combined
+    before it is shuffled."""
+    rows = rows.groupBy("chat_id", "message_id", "fragment").agg(F.bool_or("cold").alias("cold"))
+    one = F.array(F.lit("micro"), F.when(F.col("cold"), "sparse"), F.when(F.col("cold"), "cold"))
+    single = rows.select(F.explode(F.array_compact(one)).alias("scale"), "chat_id", "message_id", F.lit(1).cast("long").alias("fragments"), F.col("fragment").alias("first_fragment"), F.col("fragment").alias("last_fragment"))
+    turns = rows.groupBy("chat_id", "message_id").agg(F.count("*").alias("fragments"), F.min("fragment").alias("first_fragment"), F.max("fragment").alias("last_fragment"))
+    sessions = turns.groupBy("chat_id").agg(F.sum("fragments").alias("fragments"), F.min("first_fragment").alias("first_fragment"), F.max("last_fragment").alias("last_fragment"))
+    return single.unionByName(turns.withColumn("scale", F.lit("turn"))).unionByName(sessions.withColumn("scale", F.lit("session")), allowMissingColumns=True)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from parley.functions import text as T
 from parley.operators.islands import adaptive_cutoffs, balanced_chunks, capped_packets, carried, gap_sessions
+from parley.plans import scans
 from parley.plans.archive import DAY, START, M
 from parley.plans.registry import query
 from parley.sources.tables import event_messages, table, turn_messages
@@ -63,7 +64,7 @@ def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("row_id").agg(F.min("rule").alias("first_rule"), F.count("*").alias("n_rules"))
 
 
-@query()
+@query(scans.cooldown(f"{M}, t AS (SELECT chat_id, us, row_id, value >= 40 AS wants, row_number() OVER (PARTITION BY chat_id ORDER BY us, row_id) AS pos FROM m)", 6 * 60 * MINUTE, "SELECT row_id, decision FROM s"))
 def reply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions with a cooldown of a chat: a reply suppresses those in the next 6 hours. The state is
     the time of the last reply, so it is a stateful scan of each chat."""

@@ -11,7 +11,8 @@ from parley.operators import greedy
 from parley.operators.graph import components
 from parley.operators.islands import gap_sessions
 from parley.operators.pairs import as_of, cluster_sizes, neighbours, placed, rank_near_blocks
-from parley.plans.analytics import MINUTE, SCORED, scored_documents
+from parley.plans import scans
+from parley.plans.analytics import MINUTE, SCORED, _session_sql, scored_documents
 from parley.plans.archive import DAY, M
 from parley.plans.registry import query
 from parley.streaming.state import cooldown_decisions
@@ -205,7 +206,7 @@ def discourse_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(_thread_edges(spark, sf_dir))
 
 
-@query()
+@query(scans.complete_link(EDGES, 3))
 def complete_link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row joins the first event of its chat whose members it all relates to."""
     p = placed(event_messages(spark, sf_dir)).select(F.col("chat_id").alias("scope"), "pos", F.col("row_id").alias("id"))
@@ -339,7 +340,7 @@ def package_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.rounds(best, "source", ["s", "doc_id"]).where("round <= 3").select("doc_id", "source", "round")
 
 
-@query()
+@query(scans.cooldown(f"{PLACED}, f AS (SELECT chat_id, pos FROM p WHERE kind <> 'error'), t AS (SELECT chat_id, pos AS us, pos AS row_id, true AS wants, row_number() OVER (PARTITION BY chat_id ORDER BY pos) AS pos FROM f)", 5, "SELECT chat_id, row_id AS pos FROM s WHERE decision = 'reply'"))
 def disjoint_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets whose windows of radius two do not touch, from the left of each chat."""
     p = placed(event_messages(spark, sf_dir)).where("kind <> 'error'").select("chat_id", F.col("pos").cast("long").alias("us"), F.col("pos").cast("long").alias("row_id"))
@@ -347,7 +348,7 @@ def disjoint_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.where("decision = 'reply'").select("chat_id", F.col("row_id").alias("pos"))
 
 
-@query()
+@query(scans.batches(8, 300))
 def chat_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chats into batches of at most 300 messages, a chat kept whole where it fits."""
     c = event_messages(spark, sf_dir).groupBy((F.col("chat_id") % 8).alias("scope"), "chat_id").agg(F.count("*").alias("n"))
@@ -411,7 +412,7 @@ def signal_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("density", F.when(100 * F.col("views") >= 25 * F.col("n"), "dense").when(100 * F.col("views") >= 15 * F.col("n"), "medium").otherwise("thin"))
 
 
-@query()
+@query(_session_sql(720) + ", c AS (SELECT chat_id, session, count(*) AS n, count(*) FILTER (kind = 'error') AS errors FROM i GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY errors, n DESC, session) AS place FROM c) SELECT chat_id, session, n, errors, place FROM r WHERE place <= 3")
 def interrupted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of 12 hours with the share of interruptions, best first within each chat's top three."""
     s = gap_sessions(event_messages(spark, sf_dir), 720).groupBy("chat_id", "session").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "error").alias("errors"))

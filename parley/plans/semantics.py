@@ -13,6 +13,7 @@ from parley.operators import segments
 from parley.operators.graph import components
 from parley.operators.mentions import mentions
 from parley.operators.pairs import neighbours, placed
+from parley.plans import scans
 from parley.plans.analytics import MINUTE, SCORED, scored_documents
 from parley.plans.archive import DAY, M
 from parley.plans.registry import query
@@ -107,21 +108,42 @@ def _termed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_messages(spark, sf_dir).select("chat_id", "us", "row_id", t.alias("terms"), F.when(F.col("kind") == "purchase", F.col("k") % 3).cast("long").alias("object"))
 
 
-@query()
+@query(scans.blocks(48 * HOUR))
 def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.conversation_blocks(_termed(spark, sf_dir), 48 * HOUR)
 
 
-@query()
+@query(scans.strands(4))
 def parallel_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.parallel_strands(_termed(spark, sf_dir))
 
 
-@query()
+@query(scans.bundles(6, 72 * HOUR))
 def dialogue_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.dialogue_bundles(_termed(spark, sf_dir), 6, 72 * HOUR)
 
 
+@query(scans.parents(3))
+def bundle_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every local bundle that a message may belong to, by rank."""
+    return segments.bundle_parents(_termed(spark, sf_dir), 3)
+
+
+COLD = "l_quantity < 5"
+SCALED = "count(*) AS fragments, min(fragment) AS first_fragment, max(fragment) AS last_fragment FROM f"
+ONE = "1, fragment, fragment FROM f"
+
+
+@query(f"""WITH f AS (SELECT l_suppkey AS chat_id, l_orderkey AS message_id, l_linenumber AS fragment, bool_or({COLD}) AS cold FROM lineitem GROUP BY ALL)
+SELECT 'turn' AS scale, chat_id, message_id, {SCALED} GROUP BY chat_id, message_id UNION ALL SELECT 'session', chat_id, NULL, {SCALED} GROUP BY chat_id
+UNION ALL SELECT 'micro', chat_id, message_id, {ONE} UNION ALL SELECT 'sparse', chat_id, message_id, {ONE} WHERE cold UNION ALL SELECT 'cold', chat_id, message_id, {ONE} WHERE cold""")
+def bundle_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles of fragments by scale; the local scale is ``dialogue_bundles`` and ``bundle_parents``."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("chat_id"), F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("fragment"), F.expr(COLD).alias("cold"))
+    return segments.bundle_scales(rows)
+
+
 SEGMENTS = f"""WITH {M}, g AS (SELECT *, us - lag(us) OVER w AS gap, k // 10 <> lag(k // 10) OVER w AS other, kind = 'signup' AS reply FROM m WINDOW w AS (PARTITION BY chat_id ORDER BY us, row_id)),
 b AS (SELECT *, CASE WHEN gap IS NULL THEN 'start' WHEN gap > {15 * HOUR} AND NOT reply THEN 'gap' WHEN other AND gap > {5 * HOUR} AND NOT reply THEN 'topic_shift' END AS boundary FROM g)"""
 

@@ -200,3 +200,26 @@ def test_greedy_cover_takes_rare_labels_first():
     counts = pd.DataFrame({"label": ["a", "b", "c"], "n": [4, 1, 1]})
     of = lambda label, n: pd.DataFrame([(p, x) for p, x in pages.items() if label in x][:n], columns=["page", "labels"])
     assert greedy.greedy_cover(counts, of, 3) == [2, 3]
+
+
+def test_bundle_parents_keep_alternatives(spark):
+    from parley.operators.segments import bundle_parents
+
+    rows = [(1, 1, 1, ["a"], 1), (1, 2, 2, ["b"], None), (1, 3, 3, ["a", "b"], None), (1, 4, 4, None, None), (1, 5, 5, ["a"], 2), (2, 1, 6, ["a", None], None), (2, 2, 7, [None], None)]
+    found = bundle_parents(spark.createDataFrame(rows, "chat_id long, us long, row_id long, terms array<string>, object long"), 2)
+    got = sorted((r.row_id, r.candidate_rank, r.bundle) for r in found.collect())
+    # row 3 fits both open bundles, row 4 opens one and keeps one, row 5 fits the kept one
+    assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 2), (3, 1, 1), (4, 0, 4), (5, 0, 2), (6, 0, 6), (7, 0, 7)]
+    assert bundle_parents(spark.createDataFrame([], "chat_id long, us long, row_id long, terms array<string>, object long"), 2).count() == 0
+
+
+def test_bundle_scales(spark):
+    from parley.operators.segments import bundle_scales
+
+    rows = [(1, 10, 1, False), (1, 10, 1, True), (1, 10, 2, None), (1, 11, 1, False)]
+    found = bundle_scales(spark.createDataFrame(rows, "chat_id long, message_id long, fragment int, cold boolean"))
+    got = sorted((r.scale, r.message_id or 0, r.fragments, r.first_fragment, r.last_fragment) for r in found.collect())
+    assert got == [
+        ("cold", 10, 1, 1, 1), ("micro", 10, 1, 1, 1), ("micro", 10, 1, 2, 2), ("micro", 11, 1, 1, 1),
+        ("session", 0, 3, 1, 2), ("sparse", 10, 1, 1, 1), ("turn", 10, 2, 1, 2), ("turn", 11, 1, 1, 1),
+    ]
