@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
@@ -19,13 +19,13 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, root (the smallest id reachable) of every id that edges (a, b) name: minimum labels of
     neighbours, then a jump to the label's own label, until nothing moves."""
-    both = _checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")))
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = labels.join(near, "id").select("id", F.least("root", "near").alias("new"), F.col("root").alias("old"))
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("next"))
-        after = _checkpointed(step.join(jump, "new").select("id", F.least("new", "next").alias("root"), (F.least("new", "next") != F.col("old")).alias("moved")))
+        after = checkpointed(step.join(jump, "new").select("id", F.least("new", "next").alias("root"), (F.least("new", "next") != F.col("old")).alias("moved")))
         labels = after.select("id", "root")
         if not after.where("moved").limit(1).count():
             return labels

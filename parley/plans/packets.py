@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,9 +13,11 @@ from parley.operators import greedy
 from parley.operators.pairs import neighbours, placed
 from parley.plans.analytics import SCORED, scored_documents
 from parley.plans.archive import M
-from parley.plans.registry import query
+from parley.plans.registry import ORACLES, query
 from parley.sources.tables import event_messages, table
 
+QUOTA_SQL = f"WITH q AS ({ORACLES['per_chat_quota']})"
+
 #: What a budgeted selection may look at: the best of so many packages.
 CONSIDERED = 500
 
@@ -78,7 +82,8 @@ def budgeted_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chosen(spark, greedy.budgeted(best.orderBy(F.desc("score"), "id").limit(CONSIDERED).toPandas(), 10))
 
 
-@query()
+@query(QUOTA_SQL + """, a AS (SELECT doc_id, score::BIGINT AS score, len(list_distinct(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')))::BIGINT AS answer FROM q JOIN (SELECT doc_id, text FROM documents) USING (doc_id)),
+g AS (SELECT doc_id, CASE WHEN answer >= 30 THEN answer ELSE score END AS rank_score, answer >= 30 AS supported FROM a) SELECT *, row_number() OVER (ORDER BY rank_score DESC, doc_id) AS place FROM g""")
 def assisted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole assisted analysis with an injected model: quota of candidates, model output bound to
     their ids, gate, merge by signature, rank; what fails the gate falls back to the rule score."""
@@ -90,3 +95,33 @@ def assisted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = apply_model(texts.select(F.col("doc_id").alias("chat_id"), F.col("score").cast("long").alias("pos"), F.col("text").alias("content")), lambda batch: [len(set(t.split())) for t in batch])
     gated = answers.select(F.col("chat_id").alias("doc_id"), F.when(F.col("answer") >= 30, F.col("answer")).otherwise(F.col("pos")).alias("rank_score"), (F.col("answer") >= 30).alias("supported"))
     return gated.withColumn("place", F.row_number().over(W.orderBy(F.desc("rank_score"), "doc_id")))
+
+
+def _topics(bodies: list[str]) -> list[str]:
+    """A stand-in model: topics by length; long packets are answered in prose, which is no answer."""
+    packets = [json.loads(b) for b in bodies]
+    return ["too long" if len(p) > 5 else json.dumps({m["handle"]: f"t{len(m['content']) % 2}" for m in p}) for p in packets]
+
+
+def _claims(bodies: list[str]) -> list[str]:
+    return [json.dumps([m["handle"] for m in json.loads(b) if len(m["content"]) >= 40]) for b in bodies]
+
+
+def _audit(bodies: list[str]) -> list[str]:
+    return [json.dumps({"ok": len(json.loads(b)) > 1}) for b in bodies]
+
+
+@query("""WITH f AS (SELECT conv_id AS packet, 'm' || turn AS handle, coalesce(text, '') AS content FROM conversations),
+a AS (SELECT packet, string_agg(handle || chr(1) || content, chr(2) ORDER BY handle, content) AS body, count(*) <= 5 AS ok FROM f GROUP BY packet),
+b AS (SELECT packet, 't' || (length(content) % 2) AS topic, string_agg(handle || chr(1) || content, chr(2) ORDER BY handle, content) AS body, bool_or(length(content) >= 40) AS ok,
+ 'c' || string_agg(handle, ',' ORDER BY handle, content) FILTER (length(content) >= 40) AS claims FROM f JOIN a USING (packet) WHERE a.ok GROUP BY ALL),
+c AS (SELECT packet, bool_and(ok) AS ready, count(*) > 1 AS ok, string_agg(topic || claims, chr(2) ORDER BY topic) AS body FROM b GROUP BY packet)
+SELECT packet, 'A' AS stage, '' AS topic, CASE WHEN ok THEN 'complete' ELSE 'pending' END AS status, row_number() OVER (PARTITION BY body ORDER BY packet) = 1 AS provider_call FROM a
+UNION ALL SELECT packet, 'B', topic, CASE WHEN ok THEN 'complete' ELSE 'pending' END, row_number() OVER (PARTITION BY body ORDER BY packet, topic) = 1 FROM b
+UNION ALL SELECT packet, 'C', '', CASE WHEN ready AND ok THEN 'complete' ELSE 'pending' END, ready AND row_number() OVER (PARTITION BY ready, body ORDER BY packet) = 1 FROM c""")
+def staged_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three phases over conversations as packets, with stand-in models."""
+    from parley.operators.staged import staged_analysis
+
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("packet"), F.concat(F.lit("m"), F.col("turn")).alias("handle"), F.col("text").alias("content"))
+    return staged_analysis(turns, _topics, _claims, _audit)

@@ -223,3 +223,30 @@ def test_bundle_scales(spark):
         ("cold", 10, 1, 1, 1), ("micro", 10, 1, 1, 1), ("micro", 10, 1, 2, 2), ("micro", 11, 1, 1, 1),
         ("session", 0, 3, 1, 2), ("sparse", 10, 1, 1, 1), ("turn", 10, 2, 1, 2), ("turn", 11, 1, 1, 1),
     ]
+
+
+def test_staged_analysis_asks_once_and_fails_closed(spark):
+    import json
+
+    from parley.operators.staged import staged_analysis
+
+    def topics(bodies):
+        def one(lines):
+            named = {m["handle"]: m["content"][:1] or "none" for m in lines}
+            return json.dumps({**named, "m9": "x"} if len(lines) == 3 else named)  # a handle it was not given
+
+        return [one(json.loads(b)) for b in bodies]
+
+    def claims(bodies):
+        return ["not json" if json.loads(b)[0]["content"].startswith("b") else json.dumps([json.loads(b)[0]["handle"]]) for b in bodies]
+
+    rows = [(1, "m1", "apple"), (2, "m1", "apple"), (3, "m1", "apple"), (3, "m2", "berry"), (4, "m1", "a"), (4, "m2", "a"), (4, "m3", "a"), (5, "m1", None)]
+    found = staged_analysis(spark.createDataFrame(rows, "packet long, handle string, content string"), topics, claims, lambda bodies: ['{"ok": true}'] * len(bodies))
+    got = sorted((r.packet, r.stage, r.topic, r.status, r.provider_call) for r in found.collect())
+    assert got == [
+        (1, "A", "", "complete", True), (1, "B", "a", "complete", True), (1, "C", "", "complete", True),
+        (2, "A", "", "complete", False), (2, "B", "a", "complete", False), (2, "C", "", "complete", False),
+        (3, "A", "", "complete", True), (3, "B", "a", "complete", False), (3, "B", "b", "pending", True), (3, "C", "", "pending", False),
+        (4, "A", "", "pending", True),
+        (5, "A", "", "complete", True), (5, "B", "none", "complete", True), (5, "C", "", "complete", True),
+    ]
