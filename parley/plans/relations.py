@@ -90,12 +90,28 @@ SELECT c.cand, CASE WHEN n_exact >= 1 THEN exact_code WHEN n = 1 THEN g.code END
 def evidence_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates to codebook rows by their evidence sets, never by text: exact set, else the only
     overlapping one, else ambiguous or none."""
-    c = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("cand")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("ev"))
-    b = table(spark, sf_dir, "supplier").where("s_suppkey < 12").select(F.col("s_suppkey").alias("code"), F.array_sort(F.array(F.lit("1-URGENT"), F.when(F.col("s_suppkey") % 2 == 0, "2-HIGH").otherwise("5-LOW"))).alias("bev"))
-    shared = c.select("cand", "ev", F.explode("ev").alias("e")).join(b.select("code", "bev", F.explode("bev").alias("e")), "e").groupBy("cand", "code").agg((F.any_value("ev") == F.any_value("bev")).alias("exact"))
-    g = shared.groupBy("cand").agg(F.count("*").alias("n"), F.count_if("exact").alias("ne"), F.min(F.when(F.col("exact"), F.col("code"))).alias("ec"), F.min("code").alias("c1"))
+    return _overlap(table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), table(spark, sf_dir, "supplier").where("s_suppkey < 12"))
+
+
+def _overlap(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Sets are compared once each, whatever the number of candidates and codes that have them."""
+    c = orders.groupBy(F.col("o_custkey").alias("cand")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("ev"))
+    b = suppliers.select(F.col("s_suppkey").alias("code"), F.array_sort(F.array(F.lit("1-URGENT"), F.when(F.col("s_suppkey") % 2 == 0, "2-HIGH").otherwise("5-LOW"))).alias("bev"))
+    b = b.groupBy("bev").agg(F.count("*").alias("codes"), F.min("code").alias("code"))
+    shared = c.select("ev").distinct().select("ev", F.explode("ev").alias("e")).join(b.select("bev", "codes", "code", F.explode("bev").alias("e")), "e").select("ev", "bev", "codes", "code").distinct()
+    exact = F.col("ev") == F.col("bev")
+    g = shared.groupBy("ev").agg(F.sum("codes").alias("n"), F.coalesce(F.sum(F.when(exact, F.col("codes"))), F.lit(0)).alias("ne"), F.min(F.when(exact, F.col("code"))).alias("ec"), F.min("code").alias("c1"))
     how = F.when(F.col("ne") == 1, "exact").when(F.col("ne") > 1, "exact_many").when(F.col("n") == 1, "overlap").when(F.col("n") > 1, "ambiguous").otherwise("none")
-    return c.join(g, "cand", "left").select("cand", F.when(F.col("ne") >= 1, F.col("ec")).when(F.col("n") == 1, F.col("c1")).alias("code"), how.alias("how"))
+    return c.join(g, "ev", "left").select("cand", F.when(F.col("ne") >= 1, F.col("ec")).when(F.col("n") == 1, F.col("c1")).alias("code"), how.alias("how"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS cand, list_sort(list_distinct(list(o_orderpriority))) AS ev FROM orders GROUP BY o_custkey), b AS (SELECT s_suppkey AS code, list_sort(['1-URGENT', CASE WHEN s_suppkey % 2 = 0 THEN '2-HIGH' ELSE '5-LOW' END]) AS ev FROM supplier),
+j AS (SELECT cand, code, c.ev = b.ev AS exact FROM c JOIN b ON list_has_any(c.ev, b.ev)),
+g AS (SELECT cand, count(*) AS n, count(*) FILTER (exact) AS n_exact, min(code) FILTER (exact) AS exact_code, min(code) AS code FROM j GROUP BY cand)
+SELECT c.cand, CASE WHEN n_exact >= 1 THEN exact_code WHEN n = 1 THEN g.code END AS code, CASE WHEN n_exact = 1 THEN 'exact' WHEN n_exact > 1 THEN 'exact_many' WHEN n = 1 THEN 'overlap' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how FROM c LEFT JOIN g ON c.cand = g.cand""")
+def evidence_overlap_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """evidence_overlap_join of all orders with the whole codebook."""
+    return _overlap(table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier"))
 
 
 ALIGN = """a AS (SELECT l_orderkey AS ev, l_partkey AS a FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 40 = 0), b AS (SELECT l_orderkey AS ev, l_suppkey + 100000 AS b FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 40 = 0)"""
@@ -114,6 +130,21 @@ def bipartite_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("status", F.when(F.col("n_a") + F.col("n_b") == 2, "matched").otherwise("ambiguous"))
 
 
+@query()
+def bipartite_alignment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bipartite_alignment of all lines. Ids are 2 key for side a and 2 key + 1 for side b, so keys of
+    any size stay apart."""
+    return alignment(table(spark, sf_dir, "lineitem"))
+
+
+def alignment(lines: DataFrame) -> DataFrame:
+    a = lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("ev"), (2 * F.col("l_partkey")).alias("a"))
+    b = lines.where("l_linenumber = 2").select(F.col("l_orderkey").alias("ev"), (2 * F.col("l_suppkey") + 1).alias("b"))
+    roots = components(a.join(b, "ev").select("a", "b").distinct())
+    out = roots.groupBy("root").agg(F.count_if(F.col("id") % 2 == 0).alias("n_a"), F.count_if(F.col("id") % 2 == 1).alias("n_b"))
+    return out.withColumn("status", F.when(F.col("n_a") + F.col("n_b") == 2, "matched").otherwise("ambiguous"))
+
+
 @query("""WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders WHERE o_orderkey % 5 <> 0),
 j AS (SELECT coalesce(a.id, b.id) AS id, a.id IS NOT NULL AS in_a, b.id IS NOT NULL AS in_b, a.status AS s1, b.status AS s2, a.priority AS p1, b.priority AS p2 FROM a FULL JOIN b ON a.id = b.id)
 SELECT id, f.field, CASE WHEN NOT in_a THEN 'missing_a' WHEN NOT in_b THEN 'missing_b' ELSE 'differs' END AS problem FROM (SELECT *, unnest([{'field': 'priority', 'x': p1, 'y': p2}, {'field': 'status', 'x': s1, 'y': s2}]) AS f FROM j) WHERE NOT in_a OR NOT in_b OR f.x IS DISTINCT FROM f.y""")
@@ -289,10 +320,27 @@ k AS (SELECT claim, count(*) FILTER (label <> 'exclude') AS good, count(*) AS re
 SELECT count(*) AS claims, round(count(*) FILTER (good > 0) / nullif(count(*), 0), 6) AS precision, (SELECT round(count(DISTINCT acu) FILTER (label = 'must') / (SELECT count(*) FROM g WHERE label = 'must'), 6) FROM c JOIN g USING (acu)) AS must_recall, count(*) FILTER (good = 0) AS unsupported FROM k""")
 def acu_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims against content units: precision over all claims, recall of those that must be there."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("acu"))  # noqa: E741
+    l = _claims(spark, sf_dir)  # noqa: E741
+    return _acu(l, l.where("claim % 9 = 0"))
+
+
+@query("""WITH g AS (SELECT l_partkey AS acu, CASE WHEN l_partkey % 3 = 0 THEN 'must' WHEN l_partkey % 3 = 1 THEN 'may' ELSE 'exclude' END AS label FROM (SELECT DISTINCT l_partkey FROM lineitem)), c AS (SELECT l_orderkey AS claim, l_partkey AS acu FROM lineitem),
+k AS (SELECT claim, count(*) FILTER (label <> 'exclude') AS good, count(*) AS refs FROM c JOIN g USING (acu) GROUP BY claim)
+SELECT count(*) AS claims, round(count(*) FILTER (good > 0) / nullif(count(*), 0), 6) AS precision, (SELECT round(count(DISTINCT acu) FILTER (label = 'must') / (SELECT count(*) FROM g WHERE label = 'must'), 6) FROM c JOIN g USING (acu)) AS must_recall, count(*) FILTER (good = 0) AS unsupported FROM k""")
+def acu_evaluation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """acu_evaluation of all claims."""
+    l = _claims(spark, sf_dir)  # noqa: E741
+    return _acu(l, l)
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("acu"))
+
+
+def _acu(l: DataFrame, claims: DataFrame) -> DataFrame:  # noqa: E741
     label = F.when(F.col("acu") % 3 == 0, "must").when(F.col("acu") % 3 == 1, "may").otherwise("exclude")
     g = l.select("acu").distinct().withColumn("label", label)
-    c = l.where("claim % 9 = 0").join(g, "acu")
+    c = claims.join(g, "acu")
     k = c.groupBy("claim").agg(F.count_if(F.col("label") != "exclude").alias("good"))
     sums = k.agg(F.count("*").alias("claims"), F.round(F.count_if(F.col("good") > 0) / F.nullif(F.count("*"), F.lit(0)), 6).alias("precision"), F.count_if(F.col("good") == 0).alias("unsupported"))
     met = c.where("label = 'must'").agg(F.countDistinct("acu").alias("met"))
