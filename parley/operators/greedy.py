@@ -3,6 +3,7 @@ a bounded number by Spark, or within scopes by grouped pandas."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -111,3 +112,32 @@ def budgeted(candidates: pd.DataFrame, budget: int, gain: int = 20, again: int =
         covered |= labels
         scopes[scope] = scopes.get(scope, 0) + 1
     return chosen
+
+
+def overlap_groups(rows: DataFrame) -> DataFrame:
+    """lead, group_id: in order of ``lead`` within a scope, a row joins the first group that shares
+    half of the smaller of both reference sets, rounded up, and its references join the group's; else
+    it starts one, named by it. ``rows``: scope, lead, refs; no reference stands in two scopes. The
+    state is the references of a scope's groups."""
+    ordered = rows.select("scope", "lead", "refs").repartition("scope").sortWithinPartitions("scope", "lead")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scope, groups, holding = None, [], {}  # groups: (first lead, references); holding: groups of a reference
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                if r.scope != scope:
+                    scope, groups, holding = r.scope, [], {}
+                refs = set(r.refs)
+                shared = Counter(g for x in refs for g in holding.get(x, ()))
+                home = next((g for g in sorted(shared) if 2 * shared[g] >= min(len(refs), len(groups[g][1]))), None)
+                if home is None:
+                    home = len(groups)
+                    groups.append((r.lead, set()))
+                for x in refs - groups[home][1]:
+                    holding.setdefault(x, set()).add(home)
+                groups[home][1].update(refs)
+                out.append((r.lead, groups[home][0]))
+            yield pd.DataFrame(out, columns=["lead", "group_id"])
+
+    return ordered.mapInPandas(run, "lead long, group_id long")

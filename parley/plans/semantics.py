@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from parley.functions import text as T
-from parley.operators import segments
+from parley.operators import greedy, segments
 from parley.operators.graph import components
 from parley.operators.mentions import mentions
 from parley.operators.pairs import neighbours, placed
@@ -229,6 +229,16 @@ def citation_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("shared >= floor((smaller + 1) / 2) AND smaller >= 2").select("a", "b", "shared")
 
 
+@query()
+def citation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leads in greedy groups by overlapping citations. Groups meet only through shared references,
+    so the ordered step runs within the components of leads and references."""
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("lead")).agg(F.collect_set("l_suppkey").alias("refs"))
+    roots = components(r.select((2 * F.col("lead")).alias("a"), F.explode(F.transform("refs", lambda x: 2 * x + 1)).alias("b")))
+    scopes = roots.where("id % 2 = 0").select(F.expr("id DIV 2").alias("lead"), F.col("root").alias("scope"))
+    return greedy.overlap_groups(r.join(scopes, "lead", "left").withColumn("scope", F.coalesce("scope", 2 * F.col("lead"))))
+
+
 @query("""SELECT sha256(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS claim, count(*) AS merged, min(doc_id) AS first_doc, count(DISTINCT source) AS refs FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), 256).alias("claim"))

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from parley.plans import relations
+from parley.plans import relations, semantics
 
 
 def save(spark, folder, name, rows, schema):
@@ -56,3 +56,35 @@ def test_acu_evaluation_of_all_claims(spark, tmp_path):
     save(spark, tmp_path, "lineitem", [(1, 3), (1, 2), (2, 2), (4, 1), (5, 5), (7, 3)], "l_orderkey long, l_partkey long")
     (r,) = relations.acu_evaluation_whole(spark, str(tmp_path)).collect()
     assert (r["claims"], r["precision"], r["must_recall"], r["unsupported"]) == (5, 0.6, 1.0, 2)
+
+
+def groups_by_hand(leads):
+    groups = []
+    for lead in sorted(leads):
+        refs = leads[lead]
+        home = next((g for g in groups if refs & g[1] and len(refs & g[1]) >= max(1, (min(len(refs), len(g[1])) + 1) // 2)), None)
+        if home is None:
+            home = (lead, set(), [])
+            groups.append(home)
+        home[1].update(refs)
+        home[2].append(lead)
+    return {(x, first) for first, _, members in groups for x in members}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_citation_groups_of_all_leads(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    # Five blocks of references; the union of a group decides about later leads.
+    lines = [(lead, 100 * (lead % 5) + rng.randrange(1, 24)) for lead in range(1, 120) for _ in range(rng.randrange(1, 7))] + [(500, None)]
+    save(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_suppkey long")
+    leads = {}
+    for lead, ref in lines:
+        leads.setdefault(lead, set()).update({ref} - {None})
+    got = {tuple(r) for r in semantics.citation_groups(spark, str(tmp_path)).collect()}
+    assert got == groups_by_hand(leads) and len({g for _, g in got}) > 5
+
+
+def test_citation_groups_merge_unions(spark):
+    rows = [(0, 1, [1, 2]), (0, 2, [2, 3, 4, 5]), (0, 3, [4, 5]), (0, 4, [3, 6, 7, 8]), (0, 5, [1, 3, 6, 9])]
+    got = dict(semantics.greedy.overlap_groups(spark.createDataFrame(rows, "scope long, lead long, refs array<long>")).collect())
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
