@@ -88,16 +88,55 @@ def rounds(rows: DataFrame, scope: str, order: list[str]) -> DataFrame:
 
 def guarded_sample(candidates: pd.DataFrame, k: int, most: float) -> list[int]:
     """Ids in the given order whose terms' Jaccard with every accepted one is at most ``most``."""
-    chosen: list[tuple[int, set]] = []
+    return [i for i, _ in _accepted([], candidates, k, most)]
+
+
+def _accepted(chosen: list[tuple[int, set]], candidates: pd.DataFrame, k: int, most: float) -> list[tuple[int, set]]:
     for r in candidates.itertuples():
+        if len(chosen) == k:
+            break
         terms = set(r.terms)
         if all(len(terms & t) <= most * len(terms | t) for _, t in chosen):
             chosen.append((int(r.id), terms))
-            if len(chosen) == k:
-                break
+    return chosen
+
+
+def guarded_draw(rows: DataFrame, scope: str, order: list[str], k: int, most: float, block: int) -> list[int]:
+    """guarded_sample over all rows (id, scope, terms, order), drawn from the scopes in turn. Blocks of the
+    draw come to the driver; rows alike to accepted ones leave in Spark, so the first row of every
+    later block is accepted and there are at most ``k`` of them."""
+    from pyspark.sql.window import Window as W
+
+    from parley.operators.graph import checkpointed
+
+    rows = rows.withColumn(scope, F.coalesce(scope, F.lit("")))
+    part = F.row_number().over(W.partitionBy(scope, F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(*order))
+    first = rounds(rows.withColumn("p", part).where(F.col("p") <= block), scope, order)
+    drawn = first.orderBy("round", scope).limit(block).toPandas()
+    chosen = _accepted([], drawn, k, most)
+    every = None
+    while len(chosen) < k and len(drawn) == block:
+        every = checkpointed(rounds(rows, scope, order)) if every is None else every
+        last = drawn.iloc[-1]
+        later = every.where((F.col("round") > int(last["round"])) | ((F.col("round") == int(last["round"])) & (F.col(scope) > last[scope])))
+        sets = F.broadcast(rows.sparkSession.createDataFrame([([sorted(t) for _, t in chosen],)], "sets array<array<string>>"))
+        unlike = F.forall("sets", lambda t: F.size(F.array_intersect("terms", t)) <= most * F.size(F.array_union("terms", t)))
+        drawn = later.crossJoin(sets).where(unlike).drop("sets").orderBy("round", scope).limit(block).toPandas()
+        chosen = _accepted(chosen, drawn, k, most)
     return [i for i, _ in chosen]
 
 
+def best_of_kind(packages: DataFrame, budget: int) -> DataFrame:
+    """The packages (id, score, labels, scope) that ``budgeted`` can choose: those of one scope and label
+    set gain alike, so the best ``budget`` of each. Salted parts come first."""
+    from pyspark.sql.window import Window as W
+
+    kind = ["scope", F.array_sort("labels")]
+    best = lambda *by: F.row_number().over(W.partitionBy(*kind, *by).orderBy(F.desc("score"), "id"))
+    parts = packages.withColumn("p", best(F.pmod(F.xxhash64("id"), F.lit(64)))).where(F.col("p") <= budget)
+    return parts.withColumn("p", best()).where(F.col("p") <= budget).drop("p")
+
+
 def budgeted(candidates: pd.DataFrame, budget: int, gain: int = 20, again: int = 15) -> list[int]:
     """Up to ``budget`` ids by score, plus ``gain`` for every label not covered yet, less ``again``
     for each package of the same scope chosen before; smaller id first."""

@@ -18,8 +18,8 @@ from parley.sources.tables import event_messages, table
 
 QUOTA_SQL = f"WITH q AS ({ORACLES['per_chat_quota']})"
 
-#: What a budgeted selection may look at: the best of so many packages.
-CONSIDERED = 500
+#: Rows of the draw that come to the driver at a time.
+BLOCK = 500
 
 
 @query("""SELECT source AS page, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (contains(text, '@')) AS mail FROM documents GROUP BY source""")
@@ -64,22 +64,21 @@ def _chosen(spark: SparkSession, ids: list[int]) -> DataFrame:
 
 @query()
 def guarded_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty documents drawn from the scopes in turn, none alike to another by over .35. What the guard
-    looks at is the first CONSIDERED rows of the draw."""
+    """Twenty documents drawn from the scopes in turn, none alike to another by over .35."""
     s = scored_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", (-F.col("score")).alias("s"), T.terms(F.col("text"), 6).alias("terms"))
-    part = F.row_number().over(W.partitionBy("source", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("s", "id"))
-    s = s.withColumn("p", part).where(F.col("p") <= CONSIDERED)
-    drawn = greedy.rounds(s, "source", ["s", "id"]).orderBy("round", "source").limit(CONSIDERED).toPandas()
-    return _chosen(spark, greedy.guarded_sample(drawn, 20, 0.35))
+    return _chosen(spark, greedy.guarded_draw(s, "source", ["s", "id"], 20, 0.35, BLOCK))
 
 
 @query()
 def budgeted_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten packages by score, coverage and diversity, from the best CONSIDERED ones of distinct keys."""
+    """Ten packages by score, coverage and diversity among those of distinct keys, and a decision on
+    every candidate: selected (with its place), budget, or duplicate of another's key."""
     labels = F.array_compact(F.array(F.col("lang"), F.when(F.col("text").contains("@"), F.lit("mail")), F.when(F.col("text").rlike("[0-9]{6,}"), F.lit("number")), F.when(F.col("text").contains("|"), F.lit("table"))))
     s = scored_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "score", labels.alias("labels"), F.col("source").alias("scope"), F.xxhash64("text").alias("key"))
     best = s.groupBy("key").agg(F.min_by(F.struct("id", "score", "labels", "scope"), "id").alias("b")).select("b.*")
-    return _chosen(spark, greedy.budgeted(best.orderBy(F.desc("score"), "id").limit(CONSIDERED).toPandas(), 10))
+    chosen = _chosen(spark, greedy.budgeted(greedy.best_of_kind(best, 10).toPandas(), 10))
+    rows = s.select(F.col("id").alias("doc_id")).join(best.select(F.col("id").alias("doc_id"), F.lit(True).alias("first")), "doc_id", "left").join(F.broadcast(chosen), "doc_id", "left")
+    return rows.select("doc_id", "place", F.when(F.col("place").isNotNull(), "selected").when(F.col("first"), "budget").otherwise("duplicate").alias("decision"))
 
 
 @query(QUOTA_SQL + """, a AS (SELECT doc_id, score::BIGINT AS score, len(list_distinct(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')))::BIGINT AS answer FROM q JOIN (SELECT doc_id, text FROM documents) USING (doc_id)),

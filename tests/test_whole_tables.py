@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from parley.operators import greedy
 from parley.plans import relations, semantics
 
 
@@ -86,5 +87,24 @@ def test_citation_groups_of_all_leads(spark, tmp_path, seed):
 
 def test_citation_groups_merge_unions(spark):
     rows = [(0, 1, [1, 2]), (0, 2, [2, 3, 4, 5]), (0, 3, [4, 5]), (0, 4, [3, 6, 7, 8]), (0, 5, [1, 3, 6, 9])]
-    got = dict(semantics.greedy.overlap_groups(spark.createDataFrame(rows, "scope long, lead long, refs array<long>")).collect())
+    got = dict(greedy.overlap_groups(spark.createDataFrame(rows, "scope long, lead long, refs array<long>")).collect())
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
+
+
+def test_guarded_draw_goes_on_past_a_block_of_copies(spark):
+    rows = [(i, "a", 0, ["x", "y"]) for i in range(1, 31)] + [(100 + i, "ab"[i % 2], 1, [f"t{i}", f"u{i // 2}"]) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, source string, s int, terms array<string>")
+    drawn = greedy.rounds(df, "source", ["s", "id"]).orderBy("round", "source").toPandas()
+    want = greedy.guarded_sample(drawn, 6, 0.3)
+    assert greedy.guarded_draw(df, "source", ["s", "id"], 6, 0.3, 4) == want and len(want) == 6
+    assert greedy.guarded_draw(df, "source", ["s", "id"], 50, 0.3, 4) == greedy.guarded_sample(drawn, 50, 0.3)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_budgeted_sees_every_kind_of_package(spark, seed):
+    rng = random.Random(seed)
+    # 600 packages of one scope score best; those with new labels come after them.
+    rows = [(i, 50, ["en"], "hot") for i in range(600)] + [(600 + i, rng.randrange(20, 49), rng.sample(["de", "fr", "mail", "table"], 2), rng.choice("abc")) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, score long, labels array<string>, scope string")
+    want = greedy.budgeted(df.toPandas(), 10)
+    assert greedy.budgeted(greedy.best_of_kind(df, 10).toPandas(), 10) == want and max(want) >= 600
