@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 def greedy_cover(label_counts: pd.DataFrame, labels_of: Callable[[str, int], pd.DataFrame], k: int) -> list[int]:
     """Pages that cover labels: the rarest uncovered label first, and of its pages the one with most
-    new labels, smaller id first. ``labels_of(label, n)`` brings the pages of a label from Spark."""
+    new labels, smaller id first. ``labels_of(label, n)`` brings the pages of a
+    label, of each label set the n smallest ids at least."""
     chosen: list[int] = []
     covered: set[str] = set()
     while len(chosen) < k:
@@ -33,6 +34,16 @@ def greedy_cover(label_counts: pd.DataFrame, labels_of: Callable[[str, int], pd.
     return chosen
 
 
+def first_of_label_set(pages: DataFrame, k: int) -> DataFrame:
+    """The pages (page, labels) that ``greedy_cover`` can choose: those of one label set cover alike, so
+    the ``k`` smallest ids of each. Salted parts come first."""
+    from pyspark.sql.window import Window as W
+
+    first = lambda *by: F.row_number().over(W.partitionBy(F.array_sort("labels"), *by).orderBy("page"))
+    parts = pages.withColumn("p", first(F.pmod(F.xxhash64("page"), F.lit(64)))).where(F.col("p") <= k)
+    return parts.withColumn("p", first()).where(F.col("p") <= k).drop("p")
+
+
 def fill_batches(slices: DataFrame, most: int) -> DataFrame:
     """scope, chat_id, batch: slices (scope, chat_id, n) in order into batches of ``most``; a slice
     stays whole if it fits into one. One scope's slices are its chats, not its messages."""

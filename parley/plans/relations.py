@@ -372,10 +372,11 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stratum_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten documents that cover term labels, the rarest label first. Labels are counted by Spark; of
-    each label only as many pages as could be chosen come to the driver."""
+    each label set only the smallest ids, which are all that can be chosen, come to the driver."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.array_distinct(F.concat(F.array("lang", "source"), F.array(F.when(F.col("text").contains("@"), "mail").otherwise("plain")))).alias("labels"))
     counts = d.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).orderBy("n", "label").limit(500).toPandas()
-    pages = greedy.greedy_cover(counts, lambda label, n: d.where(F.array_contains("labels", label)).orderBy(F.desc(F.size("labels")), "page").limit(n).toPandas(), 10)
+    few = greedy.first_of_label_set(d, 11).toPandas()
+    pages = greedy.greedy_cover(counts, lambda label, n: few[[label in x for x in few["labels"]]], 10)
     return d.join(F.broadcast(spark.createDataFrame([(p, i) for i, p in enumerate(pages)] or [(-1, -1)], "page long, place int")), "page").select("page", "place", F.array_join("labels", ",").alias("labels"))
 
 

@@ -108,3 +108,28 @@ def test_budgeted_sees_every_kind_of_package(spark, seed):
     df = spark.createDataFrame(rows, "id long, score long, labels array<string>, scope string")
     want = greedy.budgeted(df.toPandas(), 10)
     assert greedy.budgeted(greedy.best_of_kind(df, 10).toPandas(), 10) == want and max(want) >= 600
+
+
+def cover_by_hand(docs, k):
+    """[(page, place)] by the rule over all pages."""
+    pages = {i: set(labels) for i, labels in docs}
+    n = {x: sum(x in v for v in pages.values()) for v in pages.values() for x in v}
+    chosen, covered = [], set()
+    while len(chosen) < k and set(n) - covered:
+        label = min(set(n) - covered, key=lambda x: (n[x], x))
+        left = [i for i in pages if label in pages[i] and i not in chosen]
+        if not left:
+            covered.add(label)
+            continue
+        chosen.append(min(left, key=lambda i: (-len(pages[i] - covered), i)))
+        covered |= pages[chosen[-1]]
+    return {(p, i) for i, p in enumerate(chosen)}
+
+
+def test_cover_sees_pages_past_the_smallest_ids(spark, tmp_path):
+    # Page 90 covers en and plain first. Of hot, the next label, page 50 alone has more new ones.
+    docs = [(i, "hi", "en", "hot") for i in range(1, 21)] + [(50, "a@b", "de", "hot"), (90, "hi", "en", "rare")] + [(100 + i, "a@b" if i % 2 else "hi", ["en", "de", "fr"][i % 3], "cold") for i in range(120)]
+    save(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string, source string")
+    want = cover_by_hand([(i, [lang, source, "mail" if "@" in t else "plain"]) for i, t, lang, source in docs], 10)
+    got = {(r["page"], r["place"]) for r in relations.stratum_cover(spark, str(tmp_path)).collect()}
+    assert got == want
