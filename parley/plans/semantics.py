@@ -193,10 +193,7 @@ ANCHORS = """t AS (SELECT doc_id, source, lang, unnest(list_distinct(regexp_extr
 @query(f"WITH {ANCHORS} SELECT lang AS domain, term AS anchor, count(*) AS members, count(DISTINCT source) AS chats, min(doc_id) AS lead, least(100, 40 + 10 * count(*) + 5 * count(DISTINCT source)) AS quality FROM t JOIN a USING (term) GROUP BY ALL HAVING count(*) >= 2")
 def anchor_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event proposals: documents of a domain that share a term which is neither unique nor common."""
-    t = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.explode(T.terms(F.col("text"), 11)).alias("term"))
-    a = t.groupBy("term").agg(F.count("*").alias("df")).where("df BETWEEN 2 AND 8").select("term")
-    p = t.join(a, "term").groupBy(F.col("lang").alias("domain"), F.col("term").alias("anchor")).agg(F.count("*").alias("members"), F.countDistinct("source").alias("chats"), F.min("doc_id").alias("lead")).where("members >= 2")
-    return p.withColumn("quality", F.least(F.lit(100), 40 + 10 * F.col("members") + 5 * F.col("chats")))
+    return _proposals(spark, sf_dir, 8)
 
 
 @query(f"""WITH RECURSIVE {ANCHORS}, x AS (SELECT lang, term, doc_id FROM t JOIN a USING (term)), e AS (SELECT p.doc_id AS a, q.doc_id AS b FROM x p JOIN x q ON p.lang = q.lang AND p.term = q.term AND p.doc_id <> q.doc_id GROUP BY ALL HAVING count(*) >= 3),
@@ -204,8 +201,39 @@ r AS (SELECT a AS i, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a =
 def anchor_event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents joined by three rare anchors or more. An anchor has at most eight documents, so pairs
     within it are few."""
+    return _event_clusters(spark, sf_dir, 8)
+
+
+SIZED_ANCHORS = ANCHORS.replace("BETWEEN 2 AND 8", "BETWEEN 2 AND (SELECT greatest(8, least(24, round(0.08 * count(*)))) FROM documents)")
+
+
+def most_anchored(documents: int) -> int:
+    """The most documents that an anchor may have."""
+    return max(8, min(24, round(documents * 0.08)))
+
+
+@query(f"WITH {SIZED_ANCHORS} SELECT lang AS domain, term AS anchor, count(*) AS members, count(DISTINCT source) AS chats, min(doc_id) AS lead, least(100, 40 + 10 * count(*) + 5 * count(DISTINCT source)) AS quality FROM t JOIN a USING (term) GROUP BY ALL HAVING count(*) >= 2")
+def anchor_proposals_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_proposals with the reference's limit, which follows the number of documents."""
+    return _proposals(spark, sf_dir, most_anchored(table(spark, sf_dir, "documents").count()))
+
+
+@query()
+def anchor_event_clusters_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_event_clusters with the reference's limit, 24 documents an anchor at most."""
+    return _event_clusters(spark, sf_dir, most_anchored(table(spark, sf_dir, "documents").count()))
+
+
+def _proposals(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.explode(T.terms(F.col("text"), 11)).alias("term"))
+    a = t.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).select("term")
+    p = t.join(a, "term").groupBy(F.col("lang").alias("domain"), F.col("term").alias("anchor")).agg(F.count("*").alias("members"), F.countDistinct("source").alias("chats"), F.min("doc_id").alias("lead")).where("members >= 2")
+    return p.withColumn("quality", F.least(F.lit(100), 40 + 10 * F.col("members") + 5 * F.col("chats")))
+
+
+def _event_clusters(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     t = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(T.terms(F.col("text"), 11)).alias("term"))
-    a = t.groupBy("term").agg(F.count("*").alias("df")).where("df BETWEEN 2 AND 8").select("term")
+    a = t.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).select("term")
     g = t.join(a, "term").groupBy("lang", "term").agg(F.array_sort(F.collect_list("doc_id")).alias("d")).where(F.size("d") > 1)
     pairs = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice(F.col("d"), i + 2, F.size("d")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     e = g.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where("n >= 3")

@@ -133,3 +133,13 @@ def test_cover_sees_pages_past_the_smallest_ids(spark, tmp_path):
     want = cover_by_hand([(i, [lang, source, "mail" if "@" in t else "plain"]) for i, t, lang, source in docs], 10)
     got = {(r["page"], r["place"]) for r in relations.stratum_cover(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_anchor_limit_follows_the_number_of_documents(spark, tmp_path):
+    assert [semantics.most_anchored(n) for n in (10, 200, 300, 10_000)] == [8, 16, 24, 24]
+    # 20 of 300 documents share three terms; 30 share three others, which are too common.
+    text = lambda i: "aaaaaaaaaaaa bbbbbbbbbbbb cccccccccccc" if i < 20 else "dddddddddddd eeeeeeeeeeee ffffffffffff" if i < 50 else "short"
+    save(spark, tmp_path, "documents", [(i, text(i), "en", "s") for i in range(300)], "doc_id long, text string, lang string, source string")
+    assert {tuple(r) for r in semantics.anchor_event_clusters_sized(spark, str(tmp_path)).collect()} == {(i, 0) for i in range(20)}
+    got = semantics.anchor_proposals_sized(spark, str(tmp_path)).collect()
+    assert {(r["anchor"][0], r["members"], r["lead"]) for r in got} == {(x, 20, 0) for x in "abc"}
