@@ -4,9 +4,10 @@ shared folder, and Arrow text access in bounded chunks."""
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the
-    session names none (local tests) a folder of our own is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A folder of our own is
+    made only where the session names none and runs in this machine alone (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="parley-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,23 +46,45 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/parley-{uuid.uuid4().hex}/{label}"
 
 
-def staged(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again. It cuts the lineage:
     a lost executor costs the tasks at hand, not what came before."""
-    path = shared_path(df.sparkSession, label) if folder is None else f"{folder}/{uuid.uuid4().hex}-{label}"
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """``staged`` for tables that go when the work ends, or with ``drop`` as soon as they were read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, shared_path(spark, "work"), {}
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}-{label}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            removed(self.spark, self.paths.pop(id(df))[1])
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
-def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """``staged`` for tables that go when the block ends; what leaves it must be staged elsewhere."""
-    folder = shared_path(spark, "work")
+def workspace(spark: SparkSession) -> Iterator[Workspace]:
+    """What leaves the block must be staged elsewhere."""
+    work = Workspace(spark)
     try:
-        yield lambda df, label: staged(df, label, folder)
+        yield work
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(spark, work.folder)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

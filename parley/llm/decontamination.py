@@ -1,38 +1,38 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame functions
 only.
 
-Test items are cut into windows of WINDOW consecutive words (an item of fewer words is one
-window). Occurrences of test terms are counted over all training documents, and every window
-keeps its KEYS rarest terms with their offsets. For those terms positional postings (term,
-document, position) are stored; position less offset is where a window would start, and a
-start that the lists of all its keys agree on is a candidate. Candidates go back to their
-document, where the other words are compared in place, so what is returned are exact phrase
-matches. ``phrase_matches`` gives them as rows; ``proximity_matches`` gives test terms that
-occur in order within a span.
-
-Test windows are broadcast up to BROADCAST_WINDOWS of them and joined by a shuffle beyond,
-candidates up to BROADCAST_CANDIDATES.
+Training tokens are stored once as positional postings, partitioned by document: a row holds the
+tokens of a document in the order of their positions, so the list of a term is what exploding it
+gives, and whether another term stands at an offset is one look into the same row. Test items are
+cut into windows of WINDOW consecutive words (an item of fewer words is one window). Occurrences
+of terms are counted over all training documents. Each window is searched from the list of its
+rarest term alone: the positions of that list, less the term's offset, are the starts, which are
+intersected with the lists of the next rarer terms at their offsets and then with those of all
+other words, so what is left are exact phrase matches. A window of common words costs one list.
+Documents are read in place; only matches are shuffled. ``phrase_matches`` gives them as rows;
+``proximity_matches`` gives test terms that occur in order within a span.
+
+Test windows go to every task in blocks of at most BLOCK_WINDOWS (some 200 bytes each: 20 MB); a
+larger test set takes more passes over the stored postings.
 
 Words are runs of a-z (A-Z lower-cased), 0-9 and characters over U+007F. Defined cases: a null
 text has no words, hits or items; an item without words has no window; equal items all count.
-Repeated rows of documents are judged each by their doc_id: rows that share one are searched
-each. An empty table on either side gives no hit. Only doc_id, item_id and text are read.
+Repeated rows of documents are judged each. An empty table on either side gives no hit. A phrase
+without words has no proximity match. Only doc_id, item_id and text are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from parley.llm.common import staged, workspace
+from parley.llm.common import Workspace, staged, workspace
 
 WINDOW, KEYS = 10, 3
-BROADCAST_WINDOWS = 100_000
-#: Candidates with their words and items, some 230 bytes each: 70 MB at most.
-BROADCAST_CANDIDATES = 300_000
+BLOCK_WINDOWS = 100_000
+#: Documents with hits, some 100 bytes each, up to which they are sent to every task: 50 MB.
+BROADCAST_HITS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -43,73 +43,64 @@ def words_of(text: Column) -> Column:
 
 
 def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """words, items: distinct windows and the ids of the items that hold them."""
-    rows = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """item_id (as string), window (its hash), words: the windows of every item."""
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     rows = rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("words"))
-    return rows.groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-
-
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """key, pos, term for the words of ``docs`` (key, text) among ``terms`` (term)."""
-    exploded = docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return exploded.join(terms, "term").select("key", "pos", "term")
-
-
-class Index:
-    """Windows of the test items, each with its rarest terms by their count in the documents."""
-
-    def __init__(self, docs: DataFrame, items: DataFrame, staged: Callable[[DataFrame, str], DataFrame], size: int = WINDOW, keys: int = KEYS):
-        self.staged = staged
-        windows = windows_of(items, size).withColumn("window", F.xxhash64("words"))
-        self.windows = staged(windows, "test-windows")
-        self.small = self.windows.count() <= BROADCAST_WINDOWS
-        terms = staged(self.windows.select(F.explode("words").alias("term")).distinct(), "test-terms")
-        exploded = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-        counts = staged(exploded.join(self._sent(terms), "term").groupBy("term").agg(F.count("*").alias("n")), "term-counts")
-        offsets = self.windows.select("window", F.posexplode("words").alias("offset", "term")).join(self._sent(counts), "term", "left").fillna(0, ["n"])
-        rank = F.row_number().over(W.partitionBy("window").orderBy("n", "term", "offset"))
-        # A term that no document has rules its window out.
-        ruled = F.min("n").over(W.partitionBy("window")) > 0
-        self.keys = staged(offsets.withColumn("rank", rank).withColumn("possible", ruled).where("possible").where(F.col("rank") <= keys).select("window", "term", "offset"), "window-keys")
-        self.n_keys = keys
-
-    def _sent(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.small else df
-
-    def candidates(self, docs: DataFrame) -> DataFrame:
-        """key, window, start (0-based): starts on which all keys of a window agree."""
-        # One row a term with all its windows, so postings are not multiplied before they are stored.
-        terms = self.keys.select("term").distinct()
-        stored = self.staged(postings(docs, self._sent(terms)), "postings")
-        starts = stored.join(self._sent(self.keys), "term").select("key", "window", "offset", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
-        need = self.keys.groupBy("window").agg(F.count("*").alias("need"))
-        agreed = starts.groupBy("key", "window", "start").agg(F.size(F.collect_set("offset")).alias("n"))
-        return agreed.join(self._sent(need), "window").where("n = need").select("key", "window", "start")
-
-
-def _found(docs: DataFrame, items: DataFrame, size: int, keys: int) -> DataFrame:
-    """Every row of docs (key, doc_id, w: its words) with ``found``: its exact matches (start, n, items)."""
-    with workspace(docs.sparkSession) as stage:
-        index = Index(docs, items, stage, size, keys)
-        found = index.candidates(docs).join(index._sent(index.windows), "window").select("key", F.struct("start", "words", "items").alias("c"))
-        found = staged(found.groupBy("key").agg(F.collect_list("c").alias("found")), "candidates")
-    if (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_CANDIDATES:
-        found = F.broadcast(found)
-    rows = docs.join(found, "key", "left").select("key", "doc_id", words_of(F.col("text")).alias("w"), "found")
-    exact = F.filter("found", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["words"])) == c["words"])
-    return rows.withColumn("found", F.array_sort(F.transform(exact, lambda c: F.struct(c["start"].alias("start"), F.size(c["words"]).alias("n"), c["items"].alias("items")))))
+    return rows.select("item_id", F.sha2(F.array_join("words", " "), 256).alias("window"), "words").distinct()
+
+
+def indexed(docs: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id, w: the positional postings of each document. Stage it
+    before use: the numbers are fixed when it is written."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("w"))
+
+
+def keyed_windows(windows: DataFrame, index: DataFrame, keys: int = KEYS) -> DataFrame:
+    """window, words, term and offset of its rarest word, others: offsets of the next rarer ones
+    from the rarest on. A window with a word that no document has is left out."""
+    counts = index.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    offsets = windows.select("window", F.posexplode("words").alias("offset", "term"))
+    ranked = offsets.join(counts, "term", "left").fillna(0, ["n"]).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("r"))
+    ranked = ranked.where(F.col("r")[0]["n"] > 0)  # at most WINDOW words each
+    others = F.transform(F.slice("r", F.lit(2), F.lit(keys - 1)), lambda x: x["offset"])
+    return windows.join(ranked, "window").select("window", "words", F.col("r")[0]["term"].alias("term"), F.col("r")[0]["offset"].alias("offset"), others.alias("others"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with equal doc_id and text are one for the search; the key tells rows that differ apart."""
-    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "doc_id", F.col("text").cast("string").alias("text"))
+def matches(index: DataFrame, windows: DataFrame, keys: int = KEYS) -> DataFrame:
+    """row, doc_id, start, n, window: every occurrence of a window of ``keyed_windows``."""
+    lists = index.select("row", "doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    found = lists.join(F.broadcast(windows), "term").withColumn("start", F.col("pos") - F.col("offset"))
+    agree = (F.col("start") >= 0) & (F.col("start") + F.size("words") <= F.size("w"))
+    for k in range(keys - 1):
+        at = F.get("others", F.lit(k))
+        agree = agree & F.coalesce(F.get("w", F.col("start") + at) == F.get("words", at), F.lit(True))
+    exact = F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words")
+    return found.where(agree & exact).select("row", "doc_id", "start", F.size("words").alias("n"), "window")
+
+
+def _found(index: DataFrame, windows: DataFrame, stage: Workspace, keys: int) -> DataFrame:
+    """``matches`` of all windows, block by block."""
+    keyed = stage(keyed_windows(windows.select("window", "words").distinct(), index, keys), "window-keys")
+    blocks = max(1, -(-keyed.count() // BLOCK_WINDOWS))
+    found = None
+    for k in range(blocks):
+        block = stage(matches(index, keyed.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k), keys), "matches")
+        found = block if found is None else found.unionByName(block)
+    return found
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, keys: int = KEYS) -> DataFrame:
     """doc_id, start, n_words, item_id: every exact occurrence of a test window."""
-    rows = _found(_keyed(docs), items, size, keys).select("doc_id", F.explode("found").alias("f"))
-    return rows.select("doc_id", F.col("f.start").alias("start"), F.col("f.n").alias("n_words"), F.explode("f.items").alias("item_id"))
+    with workspace(docs.sparkSession) as stage:
+        index, windows = stage(indexed(docs), "postings"), stage(windows_of(items, size), "test-windows")
+        found = _found(index, windows, stage, keys).join(windows.select("window", "item_id"), "window")
+        return staged(found.select("doc_id", "start", F.col("n").alias("n_words"), "item_id"), "phrase-matches")
+
+
+def _postings(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """row, pos, term for the words of ``index`` among ``terms`` (term)."""
+    return index.select("row", F.posexplode("w").alias("pos", "term")).join(terms, "term")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
@@ -118,37 +109,58 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFra
     word is carried along the others by an as-of step over the merged positions."""
     terms = phrases.select("phrase_id", F.posexplode(words_of(F.col("text"))).alias("k", "term"))
     lengths = terms.groupBy("phrase_id").agg((F.max("k") + 1).alias("length"))
-    keyed = _keyed(docs)
-    stored = staged(postings(keyed, terms.select("term").distinct()).join(terms, "term").select("key", "phrase_id", "pos", "k"), "proximity-postings")
+    index = staged(indexed(docs), "postings")
+    stored = staged(_postings(index, terms).select("row", "phrase_id", "pos", "k"), "proximity-postings")
     longest = lengths.agg(F.max("length")).first()[0] or 0
-    live = stored.where("k = 0").select("key", "phrase_id", F.col("pos").alias("start"), F.col("pos").alias("end"))
+    live = stored.where("k = 0").select("row", "phrase_id", F.col("pos").alias("start"), F.col("pos").alias("end"))
     done = None
     for k in range(1, longest + 1):
-        ended = live.join(lengths.where(F.col("length") == k), "phrase_id").select("phrase_id", "key.doc_id", "start", "end")
+        ended = live.join(lengths.where(F.col("length") == k), "phrase_id").select("phrase_id", "row", "start", "end")
         done = ended if done is None else done.union(ended)
-        nxt = stored.where(F.col("k") == k).select("key", "phrase_id", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "pos")
+        nxt = stored.where(F.col("k") == k).select("row", "phrase_id", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "pos")
         both = live.withColumn("pos", F.col("end")).unionByName(nxt)
         # The next word's nearest position after each end; ends sort after words at the same place.
-        order = W.partitionBy("key", "phrase_id").orderBy(F.desc("pos"), F.col("start").isNull().cast("int")).rowsBetween(W.unboundedPreceding, -1)
+        order = W.partitionBy("row", "phrase_id").orderBy(F.desc("pos"), F.col("start").isNull().cast("int")).rowsBetween(W.unboundedPreceding, -1)
         step = both.withColumn("next", F.last(F.when(F.col("start").isNull(), F.col("pos")), ignorenulls=True).over(order))
-        live = step.where("start IS NOT NULL AND next IS NOT NULL").where(F.col("next") - F.col("start") < span).select("key", "phrase_id", "start", F.col("next").alias("end"))
-    return done if done is not None else keyed.select(F.lit(None).cast("long").alias("phrase_id"), "doc_id", F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
+        live = step.where("start IS NOT NULL AND next IS NOT NULL").where(F.col("next") - F.col("start") < span).select("row", "phrase_id", "start", F.col("next").alias("end"))
+    if done is None:
+        done = live.select("phrase_id", "row", "start", "end")
+    return done.join(index.select("row", "doc_id"), "row").select("phrase_id", "doc_id", "start", "end")
 
 
 def decontamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, keys: int = KEYS) -> DataFrame:
     """Contract columns."""
-    rows = _found(_keyed(docs), items, size, keys)
-    none = F.array().cast("array<struct<start:int,n:int,items:array<string>>>")
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce("found", none).alias("found"))
-    # Matches are sorted by start: what each adds beyond the furthest end so far.
-    hit = F.aggregate(
-        "found",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
-        lambda a, m: F.struct((a["n"] + F.greatest(F.lit(0), m["start"] + m["n"] - F.greatest(m["start"], a["end"]))).alias("n"), F.greatest(a["end"], m["start"] + m["n"]).alias("end")),
-    )
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda m: m["items"]))))
-    rows = rows.select("doc_id", "n_words", hit["n"].alias("n_hit"), found.alias("items"))
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    with workspace(docs.sparkSession) as stage:
+        index, windows = stage(indexed(docs), "postings"), stage(windows_of(items, size), "test-windows")
+        found = _found(index, windows, stage, keys)
+        # What each match adds beyond the furthest end so far.
+        before = W.partitionBy("row").orderBy("start", "n").rowsBetween(W.unboundedPreceding, -1)
+        end = F.col("start") + F.col("n")
+        places = found.select("row", "start", "n").distinct().withColumn("past", F.coalesce(F.max(end).over(before), F.lit(0)))
+        hits = places.groupBy("row").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "past"))).cast("long").alias("n_hit"))
+        named = found.select("row", "window").distinct().join(windows.select("window", "item_id"), "window")
+        named = named.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+        hits = stage(hits.join(named, "row"), "hits")
+        if hits.count() <= BROADCAST_HITS:
+            hits = F.broadcast(hits.withColumns(_item_columns()).drop("items"))
+        else:
+            hits = hits.withColumns(_item_columns()).drop("items")
+        rows = index.select("row", "doc_id", F.size("w").cast("long").alias("n_words")).join(hits, "row", "left")
+        return staged(
+            rows.select(
+                "doc_id",
+                "n_words",
+                F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+                F.coalesce("n_items", F.lit(0)).alias("n_items"),
+                F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+                (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            ),
+            "decontamination",
+        )
+
+
+def _item_columns() -> dict[str, Column]:
+    return {"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)}
 
 
 ORACLE_SQL = """
