@@ -1,58 +1,62 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
 A document is its set of distinct 5-word shingles (of all its words, if fewer), as hashes.
-Documents with equal sets are one class and searched once. Two global orders of the shingles
-are used, by hash ascending and descending, each refined by frequency:
-
-* Under an order, the extended prefix of a set of n holds its first p + l - 1 shingles, with
-  p = n - ceil(t n) + 1 and l a share of n. Two sets with Jaccard >= t share their first min(l)
-  common shingles inside both extended prefixes.
-* Frequencies of prefix shingles are counted over all sets. A set with fewer than l(ceil(t n))
-  prefix shingles that another set has too can have no partner and leaves; of the others the
-  l(ceil(t n)) - 1 most frequent ones are dropped, and every pair still shares one that is left.
-  So a passage that many documents hold never is what pairs are made of, unless it is nearly all
-  that they hold.
-* What is left after the first order is small; both orders are then applied to it with a longer
-  prefix, half of a set from either end. A candidate
-  pair must share a kept shingle under both orders, and only then are the full sets compared.
+Documents with equal sets are one class and searched once. What can't be linked leaves in steps
+of growing cost, each of them exact:
+
+* Under the order of hashes, the first n - ceil(t n) + l shingles of a set of n hold at least
+  l(ceil(t n)) shingles of any partner, l being FIRST per cent. Sets whose prefixes share fewer
+  with anything leave. Only these prefixes are stored for all documents; the sets of those that
+  are left are made again from their texts.
+* A set of n that shares fewer than ceil(t n) shingles with all other sets together leaves.
+* Of the others, the shingles that others have too are put into two global orders, both rare ones
+  first: by frequency and hash, and by the logarithm of the frequency and descending hash. Two
+  sets of n and m overlap by at least a = ceil(t / (1 + t) (n + m)), so under any order their
+  first common shingle has a - 1 of the shared ones after it on either side. Candidates share a
+  shingle whose places under the first order leave that much for their own two sizes, and have
+  shingles in common in their prefixes under the second order; only then are sets compared.
+  Shingles that no one else has weigh in here: near copies of one text that differ too much from
+  each other have too many of these to meet at all.
 
 Pairs are never expanded within a group. First each class is compared with one pivot, a row of
 common shingles in its groups; classes that pass form trees. Groups whose members lie in one
 tree need no more. From the others come pairs between different trees, only of rows outside a
-group's largest tree, and only those whose 512-bit maps allow the similarity. Components of
-the verified links are found by minimum labels with pointer jumping, staged in the shared
-folder.
+group's largest tree. Components of the verified links are found by minimum labels with pointer
+jumping, staged in the shared folder.
 
 Defined cases: a null text or one without words has an empty set (n_shingles 0) and is linked
-with nothing; its component is its own id. Rows that share a doc_id are searched by their own
-text. A row without doc_id takes the component of its class, or none. Only doc_id and text are
-read.
+with nothing; its component is its own id. Rows that share a doc_id are searched each by its own
+text and get the component of that text. A row without doc_id takes the component of its class,
+or none. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import chunks, filled, raw_text, staged, workspace
+from parley.llm.common import Workspace, chunks, filled, raw_text, staged, workspace
 
 SHINGLE, PERCENT = 5, 80
-#: Links between fewer rows than this go to every task, more are joined by a shuffle.
+#: Rows of a few numbers up to which a table goes to every task (at most some 50 MB there); more
+#: are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 BUCKET_TOKENS = 150_000
-EMIT_TOKENS = 1_000_000
-BITMAP_LONGS, STAR_ROUNDS = 8, 1
-#: Per cent of a set that partners share within their prefixes: little for all sets, and for those
-#: left so much that the prefixes of both orders are the halves of a set.
-FIRST, HALVES = 6, 30
-Stage = Callable[[DataFrame, str], DataFrame]
-MASK = np.uint64((1 << 48) - 1)
+EMIT_TOKENS = 400_000
+#: Equal sets that a task knows of; a set seen beyond it is counted again, which lets it pass on.
+SEEN_SETS = 50_000
+STAR_ROUNDS = 1
+#: Per cent of a set by which the first prefixes are longer than needed for one common shingle.
+FIRST = 6
+MASK = np.uint64((1 << 47) - 1)
+#: Marks a shingle that a task has found in several sets.
+SHARED = np.uint64(1 << 47)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
 BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _random = np.random.default_rng(20240229)
@@ -121,32 +125,30 @@ def extended_prefix(n: int, percent: int, share: int) -> int:
     return n - required(n, percent) + common_prefix(n, share)
 
 
-def least_shared(n: Column, percent: int, share: int) -> Column:
-    """common_prefix of the smallest partner of a set of n."""
-    return F.greatest(F.lit(1), F.ceil(share * F.ceil(percent * n / 100) / 100)).cast("int")
-
-
-def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sig (hash of the whole set, null without one), tokens (48-bit hashes,
-    sorted, six bytes each)."""
+def with_sets(docs: DataFrame, percent: int, share: int | None) -> DataFrame:
+    """doc_id, n_shingles, n, sig (hash of the whole set, null without one), tokens (n 47-bit hashes,
+    sorted, six bytes each): the whole set, or its extended prefix if ``share`` is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(filled(part.column(1)))
-                tokens = [packed(np.unique(s & MASK)) for s in sets]
+                tokens = [np.unique(s & MASK) for s in sets]
+                sizes = [len(t) for t in tokens]
+                if share is not None:
+                    tokens = [t[: extended_prefix(len(t), percent, share)] for t in tokens]
                 sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "n_shingles", "sig", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(map(packed, tokens), pa.binary())], names=["doc_id", "n_shingles", "n", "sig", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, sig binary, tokens binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, n long, sig binary, tokens binary")
 
 
-def prefix_tokens(sets: DataFrame, percent: int, share: int, descending: bool) -> DataFrame:
-    """id, kept, weight: for each set that can have a partner its kept prefix shingles under one order,
-    and how common its prefix shingles are (mean logarithm of their frequencies). ``sets``: id, n,
-    sig, tokens. Sets of one task with equal sig count once."""
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, math.ceil((100 - percent + share) / 100 * total / BUCKET_TOKENS))
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """id, shared: how many of a row's shingles another row has too. ``sets``: id, sig, tokens. Rows of
+    one task with equal sig count once. A shingle that a task meets in several rows is counted
+    there and sent on once, so a common one is no hot key."""
+    total = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    buckets = max(8, math.ceil(total / 6 / BUCKET_TOKENS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -154,22 +156,28 @@ def prefix_tokens(sets: DataFrame, percent: int, share: int, descending: bool) -
 
         def flush() -> pa.RecordBatch:
             t, i = np.concatenate(tokens), np.concatenate(ids)
-            b = (t % np.uint64(buckets)).astype(np.int64)
+            distinct, first, inverse, n = np.unique(t, return_index=True, return_inverse=True, return_counts=True)
+            done, times = np.unique(i[n[inverse] > 1], return_counts=True)
+            t, i = np.where(n > 1, distinct | SHARED, distinct), i[first]
+            b = (distinct % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(b, kind="stable")
             t, i, b = t[by], i[by], b[by]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]])
-            spans = list(zip(cuts[:-1], cuts[1:]))
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(b[cuts[:-1]].astype(np.int32)), "tokens": pa.array([packed(t[x:y]) for x, y in spans], pa.binary()), "ids": pa.array([i[x:y].tobytes() for x, y in spans], pa.binary())})
+            spans, empty = list(zip(cuts[:-1], cuts[1:])), [b""] * (len(cuts) - 2)
+            lucky = int(distinct[0]) % len(spans)  # which bucket takes along what is counted
+            place = lambda x: [*empty[:lucky], x, *empty[lucky:]]
+            return pa.RecordBatch.from_pydict({
+                "bucket": pa.array(b[cuts[:-1]].astype(np.int32)), "tokens": pa.array([packed(t[x:y]) for x, y in spans], pa.binary()), "ids": pa.array([i[x:y].tobytes() for x, y in spans], pa.binary()),
+                "done": pa.array(place(done.tobytes()), pa.binary()), "times": pa.array(place(times.astype(np.int64).tobytes()), pa.binary()),
+            })
 
         for batch in batches:
             for key, sig, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if sig in seen:
+                if not raw or sig in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < SEEN_SETS:
                     seen.add(sig)
                 own = unpacked(raw)
-                n = extended_prefix(len(own), percent, share)
-                own = own[-n:] if descending else own[:n]
                 tokens.append(own)
                 ids.append(np.full(len(own), key, np.int64))
                 held += len(own)
@@ -182,19 +190,44 @@ def prefix_tokens(sets: DataFrame, percent: int, share: int, descending: bool) -
     def count(groups: pa.Table) -> pa.Table:
         t = np.concatenate([unpacked(x) for x in groups.column("tokens").to_pylist()])
         i = np.concatenate([np.frombuffer(x, np.int64) for x in groups.column("ids").to_pylist()])
-        _, inverse, n = np.unique(t, return_inverse=True, return_counts=True)
-        df = n[inverse]
-        more = df > 1
-        return pa.table({"id": pa.array(i[more]), "token": pa.array(t[more].astype(np.int64)), "df": pa.array(df[more].astype(np.int32))})
-
-    shared = sets.select("id", "sig", "tokens").mapInArrow(emit, "bucket int, tokens binary, ids binary").groupBy("bucket").applyInArrow(count, "id long, token long, df int")
-    lists = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    keep = F.size("t") - least_shared(F.col("n"), percent, share) + 1
-    return lists.join(sets.select("id", "n"), "id").withColumn("keep", keep).where("keep > 0").select(
-        "id",
+        marked = t >= SHARED
+        _, inverse, n = np.unique(t & MASK, return_inverse=True, return_counts=True)
+        own, times = np.unique(i[(n[inverse] > 1) & ~marked], return_counts=True)
+        columns = [[np.frombuffer(x, np.int64) for x in groups.column(c).to_pylist()] for c in ("done", "times")]
+        return pa.table({"id": pa.array(np.concatenate([own, *columns[0]])), "n": pa.array(np.concatenate([times, *columns[1]]))})
+
+    found = sets.select("id", "sig", "tokens").mapInArrow(emit, "bucket int, tokens binary, ids binary, done binary, times binary")
+    return found.groupBy("bucket").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("shared"))
+
+
+def least_shared(n: Column, percent: int, share: int) -> Column:
+    """common_prefix of the smallest partner of a set of n."""
+    return F.greatest(F.lit(1), F.ceil(share * F.ceil(percent * n / 100) / 100)).cast("int")
+
+
+def prefixes(sets: DataFrame, percent: int, stage: Workspace) -> DataFrame:
+    """id, n, shared (its shingles that other sets have too), kept and kept2 (those that a partner must
+    have one of, under either order), weight (mean logarithm of the frequencies). ``sets``: id, n, tokens."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(2).to_pylist()
+            if raw:
+                sizes = [len(x) // 6 for x in raw]
+                ids, n = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(unpacked(b"".join(raw)).view(np.int64))], names=["id", "n", "token"])
+
+    rows = sets.select("id", "n", "tokens").mapInArrow(emit, "id long, n long, token long")
+    common = stage(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    lists = rows.join(common, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    lists = lists.withColumn("shared", F.size("t")).withColumn("keep", (F.col("shared") - F.ceil(percent * F.col("n") / 100) + 1).cast("int")).where("keep > 0")
+    second = F.sort_array(F.transform("t", lambda x: F.struct(F.floor(F.log2(x["df"].cast("double"))).alias("d"), (-x["token"]).alias("token"))))
+    return lists.select(
+        "id", "n", "shared",
         F.transform(F.slice("t", F.lit(1), F.col("keep")), lambda x: x["token"]).alias("kept"),
+        F.transform(F.slice(second, F.lit(1), F.col("keep")), lambda x: -x["token"]).alias("kept2"),
         (F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log(x["df"].cast("double"))) / F.col("n")).alias("weight"),
-    )
+    )
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -202,6 +235,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def may_link(percent: int) -> Column:
+    """Of rows with both sides' columns (the second one's with a y_): whether sizes and places leave
+    enough shingles from here on."""
+    n, m = F.col("n"), F.col("y_n")
+    left = lambda y: (100 + percent) * (F.col(f"{y}shared") - F.col(f"{y}place")) >= percent * (n + m)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & left("") & left("y_")
+
+
+def under_second_order(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose prefixes under the second order meet."""
+    left, right = (lists.select(F.col("id").alias(c), F.col("kept2").alias(f"kept_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("kept_a", "kept_b")).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
 
@@ -218,99 +265,80 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, staged: Stage) -> DataFrame:
+def components(edges: DataFrame, stage: Workspace) -> DataFrame:
     """id, root: the smallest id that edges (a, b) reach from each id they name."""
-    both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")), "labels")
+    both = stage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")), "labels")
     while True:
         known = labels.select(F.col("id").alias("b"), "root")
         near = both.join(_small(known), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = labels.join(near, "id").select("id", F.least("root", "near").alias("new"), F.col("root").alias("old"))
-        step = staged(step, "labels")
+        step = stage(step, "labels")
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("next"))
-        after = staged(step.join(_small(jump), "new").select("id", F.least("new", "next").alias("root"), (F.least("new", "next") != F.col("old")).alias("moved")), "labels")
+        after = stage(step.join(_small(jump), "new").select("id", F.least("new", "next").alias("root"), (F.least("new", "next") != F.col("old")).alias("moved")), "labels")
         labels = after.select("id", "root")
         if not after.where("moved").limit(1).count():
             return labels
 
 
-def bitmaps(sets: DataFrame) -> DataFrame:
-    """id, n, b0 .. b7: 512 bits that a set's shingles fall on."""
-    names = [f"b{i}" for i in range(BITMAP_LONGS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = np.zeros((batch.num_rows, BITMAP_LONGS), np.uint64)
-            for i, raw in enumerate(batch.column(2).to_pylist()):
-                t = unpacked(raw)
-                np.bitwise_or.at(words[i], (t % np.uint64(64 * BITMAP_LONGS) >> np.uint64(6)).astype(np.int64), np.uint64(1) << (t & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in words.T.copy()]], names=["id", "n", *names])
-
-    return sets.select("id", "n", "tokens").mapInArrow(run, "id long, n long, " + ", ".join(f"{x} long" for x in names))
-
-
-def may_reach(percent: int) -> Column:
-    """Bitmap filter of rows with both sides' columns (the second one's with a y_): a bit that one
-    side lacks is a shingle that it lacks, which bounds the overlap from above."""
-    lacks = lambda a, b: F.expr(" + ".join(f"bit_count({a}b{i} & ~{b}b{i})" for i in range(BITMAP_LONGS)))
-    both = percent * (F.col("n") + F.col("y_n"))
-    return ((100 + percent) * (F.col("n") - lacks("", "y_")) >= both) & ((100 + percent) * (F.col("y_n") - lacks("y_", "")) >= both)
-
-
-def stars(tokens: DataFrame, sets: DataFrame, percent: int, staged: Stage) -> DataFrame:
-    """a, b: verified links of rows (token, id, root, weight) with a pivot. The pivot of a shingle group
-    is its row with the most common shingles, which near copies differ least from; each row is
-    compared with the one pivot of another tree that it meets most often."""
-    pivots = tokens.groupBy("token").agg(F.max_by(F.struct("id", "root"), F.struct("weight", -F.col("id"))).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    met = tokens.join(pivots.select("token", "p"), "token").where("p.root <> root").groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("n"))
-    star = met.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    return verified(staged(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "pivots"), sets, percent)
+def stars(tokens: DataFrame, percent: int) -> DataFrame:
+    """a, b: candidate links of rows (token, place, id, root, n, shared, weight) with a pivot. The pivot of
+    a shingle group is its row with the most common shingles, which near copies differ least
+    from; each row is held against the one pivot of another tree that it meets most often."""
+    own = ("id", "root", "n", "shared", "place")
+    pivots = tokens.groupBy("token").agg(F.max_by(F.struct(*own), F.struct("weight", -F.col("id"))).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    met = tokens.join(pivots.select("token", *[F.col(f"p.{c}").alias(f"y_{c}") for c in own]), "token").where((F.col("root") != F.col("y_root")) & may_link(percent))
+    met = met.groupBy("id", F.col("y_id").alias("pivot")).agg(F.count("*").alias("n"))
+    return met.groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b"))
 
 
-def linked_classes(sets: DataFrame, percent: int, staged: Stage) -> DataFrame:
+def linked_classes(sets: DataFrame, percent: int, stage: Workspace) -> DataFrame:
     """id, root of the distinct sets (id, n, sig, tokens) that are linked with another."""
-    first = staged(prefix_tokens(sets, percent, HALVES, False), "order-1")
-    sets = staged(sets.join(_small(first.select("id")), "id", "left_semi"), "order-1-sets")
-    second = staged(prefix_tokens(sets, percent, HALVES, True), "order-2")
-    both = staged(first.join(second.select("id", F.col("kept").alias("kept2")), "id"), "both-orders")
-    tokens = both.select("id", "weight", F.explode("kept").alias("token"))
+    enough = shared_counts(sets).join(sets.select("id", "n"), "id").where(F.col("shared") >= F.ceil(percent * F.col("n") / 100))
+    sets = stage(sets.join(_small(stage(enough.select("id"), "enough-shared")), "id", "left_semi"), "sets-with-enough-shared")
+    lists = stage(prefixes(sets, percent, stage), "prefixes")
+    groups = lists.select("id", "n", "shared", "weight", F.posexplode("kept").alias("place", "token"))
     links, rooted = None, None
     for _ in range(STAR_ROUNDS):
-        now = tokens.withColumn("root", F.col("id")) if rooted is None else tokens.join(_small(rooted), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        found = staged(stars(now, sets, percent, staged), "stars")
+        now = groups.withColumn("root", F.col("id")) if rooted is None else groups.join(_small(rooted), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        found = under_second_order(stage(stars(now, percent), "pivots"), lists)
+        found = stage(verified(found, sets, percent), "stars")
         links = found if links is None else links.unionByName(found)
-        rooted = components(links, staged)
+        rooted = components(links, stage)
     # Pairs between different trees that share a kept shingle: rows outside the largest tree of a
     # group against all of its rows.
-    place = both.select("id", "kept").join(_small(rooted), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = place.select("id", "root", F.explode("kept").alias("token"))
+    rows = groups.drop("weight").join(_small(rooted), "id", "left").withColumn("root", F.coalesce("root", "id"))
     trees = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count("*").alias("trees")).where("trees > 1")
-    rows = rows.join(trees.select("token", "top"), "token").withColumn("inside", F.col("root") == F.col("top")).drop("top")
-    rows = staged(rows.join(bitmaps(sets), "id"), "open-groups")
+    rows = stage(rows.join(trees.select("token", "top"), "token").withColumn("inside", F.col("root") == F.col("top")).drop("top"), "open-groups")
     other = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in rows.columns if c != "token"])
-    fits = (F.col("root") != F.col("y_root")) & (F.col("y_inside") | (F.col("id") < F.col("y_id"))) & (100 * F.least("n", "y_n") >= percent * F.greatest("n", "y_n")) & may_reach(percent)
+    fits = (F.col("root") != F.col("y_root")) & (F.col("y_inside") | (F.col("id") < F.col("y_id"))) & may_link(percent)
     pairs = rows.where("NOT inside").join(other, "token").where(fits).select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct()
-    pairs = staged(pairs, "order-1-pairs")
-    orders = both.select("id", "kept2")
-    pairs = pairs.join(orders.withColumnsRenamed({"id": "a", "kept2": "k"}), "a").join(orders.withColumnsRenamed({"id": "b", "kept2": "l"}), "b").where(F.arrays_overlap("k", "l")).select("a", "b")
-    return components(links.unionByName(verified(staged(pairs, "both-orders-pairs"), sets, percent)), staged)
+    pairs = stage(under_second_order(stage(pairs, "order-1-pairs"), lists), "both-orders-pairs")
+    return components(links.unionByName(verified(pairs, sets, percent)), stage)
 
 
 def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Contract columns: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    with workspace(spark) as stage:
-        every = stage(document_sets(docs), "sets")
+    with workspace(docs.sparkSession) as stage:
+        first = stage(with_sets(docs, percent, FIRST), "first-prefixes")
+        every = stage(first.drop("tokens"), "signatures")
+        counts = shared_counts(first.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id"))
         known = every.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-        nodes = known.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "tokens")
-        near = stage(prefix_tokens(nodes, percent, FIRST, False).select("id"), "may-have-partners")
-        # Of equal sets among them one goes on, under the smallest doc_id of its class.
+        near = known.join(counts.withColumnRenamed("id", "doc_id"), "doc_id").where(F.col("shared") >= least_shared(F.col("n"), percent, FIRST))
+        near = stage(near.groupBy("sig", "doc_id").agg(F.count("*").alias("copies")), "may-have-partners")
+        stage.drop(first)
+        # Of equal sets one goes on, under a number of its own: rows that share a doc_id may differ.
         classes = stage(known.groupBy("sig").agg(F.min("doc_id").alias("class_id")), "classes")
-        chosen = nodes.select("id", "sig").join(_small(near), "id", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
-        chosen = stage(chosen.join(classes, "sig"), "chosen")
-        sets = nodes.join(_small(chosen.select("id", "class_id")), "id").select(F.col("class_id").alias("id"), "n", "sig", "tokens").dropDuplicates(["id"])
-        linked = linked_classes(stage(sets, "distinct-sets"), percent, stage)
-        found = stage(classes.join(_small(stage(linked, "components")), F.col("class_id") == F.col("id"), "left").select("sig", F.coalesce("root", "class_id").alias("component")), "class-components")
+        chosen = near.groupBy("sig").agg(F.min_by("copies", "doc_id").alias("copies"), F.min("doc_id").alias("doc_id"))
+        chosen = stage(chosen.withColumn("id", F.monotonically_increasing_id()), "chosen")
+        texts = docs.join(_small(stage(chosen.select("doc_id").distinct(), "chosen-rows")), "doc_id", "left_semi")
+        made = with_sets(texts, percent, None).join(_small(chosen), ["doc_id", "sig"])
+        made = made.select("copies", "id", "n", "sig", "tokens")
+        sets = made.where("copies = 1").unionByName(made.where("copies > 1").dropDuplicates(["id"])).drop("copies")
+        linked = stage(linked_classes(stage(sets, "distinct-sets"), percent, stage), "components")
+        named = stage(chosen.join(_small(linked), "id").join(classes, "sig").select("sig", "root", "class_id"), "linked-classes")
+        named = named.join(_small(stage(named.groupBy("root").agg(F.min("class_id").alias("component")), "smallest-ids")), "root")
+        found = stage(classes.join(_small(stage(named.select("sig", "component"), "named")), "sig", "left").select("sig", F.coalesce("component", "class_id").alias("component")), "class-components")
         out = every.select("doc_id", "n_shingles", "sig").join(found, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         return staged(out, "jaccard-components")
 

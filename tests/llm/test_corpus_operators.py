@@ -305,7 +305,7 @@ def test_ngram_join_empty(frame):
 
 
 def test_prefix_bounds():
-    """Two sets at the similarity share enough shingles inside both extended prefixes."""
+    """Two sets at the similarity share enough shingles inside both first prefixes."""
     rng = random.Random(3)
     for _ in range(3000):
         n = rng.randint(1, 60)
@@ -313,7 +313,7 @@ def test_prefix_bounds():
         b = [x for x in a if rng.random() < 0.93] + rng.sample(range(10_000, 20_000), rng.randint(0, 4))
         if not b or 100 * len(set(a) & set(b)) < 80 * len(set(a) | set(b)):
             continue
-        for share in (ngram_join.FIRST, ngram_join.HALVES):
+        for share in (ngram_join.FIRST, 30):
             e = [set(sorted(s)[: ngram_join.extended_prefix(len(s), 80, share)]) for s in (a, b)]
             least = min(ngram_join.common_prefix(len(s), share) for s in (a, b))
             assert len(e[0] & e[1]) >= least
@@ -321,6 +321,33 @@ def test_prefix_bounds():
                 assert ngram_join.common_prefix(ngram_join.required(len(s), 80), share) <= least
 
 
+def test_ngram_join_shared_ids(frame):
+    """Rows that share a doc_id are searched each by its own text."""
+    rng = random.Random(12)
+    a, b = prose(rng, 80), prose(rng, 80)
+    texts = [(8, a), (8, b), (8, b), (20, a + " more"), (21, b + " more"), (22, b), (30, prose(rng, 80)), (30, prose(rng, 9))]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(frame(texts)).collect()}
+    assert got == {(8, 76, 8), (20, 77, 8), (21, 77, 8), (22, 76, 8), (30, 76, 30), (30, 5, 30)}
+    own = [(4, a), (4, b), (7, b + " more"), (9, a + " more")]
+    frames = ngram_join.ngram_jaccard_join(frame([(40, a), (6, a + " x"), (40, b), (50, b + " y")])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in frames) == [(6, 6), (40, 6), (40, 40), (50, 40)]
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(frame(own)).collect()} == {(4, 4), (7, 4), (9, 4)}
+
+
+def test_ngram_join_borderline_mass(frame):
+    """Copies of one text whose similarities lie on both sides of the threshold."""
+    rng = random.Random(13)
+    base = prose(rng, 100).split()
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(100)] = rng.choice(WORDS[:40])
+        texts.append((i, " ".join(words[: rng.randint(88, 100)])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(frame(texts)).collect()}
+    assert got == brute_components(texts)
+
+
 # Pipeline
 
 
