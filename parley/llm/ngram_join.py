@@ -47,7 +47,8 @@ SHINGLE, PERCENT = 5, 80
 #: Rows of a few numbers up to which a table goes to every task (at most some 50 MB there); more
 #: are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-BUCKET_TOKENS = 150_000
+#: Shingles of a group that are counted together, and rows of one whose counts are summed together.
+BUCKET_TOKENS, PART_IDS = 150_000, 50_000
 EMIT_TOKENS = 400_000
 #: Equal sets that a task knows of; a set seen beyond it is counted again, which lets it pass on.
 SEEN_SETS = 50_000
@@ -147,8 +148,9 @@ def shared_counts(sets: DataFrame) -> DataFrame:
     """id, shared: how many of a row's shingles another row has too. ``sets``: id, sig, tokens. Rows of
     one task with equal sig count once. A shingle that a task meets in several rows is counted
     there and sent on once, so a common one is no hot key."""
-    total = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    buckets = max(8, math.ceil(total / 6 / BUCKET_TOKENS))
+    size = sets.agg(F.sum(F.octet_length("tokens")).alias("bytes"), F.count("*").alias("n")).first()
+    buckets = max(8, math.ceil((size["bytes"] or 0) / 6 / BUCKET_TOKENS))
+    parts = max(8, math.ceil(size["n"] / PART_IDS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -193,11 +195,25 @@ def shared_counts(sets: DataFrame) -> DataFrame:
         marked = t >= SHARED
         _, inverse, n = np.unique(t & MASK, return_inverse=True, return_counts=True)
         own, times = np.unique(i[(n[inverse] > 1) & ~marked], return_counts=True)
-        columns = [[np.frombuffer(x, np.int64) for x in groups.column(c).to_pylist()] for c in ("done", "times")]
-        return pa.table({"id": pa.array(np.concatenate([own, *columns[0]])), "n": pa.array(np.concatenate([times, *columns[1]]))})
+        ids, n = summed(groups, "done", "times", own, times)
+        part = (mixed(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        by = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[by], np.arange(parts + 1))
+        spans = [(k, by[x:y]) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+        return pa.table({"part": pa.array([k for k, _ in spans], pa.int32()), "ids": pa.array([ids[x].tobytes() for _, x in spans], pa.binary()), "n": pa.array([n[x].tobytes() for _, x in spans], pa.binary())})
+
+    def total(groups: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(("id", "shared"), map(pa.array, summed(groups, "ids", "n")))))
 
     found = sets.select("id", "sig", "tokens").mapInArrow(emit, "bucket int, tokens binary, ids binary, done binary, times binary")
-    return found.groupBy("bucket").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("shared"))
+    return found.groupBy("bucket").applyInArrow(count, "part int, ids binary, n binary").groupBy("part").applyInArrow(total, "id long, shared long")
+
+
+def summed(groups: pa.Table, ids: str, n: str, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids of packed columns (and of ``more``) and the sums of their counts."""
+    columns = [[np.frombuffer(x, np.int64) for x in groups.column(c).to_pylist()] for c in (ids, n)]
+    found, inverse = np.unique(np.concatenate([*more[:1], *columns[0]]), return_inverse=True)
+    return found, np.bincount(inverse, np.concatenate([*more[1:], *columns[1]]), len(found)).astype(np.int64)
 
 
 def least_shared(n: Column, percent: int, share: int) -> Column:
