@@ -16,3 +16,14 @@ def apply_model(rows: DataFrame, model: Callable[[list[str]], list[int]]) -> Dat
             yield frame[["chat_id", "pos"]].assign(answer=model(frame["content"].fillna("").tolist()))
 
     return rows.mapInPandas(run, "chat_id long, pos long, answer long")
+
+
+def apply_pair_model(pairs: DataFrame, keys: list[str], model: Callable[[list[tuple[str, str]]], list[str]]) -> DataFrame:
+    """``keys`` of pairs (left, right) with ``answer``, what the callable says of the two texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[keys].assign(answer=model(list(zip(frame["left"].fillna(""), frame["right"].fillna("")))))
+
+    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    return pairs.select(*keys, "left", "right").mapInPandas(run, f"{schema}, answer string")
