@@ -12,22 +12,22 @@ def placed(messages: DataFrame, scope: str = "chat_id", order: tuple[str, ...] =
 
 
 def neighbours(rows: DataFrame, radius: int, scope: str = "chat_id") -> DataFrame:
-    """Pairs of rows at most ``radius`` places apart, each with the later one as ``b``: an equi-join on
-    (scope, place), so no group meets itself. Columns of both sides are prefixed a_ and b_."""
-    left = rows.select(F.col(scope).alias("scope"), *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != scope]).withColumn("at", F.explode(F.sequence(F.col("a_pos") + 1, F.col("a_pos") + radius)))
-    right = rows.select(F.col(scope).alias("scope"), *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != scope]).withColumn("at", F.col("b_pos"))
-    return left.join(right, ["scope", "at"]).drop("at")
+    """Pairs of rows at most ``radius`` places apart, each with the later one as ``b``: the rows before
+    each one come from a window over the scope's order, so nothing is joined or shuffled again.
+    Columns of both sides are prefixed a_ and b_."""
+    columns = [c for c in rows.columns if c != scope]
+    before = F.collect_list(F.struct(*columns)).over(W.partitionBy(scope).orderBy("pos").rowsBetween(-radius, -1))
+    pairs = rows.withColumn("_before", before).select(F.col(scope).alias("scope"), *[F.col(c).alias(f"b_{c}") for c in columns], F.explode("_before").alias("_a"))
+    return pairs.select("scope", *[F.col(f"_a.{c}").alias(f"a_{c}") for c in columns], *[f"b_{c}" for c in columns])
 
 
 def rank_near_blocks(rows: DataFrame, keys: dict[str, Column], radius: int, scope: str, order: list[str], row: str) -> DataFrame:
     """Candidate pairs by blocking: rows that share a key in a scope and are at most ``radius`` ranks
     apart under it. a < b in order; ``reasons`` are the keys, sorted."""
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("reason"), c.cast("string").alias("key")) for n, c in keys.items()]))
-    keyed = rows.select(F.col(scope).alias("scope"), F.col(row).alias("row"), *[F.col(c).alias(f"o_{c}") for c in order], parts.alias("p")).where("p.key IS NOT NULL")
-    block = W.partitionBy("scope", "p.reason", "p.key").orderBy(*[f"o_{c}" for c in order])
-    ranked = keyed.select("scope", "row", F.col("p.reason").alias("reason"), F.col("p.key").alias("key"), F.row_number().over(block).alias("rank"))
-    left = ranked.withColumnRenamed("row", "a").withColumn("rank", F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + radius)))
-    pairs = left.join(ranked.withColumnRenamed("row", "b"), ["scope", "reason", "key", "rank"])
+    keyed = rows.select(F.col(scope).alias("scope"), F.col(row).alias("b"), *[F.col(c).alias(f"o_{c}") for c in order], parts.alias("p")).where("p.key IS NOT NULL")
+    block = W.partitionBy("scope", "p.reason", "p.key").orderBy(*[f"o_{c}" for c in order]).rowsBetween(-radius, -1)
+    pairs = keyed.withColumn("before", F.collect_list("b").over(block)).select(F.explode("before").alias("a"), "b", F.col("p.reason").alias("reason"))
     return pairs.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,7 +14,7 @@ from parley.operators.islands import adaptive_cutoffs, balanced_chunks, capped_p
 from parley.plans import scans
 from parley.plans.archive import DAY, START, M
 from parley.plans.registry import query
-from parley.sources.tables import event_messages, table, turn_messages
+from parley.sources.tables import between, event_messages, table, turn_messages
 from parley.streaming.state import cooldown_decisions
 
 MINUTE = 60_000_000
@@ -32,8 +35,9 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {M} SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS local_day, count(*) AS n FROM m WHERE us >= {START + DAY - 8 * 3_600_000_000} AND us < {START + 8 * DAY - 8 * 3_600_000_000} GROUP BY 1""")
 def local_day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inclusive local dates as a half-open range of UTC instants, cut by Shanghai's days."""
-    low, high = (F.expr(f"unix_micros(to_utc_timestamp(timestamp'{d} 00:00:00+00:00', 'Asia/Shanghai'))") for d in ("2024-01-02", "2024-01-09"))
-    m = event_messages(spark, sf_dir).where((F.col("us") >= low) & (F.col("us") < high))
+    zone = ZoneInfo("Asia/Shanghai")
+    low, high = (int(datetime.datetime(2024, 1, d, tzinfo=zone).timestamp()) * 1_000_000 for d in (2, 9))
+    m = between(event_messages(spark, sf_dir), low, high)
     day = F.date_format(F.expr("ts + INTERVAL 8 HOUR"), "yyyy-MM-dd")
     return m.groupBy(day.alias("local_day")).agg(F.count("*").alias("n"))
 
@@ -71,11 +75,11 @@ def reply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooldown_decisions(event_messages(spark, sf_dir), candidate=F.col("value") >= 40, cooldown_us=6 * 60 * MINUTE)
 
 
-@query("""SELECT c_custkey AS sender_id, regexp_matches(c_name, '^(?:wxid_|gh_|[0-9]+$)') AS internal, CASE WHEN regexp_matches(c_name, '^(?:wxid_|gh_|[0-9]+$)') THEN 'contact ' || c_custkey ELSE c_name END AS label,
+@query("""SELECT c_custkey AS sender_id, regexp_matches(c_name, '^(?:[a-z]+_id_|[0-9]+$)') AS internal, CASE WHEN regexp_matches(c_name, '^(?:[a-z]+_id_|[0-9]+$)') THEN 'contact ' || c_custkey ELSE c_name END AS label,
  c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 750 AS resolved FROM customer""")
 def sender_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Display names: internal ids are no names. An identity is resolved by a trusted source and confidence."""
-    internal = F.col("c_name").rlike("^(?:wxid_|gh_|[0-9]+$)")
+    internal = F.col("c_name").rlike("^(?:[a-z]+_id_|[0-9]+$)")
     label = F.when(internal, F.concat(F.lit("contact "), F.col("c_custkey"))).otherwise(F.col("c_name"))
     resolved = F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_acctbal") >= 750)
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sender_id"), internal.alias("internal"), label.alias("label"), resolved.alias("resolved"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from parley.operators.upsert import enrich_upsert, latest_by_key, protected_latest, task_states
 from parley.plans.registry import query
-from parley.sources.tables import event_messages, table, turn_messages, union_shards
+from parley.sources.tables import between, event_messages, instant, table, turn_messages, union_shards
 
 M = "m AS (SELECT event_id AS row_id, user_id AS chat_id, ts, epoch_us(ts) AS us, event_type AS kind, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
 DAY = 86_400_000_000
@@ -31,7 +31,7 @@ def conversation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind AS shard, row_id, chat_id, us FROM r WHERE n <= 50""")
 def sharded_chat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per shard the newest 50 rows past a watermark in a half-open range; shards are appended."""
-    m = event_messages(spark, sf_dir).where((F.col("us") >= START + DAY) & (F.col("us") < START + 20 * DAY) & (F.col("row_id") > 100))
+    m = between(event_messages(spark, sf_dir), START + DAY, START + 20 * DAY).where("row_id > 100")
     n = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("us"), F.desc("row_id")))
     return m.withColumn("n", n).where("n <= 50").select(F.col("kind").alias("shard"), "row_id", "chat_id", "us")
 
@@ -39,7 +39,7 @@ def sharded_chat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {M} SELECT row_id, chat_id, us, kind FROM m WHERE us >= {START + 2 * DAY} AND us < {START + 9 * DAY} ORDER BY us, row_id LIMIT 500")
 def archive_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-open range, a true first n by (time, row)."""
-    m = event_messages(spark, sf_dir).where((F.col("us") >= START + 2 * DAY) & (F.col("us") < START + 9 * DAY))
+    m = between(event_messages(spark, sf_dir), START + 2 * DAY, START + 9 * DAY)
     return m.select("row_id", "chat_id", "us", "kind").orderBy("us", "row_id").limit(500)
 
 
@@ -242,6 +242,7 @@ def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyset page: strictly before the cursor, one row more than the page to tell if there is more."""
     m = event_messages(spark, sf_dir)
     before = F.struct("us", "row_id") < F.struct(F.lit(START + 10 * DAY), F.lit(0).cast("long"))
+    m = m.where(F.col("ts") <= instant(START + 10 * DAY))  # implied, and known to the scan
     return m.where(before).orderBy(F.desc("us"), F.desc("row_id")).limit(51).select("row_id", "chat_id", "us", "kind")
 
 

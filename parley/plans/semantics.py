@@ -21,6 +21,7 @@ from parley.sources.tables import event_messages, table, turn_messages
 from parley.streaming.ingest import hourly_counts_stream, ingest_stream
 
 HOUR = 60 * MINUTE
+PERIOD_ROWS = 400
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[?]|%%%') THEN 'question' WHEN regexp_matches(text, '(?i)(?:^|[^a-z])(?:this|este|diese)(?:[^a-z]|$)') THEN 'opinion' WHEN regexp_matches(text, '(?i)(?:^|[^a-z])(?:are|sur)(?:[^a-z]|$)') THEN 'hypothesis' WHEN contains(text, '@') THEN 'personal' ELSE 'reported' END AS profile FROM documents""")
@@ -178,13 +179,13 @@ def greeting_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("row_id").alias("greeting"), "topic_us", F.when(F.col("topic_us").isNull(), "no_topic").when(F.col("topic_us") - F.col("us") > 24 * HOUR, "late").otherwise("follows").alias("boundary"))
 
 
-@query(f"""WITH {M}, d AS (SELECT chat_id, (us // {DAY})::BIGINT AS day, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, sum(n) OVER (ORDER BY n DESC, chat_id, day ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM (SELECT * FROM d ORDER BY n DESC, chat_id, day LIMIT 200)) SELECT chat_id, day, n, total FROM r WHERE total <= 400""")
+@query(f"""WITH {M}, d AS (SELECT chat_id, (us // {DAY})::BIGINT AS day, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, sum(n) OVER (ORDER BY n DESC, chat_id, day ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM d) SELECT chat_id, day, n, total FROM r WHERE total <= {PERIOD_ROWS}""")
 def active_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole periods of a chat, the busiest first, until a cap of rows is full; chosen by metadata."""
     d = event_messages(spark, sf_dir).groupBy("chat_id", F.floor(F.col("us") / DAY).alias("day")).agg(F.count("*").alias("n"))
     order = [F.desc("n"), F.col("chat_id"), F.col("day")]
-    top = d.orderBy(*order).limit(200)  # the cap can't hold more
-    return top.withColumn("total", F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).where("total <= 400")
+    top = d.orderBy(*order).limit(PERIOD_ROWS)  # a period has a row at least, so the cap holds no more
+    return top.withColumn("total", F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).where(F.col("total") <= PERIOD_ROWS)
 
 
 ANCHORS = """t AS (SELECT doc_id, source, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{11,}'))) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM t GROUP BY term), a AS (SELECT * FROM df WHERE df BETWEEN 2 AND 8)"""

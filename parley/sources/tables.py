@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +27,17 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def instant(us: int) -> Column:
+    """A constant of the type of ``ts``, so that comparisons with it reach the scan."""
+    at = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=us)
+    return F.lit(str(at)).cast("timestamp_ntz")
+
+
+def between(messages: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """Rows of the half-open range, filtered on the stored time."""
+    return messages.where((F.col("ts") >= instant(start_us)) & (F.col("ts") < instant(end_us)))
+
+
 def turn_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns: chat_id, pos, role, is_self (true, false or unknown), content."""
     turns = table(spark, sf_dir, "conversations")

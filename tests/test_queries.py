@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import pytest
 
@@ -51,3 +52,14 @@ def test_plans_push_down(spark):
     assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
     plan = __spark_entry__.queries()["tasks_with_messages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,P)" in plan
+
+
+def test_time_ranges_reach_the_scan(spark):
+    """Half-open ranges and cursors are filters on the stored time, which the scan takes."""
+    found = __spark_entry__.queries()
+    for name in ("archive_range_scan", "sharded_chat_scan", "local_day_range", "feed_page"):
+        plan = found[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        pushed = re.findall(r"PushedFilters: \[([^\]]*)", plan)
+        assert any("ts," in x and "Than" in x for x in pushed), (name, pushed)
+    near = found["context_neighbours"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert near.count("Exchange hashpartitioning(chat_id") == 1 and "Join" not in near
