@@ -147,11 +147,20 @@ def message_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.recognition(F.col("text"), P).alias("class"))
 
 
-@query("""WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(text, '^[^.\\n]*', 0)), 'https?://\\S+', '', 'g'), '\\[[a-z]+\\]', '', 'g'), '[^a-z0-9]', '', 'g') AS sig FROM documents)
-SELECT sig, count(*) AS n, min(doc_id) AS first_doc FROM b WHERE length(sig) BETWEEN 3 AND 36 GROUP BY sig""")
+SIGNED = """p AS (SELECT doc_id, source, lang, unnest(regexp_extract_all(text, '[^.\\n]+')) AS piece FROM documents),
+b AS (SELECT doc_id, source, lang, regexp_replace(regexp_replace(regexp_replace(lower(piece), 'https?://\\S+', '', 'g'), '\\[[a-z]+\\]', '', 'g'), '[^a-z0-9]', '', 'g') AS sig FROM p)"""
+
+
+def signed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, sig of every piece of a text that is short enough to be repeated as one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.explode(F.regexp_extract_all("text", F.lit("[^.\\n]+"), F.lit(0))).alias("piece"))
+    return d.select("doc_id", "source", "lang", T.meme_signature(F.col("piece")).alias("sig")).where("sig IS NOT NULL")
+
+
+@query(f"WITH {SIGNED} SELECT sig, count(*) AS n, min(doc_id) AS first_doc FROM b WHERE length(sig) BETWEEN 3 AND 36 GROUP BY sig HAVING count(*) >= 2")
 def meme_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.meme_signature(F.regexp_extract("text", "^[^.\\n]*", 0)).alias("sig")).where("sig IS NOT NULL")
-    return d.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    """Signatures that pieces of texts share."""
+    return signed_pieces(spark, sf_dir).groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n >= 2")
 
 
 @query("WITH t AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS term FROM documents) SELECT term, count(*) AS df, count(DISTINCT source) AS sources FROM t GROUP BY term HAVING count(*) >= 2")
@@ -299,11 +308,11 @@ def adaptive_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_cutoffs(event_messages(spark, sf_dir))
 
 
-@query("""WITH s AS (SELECT sha256(regexp_replace(lower(regexp_extract(text, '^[^\\n]*', 0)), '[^a-z]', '', 'g')) AS sig, doc_id, source, lang, length(regexp_replace(lower(regexp_extract(text, '^[^\\n]*', 0)), '[^a-z]', '', 'g')) >= 10 AS long FROM documents)
+@query("""WITH s AS (SELECT sha256(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS sig, doc_id, source, lang, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) >= 10 AS long FROM documents)
 SELECT CASE WHEN long THEN sig ELSE 'doc ' || doc_id END AS sig, count(*) AS n, count(DISTINCT source) AS chats, min(doc_id) AS first_doc, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM s GROUP BY 1""")
 def small_matter_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matters of one signature are merged; signatures under ten letters are kept apart."""
-    bare = F.regexp_replace(F.lower(F.regexp_extract("text", "^[^\\n]*", 0)), "[^a-z]", "")
+    bare = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     sig = F.when(F.length(bare) >= 10, F.sha2(bare, 256)).otherwise(F.concat(F.lit("doc "), F.col("doc_id")))
     rows = table(spark, sf_dir, "documents").select(sig.alias("sig"), "doc_id", "source", "lang")
     return rows.groupBy("sig").agg(F.count("*").alias("n"), F.countDistinct("source").alias("chats"), F.min("doc_id").alias("first_doc"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))

@@ -14,7 +14,7 @@ from parley.operators.pairs import as_of, cluster_sizes, neighbours, placed, ran
 from parley.plans import scans
 from parley.plans.analytics import MINUTE, SCORED, _session_sql, scored_documents
 from parley.plans.archive import DAY, M
-from parley.plans.registry import query
+from parley.plans.registry import also, query
 from parley.streaming.state import cooldown_decisions
 from parley.sources.tables import event_messages, table, turn_messages
 
@@ -83,14 +83,14 @@ def pair_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"), label.alias("label"), conflict.alias("must_not_link"))
 
 
-@query("""WITH c AS (SELECT o_custkey AS cand, list_sort(list_distinct(list(o_orderpriority))) AS ev FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey), b AS (SELECT s_suppkey AS code, list_sort(['1-URGENT', CASE WHEN s_suppkey % 2 = 0 THEN '2-HIGH' ELSE '5-LOW' END]) AS ev FROM supplier WHERE s_suppkey < 12),
+@query("""WITH c AS (SELECT o_custkey AS cand, list_sort(list_distinct(list(o_orderpriority))) AS ev FROM orders GROUP BY o_custkey), b AS (SELECT s_suppkey AS code, list_sort(['1-URGENT', CASE WHEN s_suppkey % 2 = 0 THEN '2-HIGH' ELSE '5-LOW' END]) AS ev FROM supplier),
 j AS (SELECT cand, code, c.ev = b.ev AS exact FROM c JOIN b ON list_has_any(c.ev, b.ev)),
 g AS (SELECT cand, count(*) AS n, count(*) FILTER (exact) AS n_exact, min(code) FILTER (exact) AS exact_code, min(code) AS code FROM j GROUP BY cand)
 SELECT c.cand, CASE WHEN n_exact >= 1 THEN exact_code WHEN n = 1 THEN g.code END AS code, CASE WHEN n_exact = 1 THEN 'exact' WHEN n_exact > 1 THEN 'exact_many' WHEN n = 1 THEN 'overlap' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how FROM c LEFT JOIN g ON c.cand = g.cand""")
 def evidence_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates to codebook rows by their evidence sets, never by text: exact set, else the only
     overlapping one, else ambiguous or none."""
-    return _overlap(table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), table(spark, sf_dir, "supplier").where("s_suppkey < 12"))
+    return _overlap(table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier"))
 
 
 def _overlap(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -105,36 +105,21 @@ def _overlap(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
     return c.join(g, "ev", "left").select("cand", F.when(F.col("ne") >= 1, F.col("ec")).when(F.col("n") == 1, F.col("c1")).alias("code"), how.alias("how"))
 
 
-@query("""WITH c AS (SELECT o_custkey AS cand, list_sort(list_distinct(list(o_orderpriority))) AS ev FROM orders GROUP BY o_custkey), b AS (SELECT s_suppkey AS code, list_sort(['1-URGENT', CASE WHEN s_suppkey % 2 = 0 THEN '2-HIGH' ELSE '5-LOW' END]) AS ev FROM supplier),
-j AS (SELECT cand, code, c.ev = b.ev AS exact FROM c JOIN b ON list_has_any(c.ev, b.ev)),
-g AS (SELECT cand, count(*) AS n, count(*) FILTER (exact) AS n_exact, min(code) FILTER (exact) AS exact_code, min(code) AS code FROM j GROUP BY cand)
-SELECT c.cand, CASE WHEN n_exact >= 1 THEN exact_code WHEN n = 1 THEN g.code END AS code, CASE WHEN n_exact = 1 THEN 'exact' WHEN n_exact > 1 THEN 'exact_many' WHEN n = 1 THEN 'overlap' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how FROM c LEFT JOIN g ON c.cand = g.cand""")
-def evidence_overlap_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """evidence_overlap_join of all orders with the whole codebook."""
-    return _overlap(table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier"))
-
-
-ALIGN = """a AS (SELECT l_orderkey AS ev, l_partkey AS a FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 40 = 0), b AS (SELECT l_orderkey AS ev, l_suppkey + 100000 AS b FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 40 = 0)"""
+also("evidence_overlap_join_whole", "evidence_overlap_join")
 
 
-@query(f"""WITH RECURSIVE {ALIGN}, e AS (SELECT DISTINCT a, b FROM a JOIN b USING (ev)), s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
-r AS (SELECT x AS i, x AS c FROM s UNION SELECT s.y, r.c FROM r JOIN s ON s.x = r.i), k AS (SELECT i, min(c) AS root FROM r GROUP BY i)
-SELECT root, count(*) FILTER (i < 100000) AS n_a, count(*) FILTER (i >= 100000) AS n_b, CASE WHEN count(*) = 2 THEN 'matched' ELSE 'ambiguous' END AS status FROM k GROUP BY root""")
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS ev, l_linenumber AS line, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber IN (1, 2)),
+e AS (SELECT DISTINCT 2 * x.l_partkey AS a, 2 * y.l_suppkey + 1 AS b FROM l x JOIN l y ON x.ev = y.ev AND x.line = 1 AND y.line = 2),
+s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x AS i, x AS c FROM s UNION SELECT s.y, r.c FROM r JOIN s ON s.x = r.i),
+k AS (SELECT i, min(c) AS root FROM r GROUP BY i)
+SELECT root, count(*) FILTER (i % 2 = 0) AS n_a, count(*) FILTER (i % 2 = 1) AS n_b, CASE WHEN count(*) = 2 THEN 'matched' ELSE 'ambiguous' END AS status FROM k GROUP BY root""")
 def bipartite_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sides joined by shared evidence; components of one each are matched, larger ones ambiguous."""
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0")  # noqa: E741
-    a = l.where("l_linenumber = 1").select(F.col("l_orderkey").alias("ev"), F.col("l_partkey").alias("a"))
-    b = l.where("l_linenumber = 2").select(F.col("l_orderkey").alias("ev"), (F.col("l_suppkey") + 100000).alias("b"))
-    roots = components(a.join(b, "ev").select("a", "b").distinct())
-    out = roots.groupBy("root").agg(F.count_if(F.col("id") < 100000).alias("n_a"), F.count_if(F.col("id") >= 100000).alias("n_b"))
-    return out.withColumn("status", F.when(F.col("n_a") + F.col("n_b") == 2, "matched").otherwise("ambiguous"))
+    """Two sides joined by shared evidence; components of one each are matched, larger ones ambiguous.
+    Ids are 2 key for side a and 2 key + 1 for side b, so keys of any size stay apart."""
+    return alignment(table(spark, sf_dir, "lineitem"))
 
 
-@query()
-def bipartite_alignment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bipartite_alignment of all lines. Ids are 2 key for side a and 2 key + 1 for side b, so keys of
-    any size stay apart."""
-    return alignment(table(spark, sf_dir, "lineitem"))
+also("bipartite_alignment_whole", "bipartite_alignment")
 
 
 def alignment(lines: DataFrame) -> DataFrame:
@@ -227,7 +212,7 @@ EDGES = f"{PLACED}, e AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b
 
 
 def _thread_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = neighbours(placed(event_messages(spark, sf_dir).where("row_id >= 0")).select("chat_id", "row_id", "kind", "k", "pos"), 3)
+    x = neighbours(placed(event_messages(spark, sf_dir)).select("chat_id", "row_id", "kind", "k", "pos"), 3)
     return x.where("a_k % 10 = b_k % 10 AND a_kind <> 'error' AND b_kind <> 'error'").select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"))
 
 
@@ -315,22 +300,16 @@ def must_not_link_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(k.select(F.col("id").alias("a"), "root"), "a").join(k.select(F.col("id").alias("b"), "root"), ["b", "root"]).select("a", "b", F.col("root").alias("event_id"))
 
 
-@query("""WITH g AS (SELECT l_partkey AS acu, CASE WHEN l_partkey % 3 = 0 THEN 'must' WHEN l_partkey % 3 = 1 THEN 'may' ELSE 'exclude' END AS label FROM (SELECT DISTINCT l_partkey FROM lineitem)), c AS (SELECT l_orderkey AS claim, l_partkey AS acu FROM lineitem WHERE l_orderkey % 9 = 0),
+@query("""WITH g AS (SELECT l_partkey AS acu, CASE WHEN l_partkey % 3 = 0 THEN 'must' WHEN l_partkey % 3 = 1 THEN 'may' ELSE 'exclude' END AS label FROM (SELECT DISTINCT l_partkey FROM lineitem)), c AS (SELECT l_orderkey AS claim, l_partkey AS acu FROM lineitem),
 k AS (SELECT claim, count(*) FILTER (label <> 'exclude') AS good, count(*) AS refs FROM c JOIN g USING (acu) GROUP BY claim)
 SELECT count(*) AS claims, round(count(*) FILTER (good > 0) / nullif(count(*), 0), 6) AS precision, (SELECT round(count(DISTINCT acu) FILTER (label = 'must') / (SELECT count(*) FROM g WHERE label = 'must'), 6) FROM c JOIN g USING (acu)) AS must_recall, count(*) FILTER (good = 0) AS unsupported FROM k""")
 def acu_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims against content units: precision over all claims, recall of those that must be there."""
     l = _claims(spark, sf_dir)  # noqa: E741
-    return _acu(l, l.where("claim % 9 = 0"))
+    return _acu(l, l)
 
 
-@query("""WITH g AS (SELECT l_partkey AS acu, CASE WHEN l_partkey % 3 = 0 THEN 'must' WHEN l_partkey % 3 = 1 THEN 'may' ELSE 'exclude' END AS label FROM (SELECT DISTINCT l_partkey FROM lineitem)), c AS (SELECT l_orderkey AS claim, l_partkey AS acu FROM lineitem),
-k AS (SELECT claim, count(*) FILTER (label <> 'exclude') AS good, count(*) AS refs FROM c JOIN g USING (acu) GROUP BY claim)
-SELECT count(*) AS claims, round(count(*) FILTER (good > 0) / nullif(count(*), 0), 6) AS precision, (SELECT round(count(DISTINCT acu) FILTER (label = 'must') / (SELECT count(*) FROM g WHERE label = 'must'), 6) FROM c JOIN g USING (acu)) AS must_recall, count(*) FILTER (good = 0) AS unsupported FROM k""")
-def acu_evaluation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """acu_evaluation of all claims."""
-    l = _claims(spark, sf_dir)  # noqa: E741
-    return _acu(l, l)
+also("acu_evaluation_whole", "acu_evaluation")
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:

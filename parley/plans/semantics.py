@@ -14,7 +14,7 @@ from parley.operators.graph import components
 from parley.operators.mentions import mentions
 from parley.operators.pairs import neighbours, placed
 from parley.plans import scans
-from parley.plans.analytics import MINUTE, SCORED, scored_documents
+from parley.plans.analytics import MINUTE, SCORED, SIGNED, scored_documents, signed_pieces
 from parley.plans.archive import DAY, M
 from parley.plans.registry import query
 from parley.sources.tables import event_messages, table, turn_messages
@@ -241,21 +241,33 @@ def _event_clusters(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     return components(e.select("a", "b")).select(F.col("id").alias("doc_id"), F.col("root").alias("event_id"))
 
 
-@query(f"""WITH {M}, p AS (SELECT chat_id, k AS phrase, count(*) AS uses, count(DISTINCT kind) AS kinds, min(us) AS first_us FROM m GROUP BY ALL), s AS (SELECT *, least(95, 30 + 8 * uses + 6 * kinds) AS confidence FROM p WHERE uses >= 2) SELECT * FROM s WHERE confidence >= 55""")
+@query(f"""WITH {SIGNED}, u AS (SELECT source, sig, count(*) AS uses, count(DISTINCT doc_id) AS texts, count(DISTINCT lang) AS langs, min(doc_id) AS first_doc
+  FROM b WHERE length(sig) BETWEEN 3 AND 36 GROUP BY ALL HAVING count(*) >= 2),
+o AS (SELECT sig, count(DISTINCT source) AS chats FROM b WHERE length(sig) BETWEEN 3 AND 36 GROUP BY sig),
+c AS (SELECT source AS chat, sig, uses, texts, chats, first_doc, least(95, 30 + 8 * uses + 6 * texts - 4 * greatest(chats - 3, 0)) AS confidence FROM u JOIN o USING (sig))
+SELECT * FROM c WHERE confidence >= 55 ORDER BY confidence DESC, uses DESC, chat, sig LIMIT 40""")
 def meme_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases that a chat repeats, with a confidence."""
-    p = event_messages(spark, sf_dir).groupBy("chat_id", F.col("k").alias("phrase")).agg(F.count("*").alias("uses"), F.countDistinct("kind").alias("kinds"), F.min("us").alias("first_us")).where("uses >= 2")
-    return p.withColumn("confidence", F.least(F.lit(95), 30 + 8 * F.col("uses") + 6 * F.col("kinds"))).where("confidence >= 55")
-
-
-@query("""WITH r AS (SELECT l_orderkey AS lead, list_sort(list_distinct(list(l_suppkey))) AS refs FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_orderkey), e AS (SELECT lead, refs, unnest(refs) AS ref FROM r),
-p AS (SELECT a.lead AS a, b.lead AS b, count(*) AS shared, any_value(least(len(a.refs), len(b.refs))) AS smaller FROM e a JOIN e b ON a.ref = b.ref AND a.lead < b.lead GROUP BY 1, 2) SELECT a, b, shared FROM p WHERE shared >= (smaller + 1) // 2 AND smaller >= 2""")
+    """Phrases that a chat repeats, less sure where every chat does; the best forty."""
+    p = signed_pieces(spark, sf_dir)
+    u = p.groupBy("source", "sig").agg(F.count("*").alias("uses"), F.countDistinct("doc_id").alias("texts"), F.min("doc_id").alias("first_doc"))
+    chats = u.groupBy("sig").agg(F.count("*").alias("chats"))
+    c = u.where("uses >= 2").join(chats, "sig").withColumnRenamed("source", "chat")
+    points = 30 + 8 * F.col("uses") + 6 * F.col("texts") - 4 * F.greatest(F.col("chats") - 3, F.lit(0))
+    c = c.withColumn("confidence", F.least(F.lit(95), points)).where("confidence >= 55")
+    return c.orderBy(F.desc("confidence"), F.desc("uses"), "chat", "sig").limit(40)
+
+
+@query("""WITH r AS (SELECT l_orderkey AS lead, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_orderkey), e AS (SELECT DISTINCT l_orderkey AS lead, l_suppkey AS ref FROM lineitem),
+p AS (SELECT a.lead AS a, b.lead AS b, count(*) AS shared FROM e a JOIN e b ON a.ref = b.ref AND a.lead <> b.lead WHERE a.lead % 20 = 0 GROUP BY 1, 2)
+SELECT a, b, shared FROM p JOIN r x ON x.lead = a JOIN r y ON y.lead = b WHERE least(x.n, y.n) >= 2 AND shared >= (least(x.n, y.n) + 1) // 2""")
 def citation_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leads whose citations overlap by half of the smaller set, rounded up."""
-    r = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").groupBy(F.col("l_orderkey").alias("a")).agg(F.collect_set("l_suppkey").alias("refs"))
-    e = r.select("a", F.size("refs").alias("n"), F.explode("refs").alias("ref"))
-    p = e.join(e.select(F.col("a").alias("b"), F.col("n").alias("m"), "ref"), "ref").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.any_value(F.least("n", "m")).alias("smaller"))
-    return p.where("shared >= floor((smaller + 1) / 2) AND smaller >= 2").select("a", "b", "shared")
+    """Leads whose citations overlap those of a queried lead by half of the smaller set, rounded up. The
+    queries are the leads whose id 20 divides, against all leads; ``citation_groups`` groups all."""
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("b")).agg(F.collect_set("l_suppkey").alias("refs")).withColumn("m", F.size("refs"))
+    e = r.where("m >= 2").select("b", "m", F.explode("refs").alias("ref"))
+    q = e.where("b % 20 = 0").select(F.col("b").alias("a"), F.col("m").alias("n"), "ref")
+    p = q.join(e, "ref").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.any_value(F.least("n", "m")).alias("smaller"))
+    return p.where("shared >= floor((smaller + 1) / 2)").select("a", "b", "shared")
 
 
 @query()
