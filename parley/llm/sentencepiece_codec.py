@@ -3,14 +3,15 @@
 The model file gives pieces and scores. A text is escaped (space -> U+2581, one in front)
 and cut where a word ends and a U+2581 run begins; no piece crosses such a cut, so equal
 segments encode alike and are encoded once; a bounded cache keeps them. New segments lie
-in one flat numpy symbol array. In each round every segment finds its best pair by a
-segmented minimum over pair ranks, merges its occurrences at once from the left, and the
-array is compacted until no pair remains.
+in one flat numpy symbol array. In each round a pair merges if no pair of its segment within
+reach ranks ahead of it, all such pairs at once from the left, and the array is compacted until
+no pair remains. Reach is the length of the longest piece: whatever merges further away makes
+pieces that end before they get here. For words within it that is the segmented minimum of pair
+ranks; longer segments take it over a window.
 
-Merging all occurrences at once equals the sequential order only if no pair that a merge
-makes ranks ahead of the merged piece. Pieces for which one could are known from the
-vocabulary; for these only the leftmost occurrence is merged in a round. Segments over
-LONG symbols take a heap instead, which is linear-logarithmic in their length.
+Merging equal pairs at once equals the sequential order only as long as none of these merges
+makes a pair that ranks ahead with a neighbour. Where one does, the equal pairs that follow it
+within reach wait for the next round.
 
 Defined cases: a null text is the empty text, which encodes to the begin and end ids only
 and decodes to the empty text. Characters outside the vocabulary become byte pieces. Only
@@ -20,7 +21,6 @@ and decodes to the empty text. Characters outside the vocabulary become byte pie
 from __future__ import annotations
 
 import hashlib
-import heapq
 import itertools
 import re
 from collections.abc import Iterator
@@ -35,7 +35,6 @@ from parley.llm.common import chunks, filled
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-LONG = 256
 CACHED = 200_000
 NONE = np.int64(1 << 40)
 
@@ -62,6 +61,7 @@ class PieceModel:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece crosses a word boundary; this model needs whole-text merging")
         self.bytes_of = [b"" if lib.is_control(i) else bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.reach = max(map(len, self.ids))
         self.known: dict[str, int] = {}
         self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         # Merge table over (left id, right id), and the pieces whose merge may make a better pair.
@@ -93,30 +93,49 @@ class PieceModel:
         ids = np.array([self.ids.get(chr(c), -1) for c in distinct], np.int64)[inverse] if len(codes) else np.zeros(0, np.int64)
         return ids, np.repeat(np.arange(len(segments)), [len(s) for s in segments]), codes
 
-    def _heap(self, symbols: list[int]) -> list[int]:
-        """The same merges for one long segment, by a queue of pairs. Characters stay as -1-code."""
-        n = len(symbols)
-        nxt, prev, alive, heap = list(range(1, n)) + [-1], list(range(-1, n - 1)), [True] * n, []
-        text = [self.pieces[s] if s >= 0 else "" for s in symbols]
+    def _nearest(self, rank: np.ndarray) -> np.ndarray:
+        """Minimum of the ranks within reach on either side."""
+        out = rank
+        for way in (1, -1):
+            low, span = rank[::way].copy(), 1
+            while span <= self.reach:
+                step = min(span, self.reach + 1 - span)
+                low[:-step] = np.minimum(low[:-step], low[step:])
+                span += step
+            out = np.minimum(out, low[::way])
+        return out
 
-        def push(i: int) -> None:
-            j = nxt[i]
-            if j >= 0 and text[i] and text[j] and (p := text[i] + text[j]) in self.rank:
-                heapq.heappush(heap, (self.rank[p], i, j, p))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, j, p = heapq.heappop(heap)
-            if not (alive[i] and alive[j]) or nxt[i] != j or text[i] + text[j] != p:
-                continue
-            text[i], symbols[i], alive[j], nxt[i] = p, self.ids[p], False, nxt[j]
-            if nxt[j] >= 0:
-                prev[nxt[j]] = i
-            push(i)
-            if prev[i] >= 0:
-                push(prev[i])
-        return [s for s, a in zip(symbols, alive) if a]
+    def _chosen(self, ids: np.ndarray, segment: np.ndarray, made: np.ndarray, rank: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Those of the pairs ``hit`` that the sequential order would merge before anything else
+        changes what is within their reach."""
+        # Overlapping equal pairs: from the left every second one, if the first is free to merge.
+        again = np.concatenate([[False], (rank[1:] == rank[:-1]) & (segment[1:] == segment[:-1])])
+        index = np.arange(len(ids))
+        first = np.maximum.accumulate(np.where(again, 0, index))
+        where = np.flatnonzero(hit & hit[first] & ((index - first) % 2 == 0))
+        if not len(where):
+            return where
+        # Equal pairs within reach of each other form a row; it is followed as far as pieces are the
+        # same and no merge makes a pair with a neighbour that ranks ahead.
+        new_row = np.concatenate([[True], (np.diff(where) > self.reach + 2) | (np.diff(segment[where]) != 0) | (np.diff(rank[where]) != 0)])
+        row = np.cumsum(new_row) - 1
+        lead = where[new_row][row]
+        stop = made[where] != made[lead]
+        ends = np.zeros(len(where), bool)
+        risky = np.flatnonzero(self.unsafe[made[where]])
+        if len(risky):
+            at = where[risky]
+            piece, beside = made[at], np.concatenate([ids, [-1, -1]])
+            right = np.where(np.concatenate([segment, [-1, -1]])[at + 2] == segment[at], beside[at + 2], -1)
+            merged = np.zeros(len(ids), bool)
+            merged[where] = True
+            left = np.where((at >= 2) & merged[at - 2], made[at - 2], np.where((at >= 1) & (segment[at - 1] == segment[at]), ids[at - 1], -1))
+            pairs = self._merged(np.concatenate([left, piece]), np.concatenate([piece, right]))
+            ranks = np.where(pairs >= 0, self.rank_of[pairs], NONE).reshape(2, -1).min(0)
+            ends[risky] = ranks <= rank[at]
+        # Within a row nothing after the first stop or end.
+        over = np.cumsum(stop | np.concatenate([[False], ends[:-1]]))
+        return where[over == over[new_row][row]]
 
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments one after another, and the number of ids of each."""
@@ -125,14 +144,6 @@ class PieceModel:
         lens = np.bincount(owner, minlength=len(segments))
         out_ids, out_owner, out_at = [], [], []
         at = np.arange(len(ids))  # keeps the order of symbols within a segment
-        for k in np.flatnonzero(lens > LONG):
-            start = int(lens[:k].sum())
-            got = self._heap(ids[start : start + lens[k]].tolist())
-            out_ids.append(np.array(got, np.int64))
-            out_owner.append(np.full(len(got), k))
-            out_at.append(np.arange(len(got)))
-        keep = lens[owner] <= LONG
-        ids, owner, at = ids[keep], owner[keep], at[keep]
         while len(ids):
             same = owner[1:] == owner[:-1]
             made = np.full(len(ids), -1, np.int64)
@@ -146,20 +157,14 @@ class PieceModel:
                 out_ids.append(ids[done])
                 out_owner.append(owner[done])
                 out_at.append(at[done])
-            hit = (rank == best[segment]) & ~done
-            # The leftmost of each run of overlapping occurrences, then every second one.
-            index = np.arange(len(ids))
-            run = np.concatenate([[True], ~hit[:-1]]) & hit
-            first = np.maximum.accumulate(np.where(run, index, -1))
-            hit &= (index - first) % 2 == 0
-            # Pieces that may be overtaken, and pieces of equal rank: only the leftmost one.
-            where = np.flatnonzero(hit)
-            if len(where):
-                lead = np.concatenate([[True], segment[where][1:] != segment[where][:-1]])
-                leader = where[np.maximum.accumulate(np.where(lead, np.arange(len(where)), 0))]
-                hit[where[~lead & (self.unsafe[made[leader]] | (made[where] != made[leader]))]] = False
-            ids = np.where(hit, made, ids)
-            gone = np.concatenate([[False], hit[:-1]])
+            lowest = best[segment]
+            wide = np.diff(np.concatenate([starts, [len(ids)]]))[segment] > self.reach
+            if wide.any():
+                lowest[wide] = self._nearest(rank[wide])
+            chosen = self._chosen(ids, segment, made, rank, (rank == lowest) & (rank < NONE))
+            ids[chosen] = made[chosen]
+            gone = np.zeros(len(ids), bool)
+            gone[chosen + 1] = True
             left = ~(gone | done)
             ids, owner, at = ids[left], owner[left], at[left]
         if not out_ids:
