@@ -1,9 +1,12 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule votes a document good (1), bad (-1) or abstains (0). Expectation maximisation over
-the counts of vote patterns (at most 3 to the number of rules, whatever the input) estimates
-how often each rule votes which way on good and on bad documents, and the posterior
-probability that a document is good replaces the demand that it pass every rule.
+Each rule votes a document good (1), bad (-1) or abstains (0). A rule that looks for a defect
+abstains where it finds none: that says little about the rest. Two rules vote good, each for one
+narrow band: ``prose`` if all statistics are those of running text, ``sentences`` if sentences end
+as often as they do there. Expectation maximisation over the counts of vote patterns (at most 3 to the number of
+rules, whatever the input) estimates how often each rule votes which way, abstaining included, on
+good and on bad documents, and the posterior probability that a document is good replaces the
+demand that it pass every rule.
 
 Words are runs of characters other than space and U+0009 to U+000D. Defined cases: a null text
 has no words, symbols or lines; a text without words fails the base rules (n_words < 50).
@@ -23,9 +26,11 @@ from parley.llm.common import staged
 SPACE = "[ \\t-\\r]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+NO_LETTERS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 KEEP = 0.5
 ROUNDS = 50
-STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks")
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks", "n_ends", "n_other")
 
 
 def word_list(text: Column) -> Column:
@@ -51,7 +56,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and STATISTICS of every document, without a shuffle."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", word_list(F.col("text")).alias("words"), lines.alias("lines"))
+    # What is neither a letter of a-z nor white space, a small part of a text, is what most counts need.
+    rest = F.translate("text", UPPER + UPPER.lower() + SPACES, "")
+    rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", word_list(F.col("text")).alias("words"), lines.alias("lines"), rest.alias("rest"))
     windows = F.array_sort(
         F.transform(
             F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))),
@@ -62,12 +69,14 @@ def statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        _counted(F.col("text"), SYMBOLS).alias("n_symbols"),
+        _counted(F.col("rest"), SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        _counted(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        _counted(F.col("text"), "!?").alias("n_marks"),
+        _counted(F.col("text"), UPPER).alias("n_upper"),
+        _counted(F.col("rest"), "!?").alias("n_marks"),
+        _counted(F.col("rest"), ".!?").alias("n_ends"),
+        _counted(F.col("rest"), NO_LETTERS).alias("n_other"),
         F.when(F.size("words") > 3, windows).otherwise(F.array().cast("array<struct<w:string,i:int>>")).alias("windows"),
     )
     return rows.select("doc_id", *[c for c in STATISTICS if c != "n_repeat_words"], repeated_words(F.col("windows"), F.col("n_words")).alias("n_repeat_words")).select("doc_id", *STATISTICS)
@@ -80,17 +89,24 @@ def _ratio(a: str, b: str) -> Column:
 def votes() -> dict[str, Column]:
     """The rules: 1 good, -1 bad, 0 abstains."""
     n = F.col("n_words")
-    vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
-    mean = _ratio("word_chars", "n_words")
+    mean, lines = _ratio("word_chars", "n_words"), _ratio("n_dup_lines", "n_lines")
+    upper, other = _ratio("n_upper", "word_chars"), _ratio("n_other", "word_chars")
+    symbols, marks, ends, repeats, variety = (_ratio(c, "n_words") for c in ("n_symbols", "n_marks", "n_ends", "n_repeat_words", "n_distinct"))
+    defect = lambda bad: F.when(bad, -1).otherwise(0)
+    varied = (variety >= 0.3) | (F.col("n_distinct") >= 300)
+    prose = (n >= 50) & mean.between(3, 10) & (symbols <= 0.02) & (other <= 0.08) & (marks <= 0.05) & (upper <= 0.12) & (lines <= 0.2) & (repeats <= 0.15) & varied
     return {
-        "length": vote(n < 50, n >= 80),
-        "word_length": vote((mean < 2.5) | (mean > 12), (mean >= 3) & (mean <= 10)),
-        "symbols": vote(_ratio("n_symbols", "n_words") > 0.1, _ratio("n_symbols", "n_words") <= 0.02),
-        "marks": vote(_ratio("n_marks", "n_words") > 0.1, _ratio("n_marks", "n_words") <= 0.02),
-        "upper": vote(_ratio("n_upper", "word_chars") > 0.3, _ratio("n_upper", "word_chars") <= 0.12),
-        "lines": vote(_ratio("n_dup_lines", "n_lines") > 0.3, _ratio("n_dup_lines", "n_lines") <= 0.1),
-        "repeats": vote(_ratio("n_repeat_words", "n_words") > 0.2, _ratio("n_repeat_words", "n_words") <= 0.05),
-        "variety": F.when(n < 50, 0).otherwise(vote(_ratio("n_distinct", "n_words") < 0.15, _ratio("n_distinct", "n_words") >= 0.3)),
+        "length": defect(n < 50),
+        "word_length": defect((mean < 2.5) | (mean > 12)),
+        "symbols": defect(symbols > 0.1),
+        "letters": defect(other > 0.12),
+        "marks": defect(marks > 0.1),
+        "upper": defect(upper > 0.3),
+        "lines": defect(lines > 0.3),
+        "repeats": defect(repeats > 0.2),
+        "variety": defect((n >= 50) & ~varied & (variety < 0.15)),
+        "prose": F.when(prose, 1).otherwise(0),
+        "sentences": F.when((ends < 0.002) | (ends > 0.5), -1).when(ends.between(0.02, 0.25), 1).otherwise(0),
     }
 
 
@@ -111,29 +127,54 @@ class LabelModel:
         return total
 
 
+#: What rules are held to by a share PRIOR_SHARE of all documents: votes (bad, none, good) of the bad
+#: and the good among these, and how many of them are good. It makes a rule better than chance
+#: and is as strong at every size.
+START = {0: {-1: 0.25, 0: 0.625, 1: 0.125}, 1: {-1: 0.05, 0: 0.45, 1: 0.5}}
+PRIOR_SHARE, START_GOOD = 0.01, 0.8
+
+
 def fit(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> LabelModel:
-    """EM for two classes and rules independent given the class, on the counts of vote patterns.
-    The start: rules are right in four of five votes. Abstaining says nothing about the class."""
+    """EM for two classes and rules independent given the class, on the counts of vote patterns."""
     patterns = [(tuple(r[c] for c in rules), r["n"]) for r in voted.groupBy(*rules).agg(F.count("*").alias("n")).orderBy(*rules).collect()]
-    tables = {r: {-1: (0.8, 0.2), 1: (0.2, 0.8)} for r in rules}
-    prior = 0.8
-    for _ in range(rounds if patterns else 0):
-        sums = {r: {-1: [1.0, 0.25], 1: [0.25, 1.0]} for r in rules}  # a rule is better than chance
-        good_sum, total = 8.0, 10.0
-        for pattern, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(tables[r][v][1] / tables[r][v][0]) for r, v in zip(rules, pattern) if v)
-            good = 1 / (1 + math.exp(-max(min(odds, 700), -700)))
-            good_sum += n * good
-            total += n
+    return expectation_maximisation(patterns, rules, rounds)
+
+
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rules: list[str], rounds: int) -> LabelModel:
+    """The likelier of two solutions: started from the votes' prior, and from the documents that no rule
+    votes bad as the good ones."""
+    held = max(4.0, PRIOR_SHARE * sum(n for _, n in patterns))
+    cast = {r: sorted({p[i] for p, _ in patterns} | {0}) for i, r in enumerate(rules)}  # a vote that is never cast has no share
+
+    def maximised(goods: list[float]) -> LabelModel:
+        sums = {r: {v: [held * START[k][v] for k in (0, 1)] for v in cast[r]} for r in rules}
+        for (pattern, n), good in zip(patterns, goods):
             for r, v in zip(rules, pattern):
-                if v:
-                    sums[r][v][0] += n * (1 - good)
-                    sums[r][v][1] += n * good
-        prior = min(max(good_sum / total, 1e-3), 1 - 1e-3)
-        for r in rules:
-            by = [sums[r][-1][k] + sums[r][1][k] for k in (0, 1)]
-            tables[r] = {v: tuple(min(max(sums[r][v][k] / by[k], 1e-4), 1 - 1e-4) for k in (0, 1)) for v in (-1, 1)}
-    return LabelModel(prior, tables)
+                sums[r][v][0] += n * (1 - good)
+                sums[r][v][1] += n * good
+        by = {r: [sum(x[k] for x in table.values()) for k in (0, 1)] for r, table in sums.items()}
+        tables = {r: {v: tuple(min(max(x[k] / by[r][k], 1e-5), 1.0) for k in (0, 1)) for v, x in table.items()} for r, table in sums.items()}
+        good_sum = sum(n * g for (_, n), g in zip(patterns, goods)) + START_GOOD * held
+        total = sum(n for (_, n), _ in zip(patterns, goods)) + held
+        return LabelModel(min(max(good_sum / total, 1e-3), 1 - 1e-3), tables)
+
+    def expected(model: LabelModel) -> tuple[list[float], float]:
+        """Posteriors of the patterns, and the logarithm of what is maximised."""
+        goods = []
+        fit = held * (START_GOOD * math.log(model.prior) + (1 - START_GOOD) * math.log(1 - model.prior))
+        fit += sum(held * START[k][v] * math.log(p) for table in model.tables.values() for v, both in table.items() for k, p in enumerate(both))
+        for pattern, n in patterns:
+            logs = [math.log(share) + sum(math.log(model.tables[r][v][k]) for r, v in zip(rules, pattern)) for k, share in ((0, 1 - model.prior), (1, model.prior))]
+            goods.append(1 / (1 + math.exp(-max(min(logs[1] - logs[0], 700), -700))))
+            fit += n * (max(logs) + math.log1p(math.exp(-abs(logs[1] - logs[0]))))
+        return goods, fit
+
+    found = []
+    for model in (maximised([]), maximised([0.1 if -1 in p else 0.9 for p, _ in patterns])):
+        for _ in range(rounds if patterns else 0):
+            model = maximised(expected(model)[0])
+        found.append((expected(model)[1], model))
+    return max(found, key=lambda x: x[0])[1]
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
