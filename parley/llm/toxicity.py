@@ -1,10 +1,14 @@
 """Toxic passages by maximum-scoring segment search over token log-odds.
 
-Tokens get the log-odds ratio between toxic and other training documents under an informative
-Dirichlet prior (the corpus background); tokens whose z-score is not significant cost DRIFT.
+Units, which are tokens and their beginnings of PREFIXES letters, get the log-odds ratio between
+toxic and other training documents under an informative Dirichlet prior (the corpus background).
+A unit counts if its likelihood ratio is such that only CHANCE of all units would reach it by
+chance, so the bar follows the size of the sample. A token scores its own log-odds, else those of its longest
+toxic beginning (words that the sample lacks are known by their stems), else it costs DRIFT.
 A linear-time scan (Ruzzo and Tompa) finds all maximal scoring segments of a document, each is
 judged by its extreme-value (Karlin-Altschul) expectation E = K n exp(-lambda S), and the
-evidence of the significant ones, summed, is mapped to a probability by a logistic fit.
+evidence of the significant ones, summed, is mapped to a probability by a logistic fit. K and
+the logistic fit come from documents that the log-odds in use were not learned from (FOLDS).
 
 The log-odds are learned on a bounded sample of labelled documents (SAMPLE_DOCS, by a hash of
 doc_id), so the lexicon that is broadcast is bounded by that sample's tokens; scoring covers
@@ -23,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -34,8 +39,12 @@ from parley.llm.common import bounded_fraction, crc_mod, filled, hash_fraction,
 
 TOKEN = re.compile(r"\w+")
 SAMPLE_DOCS = 20_000
-#: PRIOR: weight of the background as a share of all token counts.
-PRIOR, Z, DRIFT, SIGNIFICANT = 0.05, 3.3, 0.7, 0.05
+PREFIXES = (8, 7, 6, 5, 4)
+#: PRIOR: weight of the background as a share of all counts. CHANCE: units that pass by chance, of
+#: those in TESTABLE documents or more.
+PRIOR, CHANCE, TESTABLE, DRIFT, SIGNIFICANT, FOLDS = 0.05, 20, 4, 0.7, 0.05, 2
+#: Tokens whose score a task remembers.
+CACHED = 200_000
 EULER = 0.5772156649
 BIN, LOW, HIGH = 4, -12, 60
 
@@ -48,6 +57,21 @@ class ToxicityModel:
     slope: float = 0.0
     offset: float = -math.inf
 
+    cache: dict[str, float | None] = field(default_factory=dict, repr=False)
+
+    def weight(self, token: str) -> float | None:
+        """Score of a token, None for one that costs DRIFT."""
+        if token in self.cache:
+            return self.cache[token]
+        get = self.weights.get
+        found = get(token)
+        if found is None:
+            found = next((w for k in PREFIXES if len(token) > k and (w := get(token[:k] + "*")) is not None), None)
+        if len(self.cache) >= CACHED:
+            self.cache.clear()
+        self.cache[token] = found
+        return found
+
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         if math.isinf(self.offset):  # labels of one kind only
             return np.full(len(evidence), float(self.offset > 0))
@@ -78,9 +102,9 @@ def maximal_segments(scores: list[float]) -> list[tuple[float, int, int]]:
 def token_segments(model: ToxicityModel, tokens: list[str]) -> list[tuple[float, int, int]]:
     """Maximal segments of a document, in token positions. Runs of tokens that cost DRIFT are
     summed up first, so the scan only visits tokens of the lexicon."""
-    get, hits = model.weights.get, []
+    weight, hits = model.weight, []
     for i, t in enumerate(tokens):
-        w = get(t)
+        w = weight(t)
         if w is not None:
             hits.append((i, w))
     if not hits:
@@ -112,14 +136,19 @@ def _tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def units(tokens: set[str]) -> set[str]:
+    """Tokens, and their beginnings with a star."""
+    return tokens | {t[:k] + "*" for t in tokens for k in PREFIXES if len(t) > k}
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
-    """Documents and occurrences by token and toxic, summed in each task and then by Spark."""
+    """Documents by unit and toxic, summed in each task and then by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(filled(batch.column(0)).to_pylist(), batch.column(1).to_pylist()):
-                sums[int(toxic > 0)].update(set(_tokens(text)))
+                sums[int(toxic > 0)].update(units(set(_tokens(text))))
         words = list(sums[0].keys() | sums[1].keys())
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
@@ -128,15 +157,21 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string"), "toxic").mapInArrow(count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def log_odds(counts: DataFrame, prior: float = PRIOR, z: float = Z) -> DataFrame:
-    """token, clean, toxic, odds for tokens whose log-odds ratio is significant."""
-    total = counts.agg(F.sum("clean").alias("nc"), F.sum("toxic").alias("nt")).first()
+def log_odds(counts: DataFrame, n_clean: int, n_toxic: int, prior: float = PRIOR, chance: float = CHANCE) -> DataFrame:
+    """token, clean, toxic, odds for units whose share of documents differs significantly between
+    n_clean and n_toxic documents (signed root of the likelihood ratio)."""
+    total = counts.agg(F.sum("clean").alias("nc"), F.sum("toxic").alias("nt"), F.count_if(F.col("clean") + F.col("toxic") >= TESTABLE).alias("n")).first()
     nc, nt = float(total["nc"] or 0), float(total["nt"] or 0)
+    z = NormalDist().inv_cdf(1 - chance / max(total["n"], 20 * chance))
     a = F.lit(prior) * (F.col("clean") + F.col("toxic"))
     prior *= nc + nt
     t, c = F.col("toxic") + a, F.col("clean") + a
     odds = F.log(t / (F.lit(nt + prior) - t)) - F.log(c / (F.lit(nc + prior) - c))
-    return counts.select("token", "clean", "toxic", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z")).where(F.abs("z") >= z)
+    share = (F.col("clean") + F.col("toxic")) / F.lit(float(n_clean + n_toxic))
+    part = lambda seen, wanted: F.when(seen > 0, seen * F.log(seen / wanted)).otherwise(0.0)
+    ratio = sum(part(F.col(k), n * share) + part(n - F.col(k), n * (1 - share)) for k, n in (("clean", float(n_clean)), ("toxic", float(n_toxic))))
+    rows = counts.withColumn("odds", odds).withColumn("z", F.sqrt(F.greatest(2 * ratio, F.lit(0.0))))
+    return rows.where(F.col("z") >= z).where(F.col("clean") + F.col("toxic") >= TESTABLE).select("token", "clean", "toxic", "odds", "z")
 
 
 def _lambda(pairs: list[tuple[float, float]]) -> float:
@@ -151,6 +186,51 @@ def _lambda(pairs: list[tuple[float, float]]) -> float:
     return (low + high) / 2
 
 
+def logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Offset and slope for n rows at each x, y of which are positive; Newton's method."""
+    b = np.array([math.log((y.sum() + 1) / (n.sum() - y.sum() + 1)), 0.1])
+    design = np.column_stack([np.ones(len(x)), x])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
+        h = design.T @ (design * (n * p * (1 - p) + 1e-6)[:, None]) + np.diag([1e-6, 1e-3])
+        b = b + np.clip(np.linalg.solve(h, design.T @ (y - n * p) - np.array([1e-6, 1e-3]) * b), -2, 2)
+    return float(b[0]), float(max(b[1], 0))
+
+
+def lexicon(train: DataFrame) -> dict[str, float]:
+    """Weights of units, of training documents (text, toxic)."""
+    sides = train.agg(F.count_if(F.col("toxic") <= 0).alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic")).first()
+    found = log_odds(token_counts(train), sides["clean"], sides["toxic"]).toPandas()
+    # A unit that speaks for toxic text gains its log-odds, any other token costs DRIFT or more.
+    weights = {t: o - DRIFT if o > 0 else min(o, -DRIFT) for t, o in zip(found["token"], found["odds"])}
+    return {t: w for t, w in sorted(weights.items()) if w > 0 or not t.endswith("*")}
+
+
+def score_shares(docs: DataFrame, model: ToxicityModel) -> list[tuple[float, float]]:
+    """(score, share) of the tokens of documents (text), scores to two decimals."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter = Counter()
+        for batch in batches:
+            for text in filled(batch.column(0)).to_pylist():
+                for token, n in Counter(_tokens(text)).items():
+                    w = shared.value.weight(token)
+                    sums[-DRIFT if w is None else round(w, 2)] += n
+        if sums:
+            yield pa.RecordBatch.from_pydict({"score": pa.array(list(sums), pa.float64()), "n": pa.array(list(sums.values()), pa.int64())})
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").collect()
+    total = sum(r["n"] for r in rows)
+    return [(r["score"], r["n"] / total) for r in rows]
+
+
+def gumbel_log_k(lam_s: float | None) -> float:
+    """ln K from the mean of lambda S - ln n over clean documents: the mean of a Gumbel variable less
+    its place is Euler's constant."""
+    return float(lam_s) - EULER if lam_s is not None else 0.0
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
     known = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     sample = known.where(hash_fraction(F.col("doc_id"), bounded_fraction(known.count(), sample_docs), 5))
@@ -158,32 +238,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> T
         sample = F.broadcast(sample)
     # Of copies of a text one trains: they would pass for so many observations.
     train = docs.select("doc_id", "text").join(sample, "doc_id").where(F.col("text").isNotNull())
-    train = staged(train.groupBy(F.sha2("text", 256).alias("key")).agg(F.min_by(F.struct("text", "toxic"), F.struct("doc_id", "toxic")).alias("one")).select("one.text", "one.toxic"), "toxicity-training")
+    train = train.groupBy(F.sha2("text", 256).alias("key")).agg(F.min_by(F.struct("text", "toxic"), F.struct("doc_id", "toxic")).alias("one"))
+    train = staged(train.select("one.text", "one.toxic", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).alias("fold")), "toxicity-training")
     sides = {r["toxic"] > 0: r["n"] for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    model = ToxicityModel()
     if len(sides) < 2:
-        model.offset = math.inf if sides.get(True) else -math.inf
-        return model
-    lexicon = log_odds(token_counts(train)).toPandas().sort_values("token")
-    # A token that speaks for toxic text gains its log-odds, any other costs DRIFT or more.
-    model.weights = {t: o - DRIFT if o > 0 else min(o, -DRIFT) for t, o in zip(lexicon["token"], lexicon["odds"])}
-    clean = float(lexicon["clean"].sum())
-    tokens = max(float(train.where("toxic <= 0").select(F.sum(F.size(F.split("text", " ")))).first()[0] or 0), clean + 1)
-    pairs = [(model.weights[t], (c + 0.5) / tokens) for t, c in zip(lexicon["token"], lexicon["clean"])]
-    model.lam = _lambda([*pairs, (-DRIFT, max(1 - sum(p for _, p in pairs), 0.0))])
-    # K by the mean of lambda S - ln n over clean documents that have a segment.
-    gumbel = _scan(train.where("toxic <= 0"), model).where("best > 0").agg(F.avg(F.lit(model.lam) * F.col("best") - F.log(F.greatest("n", F.lit(1)))).alias("m")).first()["m"]
-    model.log_k = float(gumbel) - EULER if gumbel is not None else 0.0
-    bins = _scan(train, model).groupBy(F.round(F.col("evidence") * BIN).alias("bin")).agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("int")).alias("y")).orderBy("bin").toPandas()
-    x, n, y = bins["bin"].to_numpy(float) / BIN, bins["n"].to_numpy(float), bins["y"].to_numpy(float)
-    b = np.array([math.log((y.sum() + 1) / (n.sum() - y.sum() + 1)), 0.1])
-    design = np.column_stack([np.ones(len(x)), x])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
-        h = design.T @ (design * (n * p * (1 - p) + 1e-6)[:, None]) + np.diag([1e-6, 1e-3])
-        b = b + np.clip(np.linalg.solve(h, design.T @ (y - n * p)), -2, 2)
-    model.offset, model.slope = float(b[0]), float(max(b[1], 0))
-    return model
+        return ToxicityModel(offset=math.inf if sides.get(True) else -math.inf)
+    scanned, known = None, []
+    for fold in range(FOLDS):
+        part, rest = ToxicityModel(lexicon(train.where(F.col("fold") != fold))), train.where(F.col("fold") == fold)
+        part.lam = _lambda(score_shares(rest.where("toxic <= 0"), part) or [(-DRIFT, 1.0)])
+        clean = _scan(rest.where("toxic <= 0"), part).where("best > 0")
+        part.log_k = gumbel_log_k(clean.agg(F.avg(F.lit(part.lam) * F.col("best") - F.log(F.greatest("n", F.lit(1)))).alias("m")).first()["m"])
+        known.append((part.lam, part.log_k))
+        rows = _scan(rest, part)
+        scanned = rows if scanned is None else scanned.unionByName(rows)
+    bins = scanned.groupBy(F.round(F.col("evidence") * BIN).alias("bin")).agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("int")).alias("y")).orderBy("bin").toPandas()
+    offset, slope = logistic(bins["bin"].to_numpy(float) / BIN, bins["n"].to_numpy(float), bins["y"].to_numpy(float))
+    lam, log_k = (sum(x) / FOLDS for x in zip(*known))
+    return ToxicityModel(lexicon(train), lam, log_k, slope, offset)
 
 
 def _scan(docs: DataFrame, model: ToxicityModel) -> DataFrame:
