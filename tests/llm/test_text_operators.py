@@ -194,7 +194,10 @@ def brute_license(text, threshold=license_scan.THRESHOLD):
         return set(zip(w, w[1:]))
 
     text = text or ""
-    units = {*text.split("\n"), *re.split("\n[ \t\r]*\n", text), text}
+    plain = lambda t: " ".join(re.findall("[a-z0-9]+", t.translate(low)))
+    parts = [p for p in map(plain, re.split("\n[ \t\r]*\n", text)) if p]
+    runs = {" ".join(parts[i : i + k]) for k in range(1, license_scan.RUN + 1) for i in range(len(parts) - k + 1)}
+    units = {*map(plain, text.split("\n")), *runs, plain(text)}
     best, names, n = (0.0, None), set(), 0
     for u in units:
         g, hit = grams(u), False
@@ -209,8 +212,11 @@ def brute_license(text, threshold=license_scan.THRESHOLD):
 
 
 def test_license_scan(frame, odd_texts):
-    mit, gpl = license_scan.TEMPLATES[12][1], license_scan.TEMPLATES[8][1]
-    texts = odd_texts + [(100, f"x y\n{mit}\nz"), (101, mit.replace("software", "program")), (102, f"a\n\n{gpl.upper()}!!\n\nb\nReleased under the MIT License."), (103, "licensed under the"), (104, mit + "\n" + mit)]
+    of = lambda name: max((t for n, t in license_scan.TEMPLATES if n == name), key=len)
+    mit, gpl, bsd = of("MIT"), of("GPL-3.0"), of("BSD-3-Clause")
+    blocks = "The MIT License\n\nCopyright (c) 1999 A. N. Other\n\n" + mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n \t\nTHE")
+    code = "\n\n".join(f"def f{i}(x):\n    return x + {i}" for i in range(40))
+    texts = odd_texts + [(100, f"x y\n{mit}\nz"), (101, mit.replace("software", "program")), (102, f"a\n\n{gpl.upper()}!!\n\nb\nReleased under the MIT License."), (103, "licensed under the"), (104, mit + "\n" + mit), (105, blocks + "\n\n" + code), (106, bsd.replace(": 1.", ":\n\n1.").replace(". 2.", ".\n\n2.").replace(". 3.", ".\n\n3.") + "\n\n" + code), (107, code)]
     got = license_scan.license_scan(frame(texts)).collect()
     assert len(got) == len(texts)
     for r in got:
@@ -218,6 +224,8 @@ def test_license_scan(frame, odd_texts):
         name, dice, n, names = brute_license(t)
         assert (r["license"], r["n_matches"], r["licenses"]) == (name, n, names)
         assert abs(r["dice"] - dice) < 1e-9
+    found = {r["doc_id"]: r["license"] for r in got}
+    assert (found[105], found[106], found[107]) == ("MIT", "BSD-3-Clause", None)
     assert license_scan.license_scan(frame([])).count() == 0
 
 
