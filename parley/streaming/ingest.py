@@ -3,21 +3,23 @@ folder that the cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators.graph import shared_folder
+
+HOUR_US = 3_600_000_000
+
 
 def _folder(spark: SparkSession, name: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="parley-stream-")
-    return f"{top.rstrip('/')}/parley-stream-{name}"
+    return f"{shared_folder(spark)}/parley-stream-{name}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file (or folder of files) as a stream."""
+    """The events file (or folder of files) as a stream; a stream wants a pattern, and this one has
+    no other match."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events[.]parquet")
 
 
 def ingest_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +31,18 @@ def ingest_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows")
 
 
-def hourly_counts_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """hour, kind, n, last_row. Each batch's changed windows are appended under the batch's number,
-    and the newest row of a window counts."""
+def _micros(at: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), at.cast("timestamp_ntz"))
+
+
+def hourly_counts_stream(spark: SparkSession, sf_dir: str, name: str, late: str = "1 day") -> DataFrame:
+    """hour, kind, n, last_row. Windows of an hour of event time; the watermark lets go of those that are
+    older than ``late``, so state is bounded. Each batch's changed windows are appended under the
+    batch's number, and the newest row of a window counts."""
     out = _folder(spark, name)
-    hour = F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 3_600_000_000)
-    counts = event_stream(spark, sf_dir).groupBy(hour.alias("hour"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_row"))
+    timed = event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    counts = timed.groupBy(F.window("at", "1 hour").alias("w"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_row"))
+    counts = counts.select(F.floor(_micros(F.col("w.start")) / HOUR_US).alias("hour"), "kind", "n", "last_row")
 
     def append(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/number={number}")
