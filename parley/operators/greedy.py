@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.segments import scan
+
 
 def greedy_cover(label_counts: pd.DataFrame, labels_of: Callable[[str, int], pd.DataFrame], k: int) -> list[int]:
     """Pages that cover labels: the rarest uncovered label first, and of its pages the one with most
@@ -46,20 +48,18 @@ def first_of_label_set(pages: DataFrame, k: int) -> DataFrame:
 
 def fill_batches(slices: DataFrame, most: int) -> DataFrame:
     """scope, chat_id, batch: slices (scope, chat_id, n) in order into batches of ``most``; a slice
-    stays whole if it fits into one. One scope's slices are its chats, not its messages."""
-
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        batch, held, out = 0, 0, []
-        for r in frame.sort_values("chat_id").itertuples():
-            left = int(r.n)
-            if held and held + min(left, most) > most:
-                batch, held = batch + 1, 0
-            out.append((r.scope, r.chat_id, batch, left))
-            held += left
-            batch, held = batch + held // most, held % most
-        return pd.DataFrame(out, columns=["scope", "chat_id", "batch", "n"])
-
-    return slices.groupBy("scope").applyInPandas(fill, "scope long, chat_id long, batch long, n long")
+    stays whole if it fits into one. Slices pass sorted in Arrow batches; the state is two numbers."""
+
+    def step(state: dict, row) -> dict:
+        left = int(row.n)
+        if state["held"] and state["held"] + min(left, most) > most:
+            state["batch"], state["held"] = state["batch"] + 1, 0
+        out = {"scope": row.scope, "chat_id": row.chat_id, "batch": state["batch"], "n": left}
+        filled = state["held"] + left
+        state["batch"], state["held"] = state["batch"] + filled // most, filled % most
+        return out
+
+    return scan(slices, "scope", ["chat_id"], step, "scope long, chat_id long, batch long, n long", lambda: {"batch": 0, "held": 0})
 
 
 def complete_link(rows: DataFrame, reach: int) -> DataFrame:

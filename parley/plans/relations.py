@@ -19,6 +19,8 @@ from parley.streaming.state import cooldown_decisions
 from parley.sources.tables import event_messages, table, turn_messages
 
 HOUR = 60 * MINUTE
+#: Query vectors that are sent to every task at once, some 300 bytes each.
+QUERY_BLOCK = 100_000
 PLACED = f"{M}, p AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY us, row_id) AS pos FROM m)"
 
 
@@ -192,7 +194,12 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three nearest vectors of the same label: a stated set of queries against all rows."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"), "label")
-    s = e.join(q, "label").where("query <> vec_id").select("query", F.col("vec_id").alias("found"), T.cosine(F.col("v"), F.col("embedding")).alias("sim"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    s = None
+    for k in range(blocks):  # each block is small enough for every task
+        block = F.broadcast(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k))
+        near = e.join(block, "label").where("query <> vec_id").select("query", F.col("vec_id").alias("found"), T.cosine(F.col("v"), F.col("embedding")).alias("sim"))
+        s = near if s is None else s.unionByName(near)
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "found")).cast("long")
     return s.withColumn("place", place).where("place <= 3").select("query", "found", "place", F.round("sim", 4).alias("similarity"))
 
