@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from parley.plans import analytics, archive, dialogue, packets, relations, rules, semantics
+from parley.plans import analytics, archive, dialogue, packets, relations, rules, semantics, threads
 from parley.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "archive", "dialogue", "packets", "relations", "rules", "semantics"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "archive", "dialogue", "packets", "relations", "rules", "semantics", "threads"]
