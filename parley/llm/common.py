@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on at a time; a longer single text is its own chunk.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 500_000
 
 
 #: Rows of an Arrow batch between the JVM and Python; texts of some KB each.
