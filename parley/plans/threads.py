@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from parley.functions import text as T
+from parley.operators.pairs import placed
 from parley.operators.segments import scan
 from parley.plans.analytics import MINUTE
 from parley.plans.archive import M
 from parley.plans.dialogue import DONE, ONGOING, PURPOSE
-from parley.plans.registry import query
+from parley.plans.registry import ORACLES, query
+from parley.plans.relations import cosine_topk, inverted_index_retrieval
 from parley.sources.tables import event_messages, table, turn_messages
 
 HOUR = 60 * MINUTE
@@ -198,3 +200,79 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lambda pattern: F.nullif(F.regexp_extract("s", pattern, 0), F.lit(""))
     c = rows.withColumn("noun", F.coalesce(first("\\p{L}{9,}"), first("\\p{L}{5,}"))).where("noun IS NOT NULL")
     return c.select("chat_id", "pos", F.col("sentence").cast("long").alias("sentence"), action.alias("action"), "noun", T.stable_id("claim", F.col("chat_id"), F.col("pos"), F.col("sentence")).alias("claim_id"))
+
+
+@query(f"""WITH {M}, p AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY us, row_id) AS pos FROM m),
+b AS (SELECT *, max(CASE WHEN kind = 'purchase' THEN pos END) OVER w AS last_topic, max(CASE WHEN kind = 'signup' THEN pos END) OVER w AS last_greeting FROM p
+  WINDOW w AS (PARTITION BY chat_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT b.row_id, x.row_id AS before, b.pos - x.pos - 1 AS between_rows, CASE WHEN b.last_greeting > x.pos THEN 'greeting' ELSE 'drift' END AS reason
+FROM b JOIN p x ON x.chat_id = b.chat_id AND x.pos = b.last_topic WHERE b.kind = 'purchase' AND b.k // 10 <> x.k // 10""")
+def topic_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions between two topic-bearing rows that follow each other, and what lies between."""
+    p = placed(event_messages(spark, sf_dir))
+    w = W.partitionBy("chat_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("kind") == "purchase", F.struct("pos", "row_id", "k")), ignorenulls=True).over(w)
+    greeting = F.max(F.when(F.col("kind") == "signup", F.col("pos"))).over(w)
+    b = p.withColumn("x", last).withColumn("greeting", greeting).where("kind = 'purchase'").where(F.floor(F.col("k") / 10) != F.floor(F.col("x.k") / 10))
+    reason = F.when(F.col("greeting") > F.col("x.pos"), "greeting").otherwise("drift")
+    return b.select("row_id", F.col("x.row_id").alias("before"), (F.col("pos") - F.col("x.pos") - 1).cast("long").alias("between_rows"), reason.alias("reason"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'broken' WHEN conv_id % 9 = 0 AND turn = 1 THEN 'shape' ELSE 'ok' END AS form FROM conversations),
+r AS (SELECT conv_id * 4 + least(turn, 3) AS id, conv_id, turn, form, row_number() OVER (PARTITION BY form, conv_id * 4 + least(turn, 3) ORDER BY turn) AS n FROM l)
+SELECT conv_id, turn, CASE WHEN form = 'ok' AND n > 1 THEN 'repeated' ELSE form END AS outcome FROM r""")
+def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of JSON lines, checked for syntax, shape and repeated ids; the first of an id stays."""
+    t = turn_messages(spark, sf_dir)
+    known = F.struct((F.col("chat_id") * 4 + F.least("pos", F.lit(3))).alias("id"), F.col("role").alias("role"), F.col("content").alias("text"))
+    lacking = F.struct(known["id"].alias("id"), F.col("content").alias("text"))
+    line = F.when(F.col("pos") % 5 == 4, F.lit("{not a record")).when((F.col("chat_id") % 9 == 0) & (F.col("pos") == 1), F.to_json(lacking)).otherwise(F.to_json(known))
+    rows = t.select("chat_id", "pos", F.from_json(line, "id long, role string, text string, _corrupt_record string").alias("r"))
+    form = F.when(F.col("r._corrupt_record").isNotNull(), "broken").when(F.col("r.role").isNull(), "shape").otherwise("ok")
+    rows = rows.select("chat_id", "pos", F.col("r.id").alias("id"), form.alias("form"))
+    n = F.row_number().over(W.partitionBy("form", "id").orderBy("pos"))
+    # What has no id has no repetition either.
+    checked = rows.where("form = 'ok'").withColumn("n", n).select("chat_id", "pos", F.when(F.col("n") > 1, "repeated").otherwise("ok").alias("outcome"))
+    return checked.unionByName(rows.where("form <> 'ok'").select("chat_id", "pos", F.col("form").alias("outcome"))).select(F.col("chat_id").alias("conv_id"), F.col("pos").alias("turn"), "outcome")
+
+
+@query("""WITH l AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d, o_totalprice AS p FROM orders WHERE o_orderkey % 3 <> 0),
+r AS (SELECT o_orderkey AS src, CASE WHEN o_orderkey % 7 = 0 THEN 'x' || o_orderkey WHEN o_orderkey % 11 <> 0 THEN o_orderkey::VARCHAR END AS rid, o_custkey AS c, o_orderdate AS d, o_totalprice AS p FROM orders WHERE o_orderkey % 5 <> 0),
+a AS (SELECT 'x' || o_orderkey AS alias, o_orderkey::VARCHAR AS id FROM orders WHERE o_orderkey % 14 = 0),
+n AS (SELECT r.*, coalesce(a.id, CASE WHEN rid NOT LIKE 'x%' THEN rid END) AS key, a.id IS NOT NULL AS aliased FROM r LEFT JOIN a ON a.alias = r.rid),
+m AS (SELECT l.k, n.src, CASE WHEN aliased THEN 'alias' ELSE 'id' END AS how FROM l JOIN n ON n.key = l.k::VARCHAR),
+f AS (SELECT l.k, n.src, 'fallback' AS how FROM l JOIN n ON n.key IS NULL AND l.c = n.c AND l.d = n.d AND l.p = n.p WHERE l.k NOT IN (SELECT k FROM m)),
+x AS (SELECT * FROM m UNION ALL SELECT * FROM f)
+SELECT k AS left_id, src AS right_id, how FROM x UNION ALL SELECT k, NULL, 'left_only' FROM l WHERE k NOT IN (SELECT k FROM x) UNION ALL SELECT NULL, src, 'right_only' FROM r WHERE src NOT IN (SELECT src FROM x)""")
+def record_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of two sides by id, by alias, else by their other fields; what stays alone is kept."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("d"), F.col("o_totalprice").alias("p"))
+    k = F.col("k")
+    left = o.where(k % 3 != 0).withColumnRenamed("k", "left_id")
+    rid = F.when(k % 7 == 0, F.concat(F.lit("x"), k)).when(k % 11 != 0, k.cast("string"))
+    right = o.where(k % 5 != 0).select(k.alias("right_id"), rid.alias("rid"), "c", "d", "p")
+    aliases = o.where(k % 14 == 0).select(F.concat(F.lit("x"), k).alias("rid"), k.alias("meant"))
+    named = right.join(aliases, "rid", "left").withColumn("key", F.coalesce("meant", F.when(~F.col("rid").startswith("x"), F.col("rid").cast("long"))))
+    sure = named.where("key IS NOT NULL").select("right_id", F.col("key").alias("left_id"), F.when(F.col("meant").isNotNull(), "alias").otherwise("id").alias("how"))
+    sure = left.select("left_id").join(sure, "left_id").select("left_id", "right_id", "how")
+    rest = left.join(sure.select("left_id"), "left_id", "left_anti").join(named.where("key IS NULL").select("right_id", "c", "d", "p"), ["c", "d", "p"])
+    found = sure.unionByName(rest.select("left_id", "right_id", F.lit("fallback").alias("how")))
+    alone = left.select("left_id").join(found.select("left_id"), "left_id", "left_anti").select("left_id", F.lit(None).cast("long").alias("right_id"), F.lit("left_only").alias("how"))
+    other = right.select("right_id").join(found.select("right_id"), "right_id", "left_anti").select(F.lit(None).cast("long").alias("left_id"), "right_id", F.lit("right_only").alias("how"))
+    return found.unionByName(alone).unionByName(other)
+
+
+@query(f"""WITH s AS ({ORACLES["inverted_index_retrieval"]}), v AS ({ORACLES["cosine_topk"]}), l AS (SELECT doc_id, lang FROM documents),
+j AS (SELECT coalesce(s.query, v.query) AS query, coalesce(s.found, v.found) AS found, coalesce(shared, 0) AS shared, similarity FROM s FULL JOIN v ON s.query = v.query AND s.found = v.found),
+r AS (SELECT j.*, coalesce(a.lang = b.lang, false) AS structural FROM j LEFT JOIN l a ON a.doc_id = query LEFT JOIN l b ON b.doc_id = found)
+SELECT query, found, shared, structural, row_number() OVER (PARTITION BY query ORDER BY structural DESC, shared DESC, coalesce(similarity, -2) DESC, found) AS place FROM r""")
+def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse candidates with dense ones added, in one order: structural key, shared terms, similarity."""
+    s = inverted_index_retrieval(spark, sf_dir).select("query", "found", "shared")
+    v = cosine_topk(spark, sf_dir).select("query", "found", "similarity")
+    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    j = s.join(v, ["query", "found"], "full").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    j = j.join(lang.select(F.col("doc_id").alias("query"), F.col("lang").alias("a")), "query", "left").join(lang.select(F.col("doc_id").alias("found"), F.col("lang").alias("b")), "found", "left")
+    r = j.withColumn("structural", F.coalesce(F.col("a") == F.col("b"), F.lit(False)))
+    order = W.partitionBy("query").orderBy(F.desc("structural"), F.desc("shared"), F.desc(F.coalesce("similarity", F.lit(-2.0))), "found")
+    return r.select("query", "found", "shared", "structural", F.row_number().over(order).cast("long").alias("place"))
