@@ -276,3 +276,35 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = j.withColumn("structural", F.coalesce(F.col("a") == F.col("b"), F.lit(False)))
     order = W.partitionBy("query").orderBy(F.desc("structural"), F.desc("shared"), F.desc(F.coalesce("similarity", F.lit(-2.0))), "found")
     return r.select("query", "found", "shared", "structural", F.row_number().over(order).cast("long").alias("place"))
+
+
+WORDS4 = "\\p{L}{4,}"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, length(text) AS n, text, list_distinct(regexp_extract_all(lower(text), '{WORDS4}')) AS w FROM conversations),
+l AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS ev FROM t),
+g AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN role = 'system' THEN 'system' WHEN n < 40 THEN 'short' ELSE 'pass' END AS gate,
+  CASE WHEN regexp_matches(text, '[?]') THEN 'question' WHEN regexp_matches(text, '[0-9]') THEN 'figure' WHEN regexp_matches(text, '{PURPOSE}') THEN 'purpose' ELSE 'statement' END AS kind,
+  coalesce(len(list_intersect(w, ev)), 0) >= 2 AS in_context FROM l)
+SELECT conv_id AS chat_id, turn AS pos, gate, kind, in_context, CASE WHEN gate = 'pass' THEN least(100, 20 + least(40, n // 20) + CASE kind WHEN 'figure' THEN 25 WHEN 'purpose' THEN 15 WHEN 'question' THEN 5 ELSE 0 END + CASE WHEN in_context THEN 10 ELSE 0 END) ELSE 0 END AS information FROM g""")
+def information_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates, the kind of a turn, and points for its size, its kind and what it shares with the one before."""
+    c = F.col("content")
+    w = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(WORDS4), F.lit(0)))
+    rows = turn_messages(spark, sf_dir).select("chat_id", "pos", "role", F.length(c).alias("n"), c, w.alias("w"))
+    before = F.lag("w").over(W.partitionBy("chat_id").orderBy("pos"))
+    kind = F.when(c.rlike("[?]"), "question").when(c.rlike("[0-9]"), "figure").when(c.rlike(PURPOSE), "purpose").otherwise("statement")
+    gate = F.when(F.col("n") == 0, "empty").when(F.col("role") == "system", "system").when(F.col("n") < 40, "short").otherwise("pass")
+    rows = rows.withColumn("shared", F.coalesce(F.size(F.array_intersect("w", before)), F.lit(0))).withColumns({"kind": kind, "gate": gate}).withColumn("in_context", F.col("shared") >= 2)
+    by_kind = F.when(F.col("kind") == "figure", 25).when(F.col("kind") == "purpose", 15).when(F.col("kind") == "question", 5).otherwise(0)
+    points = F.least(F.lit(100), 20 + F.least(F.lit(40), F.floor(F.col("n") / 20)) + by_kind + F.when(F.col("in_context"), 10).otherwise(0))
+    return rows.select("chat_id", "pos", "gate", "kind", "in_context", F.when(F.col("gate") == "pass", points).otherwise(0).cast("long").alias("information"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, list_sort(list_distinct(regexp_extract_all(lower(text), '\\p{L}{8,}')))[:3] AS keys FROM conversations)
+SELECT conv_id AS chat_id, turn AS pos, regexp_matches(text, '(?i)^(?:hi|hello|hola|salut|hallo)(?:[^a-z]|$)') AS greeting, len(keys) = 0 AS context_only, array_to_string(keys, '|') AS topic_key FROM t""")
+def topic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greeting, context only, or a key of a turn's first long words in order."""
+    keys = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("\\p{L}{8,}"), F.lit(0)))), 1, 3)
+    rows = turn_messages(spark, sf_dir).select("chat_id", "pos", F.col("content").rlike("(?i)^(?:hi|hello|hola|salut|hallo)(?:[^a-z]|$)").alias("greeting"), keys.alias("keys"))
+    return rows.select("chat_id", "pos", "greeting", (F.size("keys") == 0).alias("context_only"), F.array_join("keys", "|").alias("topic_key"))
