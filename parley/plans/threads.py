@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,6 +17,7 @@ from parley.plans.dialogue import DONE, ONGOING, PURPOSE
 from parley.plans.registry import ORACLES, query
 from parley.plans.relations import cosine_topk, inverted_index_retrieval
 from parley.sources.tables import event_messages, table, turn_messages
+from parley.streaming.ingest import decision_stream
 
 HOUR = 60 * MINUTE
 GAP = 15 * HOUR
@@ -308,3 +311,28 @@ def topic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("\\p{L}{8,}"), F.lit(0)))), 1, 3)
     rows = turn_messages(spark, sf_dir).select("chat_id", "pos", F.col("content").rlike("(?i)^(?:hi|hello|hola|salut|hallo)(?:[^a-z]|$)").alias("greeting"), keys.alias("keys"))
     return rows.select("chat_id", "pos", "greeting", (F.size("keys") == 0).alias("context_only"), F.array_join("keys", "|").alias("topic_key"))
+
+
+@query(f"""WITH {M}, sure AS (SELECT k FROM m WHERE kind = 'purchase' GROUP BY k HAVING count(DISTINCT chat_id) >= 2), own AS (SELECT DISTINCT chat_id, k FROM m WHERE kind = 'purchase'),
+groups AS (SELECT chat_id FROM m GROUP BY chat_id HAVING count(DISTINCT k) >= 40)
+SELECT row_id, CASE WHEN kind = 'purchase' THEN true WHEN kind = 'click' AND k IN (SELECT k FROM sure) THEN true
+  WHEN kind = 'view' AND chat_id IN (SELECT chat_id FROM groups) AND EXISTS (SELECT 1 FROM own WHERE own.chat_id = m.chat_id AND own.k = m.k) THEN true WHEN kind = 'error' THEN NULL ELSE false END AS is_self FROM m""")
+def self_attribution_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direct rule across chats, and the rule of groups: in a chat of many senders one confirmed there
+    is oneself in its other rows."""
+    m = event_messages(spark, sf_dir).select("row_id", "chat_id", "kind", "k")
+    bought = m.where("kind = 'purchase'")
+    sure = bought.groupBy("k").agg(F.countDistinct("chat_id").alias("chats")).where("chats >= 2").select("k", F.lit(True).alias("sure"))
+    own = bought.select("chat_id", "k", F.lit(True).alias("own")).distinct()
+    groups = m.groupBy("chat_id").agg((F.countDistinct("k") >= 40).alias("is_group"))
+    rows = m.join(sure, "k", "left").join(own, ["chat_id", "k"], "left").join(groups, "chat_id")
+    kind = F.col("kind")
+    side = F.when(kind == "purchase", True).when((kind == "click") & F.col("sure"), True).when((kind == "view") & F.col("is_group") & F.col("own"), True).when(kind == "error", None).otherwise(False)
+    return rows.select("row_id", side.cast("boolean").alias("is_self"))
+
+
+@query(f"""WITH {M} SELECT row_id, CASE WHEN kind = 'error' THEN 'from_self' WHEN kind NOT IN ('click', 'view', 'purchase') THEN 'type' WHEN value < 40 THEN 'no_rule' ELSE 'reply' END AS reason,
+  CASE WHEN kind IN ('click', 'view', 'purchase') AND value >= 40 THEN substr(sha256('task|=' || row_id), 1, 20) END AS task_id FROM m""")
+def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages received as a stream, decided on, kept once, and queued as tasks where they want a reply."""
+    return decision_stream(spark, sf_dir, uuid.uuid4().hex)

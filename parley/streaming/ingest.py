@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.functions.text import stable_id
 from parley.operators.graph import shared_folder
 
 HOUR_US = 3_600_000_000
@@ -52,3 +53,23 @@ def hourly_counts_stream(spark: SparkSession, sf_dir: str, name: str, late: str
     rows = spark.read.parquet(f"{out}/rows")
     newest = rows.groupBy("hour", "kind").agg(F.max_by(F.struct("n", "last_row"), "batch").alias("r"))
     return newest.select("hour", "kind", "r.n", "r.last_row")
+
+
+def decision_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """row_id, reason, task_id of every event, once within a day of its time. A batch writes its decisions
+    and its tasks under its number, so a batch that is repeated replaces what it wrote."""
+    out = _folder(spark, name)
+    rows = event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    kind = F.col("event_type")
+    reason = F.when(kind == "error", "from_self").when(~kind.isin("click", "view", "purchase"), "type").when(F.col("value") < 40, "no_rule").otherwise("reply")
+    decided = rows.select(F.col("event_id").alias("row_id"), reason.alias("reason"))
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/decisions/number={number}")
+        queued = spark.read.parquet(f"{out}/decisions/number={number}").where("reason = 'reply'")
+        queued.select("row_id", stable_id("task", F.col("row_id")).alias("task_id")).write.mode("overwrite").parquet(f"{out}/tasks/number={number}")
+
+    query = decided.writeStream.foreachBatch(append).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    decisions, tasks = (spark.read.parquet(f"{out}/{x}").drop("number") for x in ("decisions", "tasks"))
+    return decisions.join(tasks, "row_id", "left").select("row_id", "reason", "task_id")
