@@ -43,6 +43,7 @@ PREFIXES = (8, 7, 6, 5, 4)
 #: PRIOR: weight of the background as a share of all counts. CHANCE: units that pass by chance, of
 #: those in TESTABLE documents or more.
 PRIOR, CHANCE, TESTABLE, DRIFT, SIGNIFICANT, FOLDS = 0.05, 20, 4, 0.7, 0.05, 2
+REPEATS = 3
 #: Tokens whose score a task remembers.
 CACHED = 200_000
 EULER = 0.5772156649
@@ -101,12 +102,15 @@ def maximal_segments(scores: list[float]) -> list[tuple[float, int, int]]:
 
 def token_segments(model: ToxicityModel, tokens: list[str]) -> list[tuple[float, int, int]]:
     """Maximal segments of a document, in token positions. Runs of tokens that cost DRIFT are
-    summed up first, so the scan only visits tokens of the lexicon."""
-    weight, hits = model.weight, []
+    summed up first, so the scan only visits tokens of the lexicon. A token gains its score REPEATS
+    times at most: what it says was learned from its presence in documents."""
+    weight, hits, seen = model.weight, [], Counter()
     for i, t in enumerate(tokens):
         w = weight(t)
         if w is not None:
-            hits.append((i, w))
+            seen[t] += 1
+            if w <= 0 or seen[t] <= REPEATS:
+                hits.append((i, w))
     if not hits:
         return []
     scores, places, last = [], [], -1

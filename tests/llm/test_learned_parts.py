@@ -85,6 +85,8 @@ def test_logistic_lambda_and_k():
 def test_equal_segments_keep_their_order():
     model = toxicity.ToxicityModel({"x": 2.0})
     assert toxicity.token_segments(model, "x a a a a a x a a a a a x".split()) == [(2.0, 0, 1), (2.0, 6, 7), (2.0, 12, 13)]
+    # One token over and over says little more than its presence.
+    assert sum(x for x, _, _ in toxicity.token_segments(model, ["x"] * 50)) == 2.0 * toxicity.REPEATS
     assert toxicity.ToxicityModel({"abcd*": 1.0, "abcdef": 3.0}).weight("abcdef") == 3.0
     assert toxicity.ToxicityModel({"abcd*": 1.0}).weight("abcdzz") == 1.0 and toxicity.ToxicityModel({"abcd*": 1.0}).weight("abcd") is None
 
