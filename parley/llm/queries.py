@@ -12,6 +12,7 @@ from parley.llm import ngram_join
 from parley.llm.language_id import language_id
 from parley.llm import license_scan as licences
 from parley.llm import warc
+from parley.llm.periodic_runs import periodic_runs, run_digests, with_repeated_tails
 from parley.llm.pii import pii
 from parley.llm.quality_classifier import quality
 from parley.llm.quality_rules import quality_rules
@@ -67,6 +68,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_quality_rules": op9_quality_rules,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
