@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.common import table
+from parley.llm import conversation_repair as repair
 from parley.llm import decontamination as clean
 from parley.llm import ngram_join
 from parley.llm.language_id import language_id
@@ -72,6 +73,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents"))))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
@@ -94,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.ORACLE_SQL,
         "op6_decontamination": clean.ORACLE_SQL,
         "op10_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+        "op12_conversation_repair": repair.ORACLE_SQL,
     }
