@@ -15,6 +15,7 @@ from parley.llm import license_scan as licences
 from parley.llm import warc
 from parley.llm.periodic_runs import periodic_runs, run_digests, with_repeated_tails
 from parley.llm.pii import pii
+from parley.llm.pitman_yor import language_model_scores
 from parley.llm.quality_classifier import quality
 from parley.llm.quality_rules import quality_rules
 from parley.llm.sentencepiece_codec import encode_decode
@@ -77,6 +78,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_lm_scoring": op13_lm_scoring,
     }
 
 
