@@ -1,19 +1,18 @@
 """Personal data by candidate gradient boosting.
 
 High-recall generators propose spans, which may overlap: the strict formats of the contract
-(base spans, always kept) and looser ones. Boosted trees over format and context features
-score every candidate that is no base span; a threshold calibrated on held-out candidates
-selects further redactions, best first where they overlap.
-
-The trees learn from the corpus itself, on the class of spans that they choose from. Right ones
-are base spans rewritten into loose forms where they stand; wrong ones are found candidates
-that fail the strict validators when written normally (parts of an address in range, Luhn digit
-sum, digit count), and digit strings that no cue precedes. Others carry no verdict and are left
-out. Secrets have no base format: candidates are runs of letters and digits, right ones those that
-an assignment to a telling name precedes, wrong ones those that nothing assigns. A kind's
-threshold is calibrated on held-out spans of this class. Fitting uses a bounded sample of
-documents (``SAMPLE_DOCS``, taken by a hash of doc_id, after a count); everything else covers
-every row.
+(base spans, always kept) and looser ones. Boosted trees, some for each kind, score every candidate
+that is no base span by features of its format and of its context; a threshold for each kind,
+calibrated on candidates kept back, selects further redactions, best first where they overlap.
+
+There are no labels, so personal data and look-alikes of many shapes (``pii_examples``) are planted
+between the words of sampled texts. What is planted is known: each candidate that touches a plant is
+right if it is the planted span of the planted kind, and wrong otherwise, so the candidates that
+compete for a span are judged together, as in selection. Base spans rewritten into loose forms where
+they stand are right ones too, and found candidates that fail the strict validators when written
+normally are wrong ones. Without a split on context in any of the trees nothing is selected. Fitting uses a
+bounded sample of documents (``SAMPLE_DOCS``, taken by a hash of doc_id, after a count) and about
+``ROUNDS`` plants of each kind; everything else covers every row.
 
 Defined cases: a null text is empty and has no spans. Repeated rows give repeated results.
 Without candidates of both verdicts nothing is learned and only base spans come out. Ties
@@ -24,17 +23,20 @@ span, other added spans touch none. Only ``doc_id`` and
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
+import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm import pii_examples as examples
 from parley.llm.common import bounded_fraction, filled, hash_fraction
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -55,13 +57,10 @@ LOOSE = {
 }
 SECRET_RUN = "[A-Za-z0-9+/_-]"
 LOOSE["secret"] = re.compile(f"(?<!{SECRET_RUN})(?=[^0-9]{{0,199}}[0-9])(?=[^A-Za-z]{{0,199}}[A-Za-z]){SECRET_RUN}{{16,200}}(?!{SECRET_RUN})")
-TELLING = re.compile(r"(?i)(?:token|secret|key|password|passwd|pwd|auth|bearer|credentials?)[\"']?\s{0,2}[=:]\s{0,2}[\"']?$")
-ASSIGNED = re.compile(r"[=:]\s{0,2}[\"']?$")
 DIGIT = re.compile(r"[0-9]")
-CUE = re.compile(r"(?i)\b(?:call|phone|tel|fax|mobile|mail|e-mail|email|card|visa|account|ip|host|address)\W{0,3}$")
-CONTEXT = 24
-SAMPLE_DOCS = 20_000
-TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 16
+CONTEXT = 40
+SAMPLE_DOCS, ROUNDS = 20_000, 1_500
+TREES, DEPTH, RATE, BINS = 40, 4, 0.25, 16
 PRECISION = 0.98
 
 
@@ -126,17 +125,42 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
-def features(text: str, kind: int, start: int, end: int) -> list[float]:
-    """What is seen of format and context; no validator's verdict."""
+def cue(words: tuple[str, ...], near: bool = False) -> re.Pattern:
+    """Words that stand right before a span, with what may come between, or anywhere in the window."""
+    found = "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+    return re.compile(rf"(?i)(?<![a-z])(?:{found})" + (r"(?![a-z])" if near else r"(?:\s(?:is|number|no\.?))?[^A-Za-z0-9]{0,5}$"))
+
+
+CUES = [examples.SECRET_WORDS, examples.HASH_WORDS, examples.CONTACT_WORDS, examples.NETWORK_WORDS, examples.CARD_WORDS, examples.NUMBER_WORDS]
+AT, NEAR = [cue(w) for w in CUES], [cue(w, near=True) for w in CUES]
+ASSIGNED = re.compile(r"(?:[=:]|=>)\s{0,2}[\"']?$")
+MARKED = re.compile(r"(?:[a-z]{2,5}(?:_[a-z]{2,5})?[_-]|[A-Z]{4}|AIza|eyJ)(?=[A-Za-z0-9]{8})")
+NOT_SPACE = "".join(chr(c) for c in range(33, 127))
+HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: Features of the format come first; those of the context follow.
+FORMAT = 32
+
+
+def features(text: str, start: int, end: int) -> list[float]:
+    """What is seen of format and context."""
     s, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-    digits = len(DIGIT.findall(s))
-    return [
-        kind, len(s), digits, digits / len(s), s.count("."), s.count("-"), s.count(" "), s.count("("),
-        "@" in s, s[0] == "+", s[-1].isalpha(), max(map(len, re.split(r"[^0-9]+", s))),
-        len(set(DIGIT.findall(s))), bool(CUE.search(before)), before[-1:].isspace() or not before, after[:1].isspace() or not after,
-        sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), before[-1:] in "\"'=", before.rstrip()[-1:] == ":",
-        entropy(s), bool(ASSIGNED.search(before)), sum(c.isalpha() for c in s) / len(s),
+    numbers, words = re.findall("[0-9]+", s), re.findall("[A-Za-z]+", s)
+    n, joined = sum(map(len, numbers)), "".join(numbers)
+    long_words = [w for w in words if len(w) >= 3 and (w[1:].islower() or w.isupper())]
+    form = [
+        len(s), n, n / len(s), len(numbers), max(map(len, numbers), default=0), min(map(len, numbers), default=0), len(set(joined)), len(words),
+        max(map(len, words), default=0), sum(map(len, words)) / len(s), len(long_words), sum(map(len, long_words)) / len(s), sum(w.lower() in examples.SLUG_WORDS for w in words), entropy(s),
+        s.count("."), s.count("-"), s.count(" "), s.count("_"), s.count("/"), s.count(":") + s.count(","), "@" in s, "(at)" in s or "[at]" in s,
+        "(dot)" in s or "[dot]" in s, s[0] == "(", s[0] == "+", s[:2] == "00", s[-1].isalpha(), bool(HEX.fullmatch(s)), bool(MARKED.match(s)), s.lower() != s and s.upper() != s,
+        luhn(joined) and 12 <= n <= 19, len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers),
+    ]
+    stuck = len(before) - len(before.rstrip(NOT_SPACE))
+    context = [
+        *(bool(c.search(before)) for c in AT), *(bool(c.search(before)) for c in NEAR), bool(ASSIGNED.search(before)), before[-1:] in ("\"", "'"), after[:1] in ("\"", "'"),
+        before[-1:].isspace() or not before, after[:1].isspace() or not after, before[-1:].isalnum(), after[:1].isalnum(), before[-1:] in ("/", ".", "-", "_", "@", "#"), after[:1] in ("/", ".", "-", "_", "@"),
+        stuck, "/" in before[len(before) - stuck :], "http" in before or "www" in before or "href" in before, len(DIGIT.findall(before[-12:])), len(DIGIT.findall(after[:12])),
     ]
+    return form + context
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -150,7 +174,16 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         found |= {(m.start(), k, m.end()) for m in LOOSE[kind].finditer(text)}
         if kind in ("ip", "card"):
             found |= {(a, k, b) for a, b in base_matches(kind, text)}
-    return sorted(x for x in found if KINDS[x[1]] == "secret" or not any(x[0] < e and s < x[2] for s, _, e in base))
+    starts = [s for s, _, _ in base]  # sorted; the furthest end so far tells whether one reaches a place
+    ends: list[int] = []
+    for _, _, e in base:
+        ends.append(max(e, ends[-1]) if ends else e)
+
+    def touches(a: int, b: int) -> bool:
+        i = bisect.bisect_left(starts, b)
+        return i > 0 and ends[i - 1] > a
+
+    return sorted(x for x in found if KINDS[x[1]] == "secret" or not touches(x[0], x[2]))
 
 
 def normal(kind: str, found: str) -> bool:
@@ -164,36 +197,39 @@ def normal(kind: str, found: str) -> bool:
     return valid(kind, "".join(DIGIT.findall(found)))
 
 
-def told(text: str, kind: int, start: int, end: int) -> bool:
-    return KINDS[kind] == "secret" and bool(TELLING.search(text[max(0, start - CONTEXT) : start]))
-
-
-def wrong(text: str, kind: int, start: int, end: int) -> bool:
-    if KINDS[kind] == "secret":
-        return not ASSIGNED.search(text[max(0, start - CONTEXT) : start])
-    return not normal(KINDS[kind], text[start:end]) or (KINDS[kind] != "email" and not CUE.search(text[max(0, start - CONTEXT) : start]))
-
-
 def loosened(kind: str, found: str) -> list[str]:
-    """A base span in the loose forms of its kind."""
+    """A base span in the loose forms of its kind that need no context."""
     if kind == "email":
         return [found.replace("@", at).replace(".", dot) for at, dot in ((" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), (" @ ", "."))]
-    if kind == "ip":
-        return [found.replace(".", x) for x in "-,:"]
-    digits = "".join(DIGIT.findall(found))
+    number = "".join(DIGIT.findall(found))
     if kind == "card":
-        return [x.join(digits[i : i + 4] for i in range(0, len(digits), 4)) for x in "./"]
-    return ["00" + found[1:], f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}"]
+        return [x.join(number[i : i + 4] for i in range(0, len(number), 4)) for x in "./"]
+    return [f"({number[-10:-7]}) {number[-7:-4]}-{number[-4:]}"] if kind == "phone" else []
 
 
-def rewritten(text: str, kind: int, start: int, end: int) -> Iterator[list[float]]:
-    """Features of a base span's loose forms in its place, where the generators find them."""
-    before, after = text[max(0, start - 3 * CONTEXT) : start], text[end : end + 3 * CONTEXT]
-    for form in loosened(KINDS[kind], text[start:end]):
-        t = before + form + after
-        span = (len(before), kind, len(before) + len(form))
-        if span in candidates(t, base_spans(t)):
-            yield features(t, kind, span[0], span[2])
+def judged(text: str, start: int, end: int, kind: str | None) -> Iterator[tuple[int, bool, list[float]]]:
+    """Kind, verdict and features of the candidates that touch what was planted in text[start:end]."""
+    for s, k, e in candidates(text, base_spans(text)):
+        if s < end and start < e:
+            yield k, (s, KINDS[k], e) == (start, kind, end), features(text, s, e)
+
+
+def planted(text: str, rng: random.Random) -> Iterator[tuple[int, bool, list[float]]]:
+    for before, form, after, kind in examples.plants(rng):
+        left, right = examples.place(rng, text, CONTEXT)
+        yield from judged(left + before + form + after + right, len(left) + len(before), len(left) + len(before) + len(form), kind)
+
+
+def seen(text: str) -> Iterator[tuple[int, bool, list[float]]]:
+    """Base spans in loose forms where they stand, and candidates that no validator would pass."""
+    base = base_spans(text)
+    for s, k, e in base:
+        before, after = text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]
+        for form in loosened(KINDS[k], text[s:e]):
+            yield from judged(before + form + after, len(before), len(before) + len(form), KINDS[k])
+    for s, k, e in candidates(text, base):
+        if KINDS[k] != "secret" and not normal(KINDS[k], text[s:e]):
+            yield k, False, features(text, s, e)
 
 
 class Trees:
@@ -249,76 +285,94 @@ class Trees:
         binned = self._binned(x)
         return 1 / (1 + np.exp(-self.start - sum(self._leaf(t, binned) for t in self.trees)))
 
+    def used(self) -> set[int]:
+        """Features that a split looks at."""
+        return {node[0] for tree in self.trees for node in tree if isinstance(node, tuple)}
+
 
 class SpanModel:
-    """The trees, and a threshold for each kind: below the lowest score at which PRECISION held on the
-    part of the sample kept back, half way to the next; or none."""
+    """Trees and a threshold for each kind that has them: half way between the lowest score at which
+    PRECISION held on the part of the sample kept back and the next."""
 
-    def __init__(self, trees: Trees | None, thresholds: dict[int, float]):
+    def __init__(self, trees: dict[int, Trees], thresholds: dict[int, float]):
         self.trees, self.thresholds = trees, thresholds
 
+    def scored(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[float, int, int, int]]:
+        """(score, start, kind, end) of the candidates of kinds that may be selected."""
+        found = [x for x in candidates(text, base) if x[1] in self.thresholds]
+        out = []
+        for k in sorted({k for _, k, _ in found}):
+            own = [(s, e) for s, kind, e in found if kind == k]
+            p = self.trees[k].predict(np.array([features(text, s, e) for s, e in own], float))
+            out += [(float(q), s, k, e) for q, (s, e) in zip(p, own)]
+        return out
+
     def select(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        if self.trees is None or not self.thresholds:
-            return []
-        found = candidates(text, base)
-        if not found:
-            return []
-        p = self.trees.predict(np.array([features(text, k, s, e) for s, k, e in found], float))
-        good = sorted((-q, s, s - e, k, e) for q, (s, k, e) in zip(p, found) if q >= self.thresholds.get(k, 2))
+        """The best of overlapping candidates that reach their threshold, as (start, kind, end)."""
+        good = sorted((-q, s, s - e, k, e) for q, s, k, e in self.scored(text, base) if q >= self.thresholds[k]) if self.thresholds else []
+        starts: list[int] = []  # of what is kept, sorted and apart
         kept: list[tuple[int, int, int]] = []
         for _, s, _, k, e in good:
-            if not any(s < b and a < e for a, _, b in kept):
-                kept.append((s, k, e))
+            i = bisect.bisect_left(starts, e)
+            if i == 0 or kept[i - 1][2] <= s:
+                starts.insert(i, s)
+                kept.insert(i, (s, k, e))
         return kept
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SpanModel:
-    fraction = bounded_fraction(docs.count(), sample_docs)
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> SpanModel:
+    n = docs.count()
+    each = rounds / max(1, min(n, sample_docs))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in filled(batch.column(0)).to_pylist():
-                base = base_spans(text)
-                held = int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % 3 == 0
-                rows += [(held, True, x) for s, k, e in base for x in rewritten(text, k, s, e)]
-                for s, k, e in candidates(text, base):
-                    if told(text, k, s, e) or wrong(text, k, s, e):
-                        rows.append((held, told(text, k, s, e), features(text, k, s, e)))
+            for doc_id, text in zip(batch.column(0).to_pylist(), filled(batch.column(1)).to_pylist()):
+                mark = hashlib.md5(text.encode()).hexdigest()
+                held = int(mark[:8], 16) % 3 == 0
+                rows += [(held, *x) for x in seen(text)]
+                rng = random.Random(f"{doc_id}:{mark}")
+                for _ in range(int(each) + (rng.random() < each % 1)):
+                    held = rng.random() < 1 / 3
+                    rows += [(held, *x) for x in planted(text, rng)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)][:2] + [pa.array([[float(v) for v in r[2]] for r in rows], pa.list_(pa.float64()))], names=["held", "y", "x"])
+                held, kinds, verdicts, x = zip(*rows)
+                arrays = [pa.array(held), pa.array(kinds, pa.int32()), pa.array(verdicts), pa.array([np.array(v, np.float32).tobytes() for v in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["held", "kind", "y", "x"])
 
     rows = (
-        docs.where(F.col("text").isNotNull() & hash_fraction(F.col("doc_id"), fraction, 7))
-        .select(F.col("text").cast("string"))
-        .mapInArrow(labelled, "held boolean, y boolean, x array<double>")
-        .groupBy("held", "y", "x")
+        docs.where(F.col("text").isNotNull() & hash_fraction(F.col("doc_id"), bounded_fraction(n, sample_docs), 7))
+        .select("doc_id", F.col("text").cast("string"))
+        .mapInArrow(labelled, "held boolean, kind int, y boolean, x binary")
+        .groupBy("held", "kind", "y", "x")
         .count()
-        .toPandas()  # distinct feature rows of the bounded sample
+        .toPandas()  # distinct feature rows of the bounded sample, some 200 bytes each
     )
-    rows["x"] = rows["x"].map(tuple)
-    rows = rows.sort_values(["held", "y", "x"])
-    train = rows[~rows["held"]]
-    if train["y"].nunique() < 2:
-        return SpanModel(None, {})
-    times = np.minimum(train["count"].to_numpy(), 8)  # copies of one candidate say little more
-    x, y = np.repeat(np.stack(train["x"]), times, 0), np.repeat(train["y"].to_numpy(float), times)
-    trees, thresholds, held = Trees(x, y), {}, rows[rows["held"]]
-    if len(held):
-        hx, hy, hn = np.stack(held["x"]), held["y"].to_numpy(float), held["count"].to_numpy(float)
-        p = trees.predict(hx)
-        for k in range(len(KINDS)):
-            own = hx[:, 0] == k
-            order = np.argsort(-p[own], kind="stable")
-            right = np.cumsum((hy * hn)[own][order]) / np.maximum(np.cumsum(hn[own][order]), 1)
-            fine = np.flatnonzero(right >= PRECISION)
-            if len(fine):
-                # Half way to the first score that is one too many.
-                sorted_p = np.append(p[own][order], 0.0)
-                thresholds[k] = max(0.5, float(sorted_p[fine[-1]] + sorted_p[fine[-1] + 1]) / 2)
+    rows["x"] = rows["x"].map(bytes)
+    rows = rows.sort_values(["held", "kind", "y", "x"])
+    trees, thresholds = {}, {}
+    for k in range(len(KINDS)):
+        train, held = (rows[(rows["kind"] == k) & (rows["held"] == h)] for h in (False, True))
+        if train["y"].nunique() < 2 or not len(held):
+            continue
+        times = np.minimum(train["count"].to_numpy(), 8)  # copies of one candidate say little more
+        trees[k] = Trees(np.repeat(vectors(train["x"]), times, 0), np.repeat(train["y"].to_numpy(float), times))
+        p, hy, hn = trees[k].predict(vectors(held["x"])), held["y"].to_numpy(float), np.minimum(held["count"].to_numpy(float), 8)
+        order = np.argsort(-p, kind="stable")
+        right = np.cumsum((hy * hn)[order]) / np.maximum(np.cumsum(hn[order]), 1)
+        fine = np.flatnonzero(right >= PRECISION)
+        if len(fine):
+            sorted_p = np.append(p[order], 0.0)
+            thresholds[k] = max(0.5, float(sorted_p[fine[-1]] + sorted_p[fine[-1] + 1]) / 2)
+    if all(f < FORMAT for t in trees.values() for f in t.used()):
+        thresholds = {}
     return SpanModel(trees, thresholds)
 
 
+def vectors(rows: Iterable[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.float32) for x in rows]).astype(float)
+
+
 def named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 

@@ -1,6 +1,7 @@
 """Loose forms of personal data are found where a corpus holds base forms in like contexts."""
 
 import random
+import time
 
 from parley.llm import pii
 
@@ -44,3 +45,86 @@ def test_secrets_are_found(frame):
     text = f'x = "{hexes(40)}" y'
     assert [text[s:e] for s, _, e in model.select(text, pii.base_spans(text))] == [text[5:45]]
     assert pii.redact(text, model.select(text, pii.base_spans(text))) == 'x = "[SECRET]" y'
+
+
+def mixed_corpus(rng, n):
+    """Texts with personal data, their spans, and as many look-alikes, none of a shape or word list of the planted examples."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    prose = lambda: " ".join(word() for _ in range(rng.randint(3, 30)))
+    right = [
+        lambda: ("", f"{word()}{digits(2)} (at) {word()} (dot) org"), lambda: ("", f"{word()}[at]{word()}.net"), lambda: ("password=", hexes(32)), lambda: ('client_secret: "', hexes(40)),
+        lambda: ("please call ", f"({digits(3)}) {digits(3)}-{digits(4)}"), lambda: ("api key: ", "sk_live_" + hexes(12) + "AB12cd34"), lambda: ("server ip ", "-".join(str(rng.randint(1, 250)) for _ in range(4))),
+    ]
+    wrong = [
+        lambda: ("commit ", hexes(40)), lambda: ("sha256: ", hexes(64)), lambda: ("/docs/releases/", f"{rng.randint(1990, 2030)}-notes-for-version{digits(2)}-final"), lambda: ("version ", ".".join(digits(1) for _ in range(4)) + ".1"),
+        lambda: ("", f"{word()} (at) {word()}, then {word()}"), lambda: ("order ", digits(11)), lambda: ("", f"20{digits(2)}-0{digits(1)[:1]}-1{digits(1)} 1{digits(1)}:30"), lambda: ("", f"{word()}-{word()}-{word()}-{digits(3)}-{word()}-list"),
+    ]
+    out = []
+    for i in range(n):
+        (before, form), good = (rng.choice(right)(), True) if i % 2 else (rng.choice(wrong)(), False)
+        left = prose() + " " + before
+        out.append((left + form + ("" if not before.endswith('"') else '"') + " " + prose(), (len(left), len(left) + len(form)), good))
+    return out
+
+
+def test_selected_spans_of_a_mixed_corpus(frame):
+    rng = random.Random(12)
+    model = pii.fit(frame([(i, t) for i, (t, _, _) in enumerate(mixed_corpus(rng, 400))]))
+    assert any(f >= pii.FORMAT for t in model.trees.values() for f in t.used())
+    found = right = caught = wanted = 0
+    for text, span, good in mixed_corpus(rng, 600):
+        base = pii.base_spans(text)
+        spans = [(s, e) for s, _, e in model.select(text, base)]
+        found += len(spans)
+        right += good and span in spans
+        wanted += good
+        caught += good and any(s < span[1] and span[0] < e for s, e in spans)
+    assert right / found >= 0.95 and caught / wanted >= 0.85, (right, found, caught, wanted)
+
+
+def test_look_alikes_stay(frame):
+    model = pii.fit(frame([(i, t) for i, (t, _, _) in enumerate(mixed_corpus(random.Random(3), 300))]))
+    found = lambda t: [t[s:e] for s, _, e in model.select(t, pii.base_spans(t))]
+    digest = "3f9ab2c4d5e6f708192a3b4c5d6e7f8091a2b3c4"
+    assert found(f"see commit {digest} for it") == [] and found("at /docs/releases/2024-notes-for-version10-final you find") == []
+    assert found(f"checksum = {digest} end") == [] and found("on 2024-05-06 12:30 we met, look (at) this. Then") == []
+    assert found("mail anna (at) example (dot) org today") == ["anna (at) example (dot) org"]
+    assert found(f'auth_token = "{digest}" end') == [digest]
+    kinds = [pii.KINDS[k] for _, k, _ in model.select("pay with 4111.1111.1111.1111 now", [])]
+    assert kinds == ["card"]
+
+
+def plain_choice(scored, thresholds):
+    kept = []
+    for _, s, _, k, e in sorted((-q, s, s - e, k, e) for q, s, k, e in scored if q >= thresholds[k]):
+        if all(e <= a or b <= s for a, _, b in kept):
+            kept.append((s, k, e))
+    return sorted(kept)
+
+
+def test_choice_of_spans_equals_all_pairs(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(200):
+        scored = [(rng.randint(0, 6) / 6, s, rng.randrange(5), s + rng.randint(1, 9)) for s in (rng.randrange(40) for _ in range(rng.randint(0, 25)))]
+        model = pii.SpanModel({}, {k: rng.choice([0.3, 0.6]) for k in range(5)})
+        monkeypatch.setattr(pii.SpanModel, "scored", lambda self, text, base, scored=scored: scored)
+        assert model.select("", []) == plain_choice(scored, model.thresholds)
+
+
+def test_features_count():
+    f = pii.features("the token = 'abc123def4567890' end", 13, 29)
+    assert len(f) > pii.FORMAT and all(isinstance(float(x), float) for x in f)
+    assert f[pii.FORMAT] and not pii.features("the thing = 'abc123def4567890' end", 13, 29)[pii.FORMAT]
+
+
+def test_a_text_full_of_spans_takes_seconds(frame):
+    rng = random.Random(1)
+    log = " ".join(f"host 10-0-{i % 250}-7 user{i}@mail.example.org look{i} (at) x (dot) org" for i in range(16_000))
+    model = pii.fit(frame([(i, t) for i, (t, _, _) in enumerate(mixed_corpus(rng, 100))]), rounds=400)
+    start = time.time()
+    base = pii.base_spans(log)
+    assert len(base) == 16_000
+    model.select(log, base)
+    assert len(log) > 1_000_000 and time.time() - start < 40
