@@ -6,9 +6,11 @@ A unit counts if its likelihood ratio is such that only CHANCE of all units woul
 chance, so the bar follows the size of the sample. A token scores its own log-odds, else those of its longest
 toxic beginning (words that the sample lacks are known by their stems), else it costs DRIFT.
 A linear-time scan (Ruzzo and Tompa) finds all maximal scoring segments of a document, each is
-judged by its extreme-value (Karlin-Altschul) expectation E = K n exp(-lambda S), and the
-evidence of the significant ones, summed, is mapped to a probability by a logistic fit. K and
-the logistic fit come from documents that the log-odds in use were not learned from (FOLDS).
+judged by its extreme-value (Karlin-Altschul) expectation E = K n exp(-lambda S), n being the number
+of tokens that don't gain. The evidence of a document is the largest sum of -ln E over disjoint
+segments, and a logistic fit maps it to a probability, so another toxic token never lowers a score,
+wherever it stands and however often it stands there already. K and the logistic fit come from
+documents that the log-odds in use were not learned from (FOLDS).
 
 The log-odds are learned on a bounded sample of labelled documents (SAMPLE_DOCS, by a hash of
 doc_id), so the lexicon that is broadcast is bounded by that sample's tokens; scoring covers
@@ -43,7 +45,6 @@ PREFIXES = (8, 7, 6, 5, 4)
 #: PRIOR: weight of the background as a share of all counts. CHANCE: units that pass by chance, of
 #: those in TESTABLE documents or more.
 PRIOR, CHANCE, TESTABLE, DRIFT, SIGNIFICANT, FOLDS = 0.05, 20, 4, 0.7, 0.05, 2
-REPEATS = 3
 #: Tokens whose score a task remembers.
 CACHED = 200_000
 EULER = 0.5772156649
@@ -80,60 +81,83 @@ class ToxicityModel:
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, start, end) of a sequence, by start: Ruzzo-Tompa."""
-    kept: list[list[float]] = []  # start, end, total before, total after
+    """All maximal scoring segments (score, start, end) of a sequence, by start: Ruzzo-Tompa.
+
+    Each kept segment links to the last one before it with a smaller total on its left, so the walk
+    back passes over the others and the scan is linear."""
+    starts: list[int] = []
+    ends: list[int] = []
+    left: list[float] = []  # totals before and after
+    right: list[float] = []
+    link: list[int] = []
     total = 0.0
     for i, s in enumerate(scores):
         total += s
         if s <= 0:
             continue
-        own = [i, i + 1, total - s, total]
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= own[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= own[3]:
-                break
-            own = [kept[j][0], own[1], kept[j][2], own[3]]
-            del kept[j:]
-        kept.append(own)
-    return [(r - l, a, b) for a, b, l, r in kept]
-
-
-def token_segments(model: ToxicityModel, tokens: list[str]) -> list[tuple[float, int, int]]:
-    """Maximal segments of a document, in token positions. Runs of tokens that cost DRIFT are
-    summed up first, so the scan only visits tokens of the lexicon. A token gains its score REPEATS
-    times at most: what it says was learned from its presence in documents."""
-    weight, hits, seen = model.weight, [], Counter()
+        start, before = i, total - s
+        j = len(starts) - 1
+        while j >= 0 and left[j] >= before:
+            j = link[j]
+        while j >= 0 and right[j] < total:
+            start, before, back = starts[j], left[j], link[j]
+            del starts[j:], ends[j:], left[j:], right[j:], link[j:]
+            j = back
+        starts.append(start)
+        ends.append(i + 1)
+        left.append(before)
+        right.append(total)
+        link.append(j)
+    return [(r - l, a, b) for a, b, l, r in zip(starts, ends, left, right)]
+
+
+def scored_runs(model: ToxicityModel, tokens: list[str]) -> tuple[list[float], list[tuple[int, int]]]:
+    """Scores in order with the tokens that each covers: runs of tokens that cost DRIFT are summed up,
+    so the scans only visit tokens of the lexicon."""
+    weight, scores, places, last = model.weight, [], [], -1
     for i, t in enumerate(tokens):
         w = weight(t)
-        if w is not None:
-            seen[t] += 1
-            if w <= 0 or seen[t] <= REPEATS:
-                hits.append((i, w))
-    if not hits:
-        return []
-    scores, places, last = [], [], -1
-    for i, w in hits:
-        if i - last > 1:
+        if w is None:
+            continue
+        if scores and i - last > 1:
             scores.append(-DRIFT * (i - last - 1))
             places.append((last + 1, i))
         scores.append(w)
         places.append((i, i + 1))
         last = i
+    return scores, places
+
+
+def token_segments(scores: list[float], places: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
+    """Maximal segments of a document, in token positions."""
     return [(s, places[a][0], places[b - 1][1]) for s, a, b in maximal_segments(scores)]
 
 
-def evidence_of(model: ToxicityModel, segments: list[tuple[float, int, int]], n: int) -> tuple[float, list[tuple[float, int, int]]]:
-    """Evidence of a document, and its significant segments with their -ln E. Evidence is the best
-    segment's -ln E plus that of the other significant ones."""
+def best_evidence(scores: list[float], lam: float, base: float) -> float:
+    """The most that disjoint segments, one or more, bring together: lam times the score of each, less
+    ``base``, which is what chance brings. One more token that gains never makes it less."""
+    inside = done = -math.inf
+    for s in scores:
+        inside = max(inside, done - base, -base) + lam * s
+        done = max(done, inside)
+    return done
+
+
+def evidence_of(model: ToxicityModel, tokens: list[str]) -> tuple[float, list[tuple[float, int, int]], float]:
+    """Evidence of a document, its significant segments with their -ln E, and its best score.
+
+    E is by the length of what could bring a segment by chance: the tokens that don't gain."""
+    scores, places = scored_runs(model, tokens)
+    segments = token_segments(scores, places)
     if not segments:
-        return float(LOW), []
-    base = model.log_k + math.log(max(n, 1))
-    logs = sorted(((model.lam * s - base, a, b) for s, a, b in segments), key=lambda x: (-x[0], x[1]))
-    good = [x for x in logs if x[0] >= -math.log(SIGNIFICANT)]
-    total = logs[0][0] + sum(x[0] for x in good[1:])
-    return float(min(max(total, LOW), HIGH)), sorted(good, key=lambda x: x[1])
+        return float(LOW), [], 0.0
+    base = model.log_k + math.log(background(scores, places, len(tokens)))
+    good = [(x, a, b) for s, a, b in segments if (x := model.lam * s - base) >= -math.log(SIGNIFICANT)]
+    return float(min(max(best_evidence(scores, model.lam, base), LOW), HIGH)), good, max(s for s, _, _ in segments)
+
+
+def background(scores: list[float], places: list[tuple[int, int]], n: int) -> int:
+    return max(1, n - sum(s > 0 for s in scores))
 
 
 def _tokens(text: str) -> list[str]:
@@ -272,8 +296,8 @@ def _scan(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             rows = []
             for text, toxic in zip(filled(batch.column(0)).to_pylist(), batch.column(1).to_pylist()):
                 tokens = _tokens(text)
-                segments = token_segments(m, tokens)
-                rows.append((max((s for s, _, _ in segments), default=0.0), len(tokens), evidence_of(m, segments, len(tokens))[0], toxic))
+                evidence, _, best = evidence_of(m, tokens)
+                rows.append((best, background(*scored_runs(m, tokens), len(tokens)), evidence, toxic))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["best", "n", "evidence", "toxic"]).astype({"best": float, "n": "int64", "evidence": float, "toxic": "int32"}), preserve_index=False)
 
     return docs.select(F.col("text").cast("string"), "toxic").mapInArrow(run, "best double, n long, evidence double, toxic int")
@@ -290,7 +314,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             found, passages = [], []
             for text in filled(batch.column(1)).to_pylist():
                 tokens = _tokens(text)
-                e, good = evidence_of(m, token_segments(m, tokens), len(tokens))
+                e, good, _ = evidence_of(m, tokens)
                 found.append(e)
                 passages.append([{"start": a, "end": b, "evidence": x} for x, a, b in good])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.probability(np.array(found))), pa.array(passages, pa.list_(passage))], names=["doc_id", "score", "passages"])

@@ -116,6 +116,9 @@ def test_maximal_segments():
     for _ in range(300):
         scores = [rng.choice([-5, -3, -2, -1, 1, 2, 3, 4]) + rng.random() / 100 for _ in range(rng.randint(0, 12))]
         assert [(a, b) for _, a, b in toxicity.maximal_segments(scores)] == [(a, b) for _, a, b in brute_segments(scores)]
+    for n in (60, 90):
+        scores = [(1 if i % 2 else -1) * (rng.randint(1, 9) + rng.random() / 100) for i in range(n)]
+        assert [(a, b) for _, a, b in toxicity.maximal_segments(scores)] == [(a, b) for _, a, b in brute_segments(scores)]
 
 
 def test_toxicity_held_out(spark, frame, odd_texts):

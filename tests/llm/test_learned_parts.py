@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 
@@ -84,13 +85,49 @@ def test_logistic_lambda_and_k():
 
 def test_equal_segments_keep_their_order():
     model = toxicity.ToxicityModel({"x": 2.0})
-    assert toxicity.token_segments(model, "x a a a a a x a a a a a x".split()) == [(2.0, 0, 1), (2.0, 6, 7), (2.0, 12, 13)]
-    # One token over and over says little more than its presence.
-    assert sum(x for x, _, _ in toxicity.token_segments(model, ["x"] * 50)) == 2.0 * toxicity.REPEATS
+    assert toxicity.token_segments(*toxicity.scored_runs(model, "x a a a a a x a a a a a x".split())) == [(2.0, 0, 1), (2.0, 6, 7), (2.0, 12, 13)]
     assert toxicity.ToxicityModel({"abcd*": 1.0, "abcdef": 3.0}).weight("abcdef") == 3.0
     assert toxicity.ToxicityModel({"abcd*": 1.0}).weight("abcdzz") == 1.0 and toxicity.ToxicityModel({"abcd*": 1.0}).weight("abcd") is None
 
 
+def test_repeated_passages_are_all_found():
+    model = toxicity.ToxicityModel({"zapf": 2.5}, 1.0, 0.0, 1.0, -4.0)
+    once = ["zapf"] * 3
+    assert [(a, b) for _, a, b in toxicity.evidence_of(model, once + ["a"] * 50 + once)[1]] == [(0, 3), (53, 56)]
+
+
+def test_more_toxic_text_never_scores_lower():
+    rng = random.Random(8)
+    for _ in range(300):
+        model = toxicity.ToxicityModel({"x": rng.choice([0.05, 0.4, 2.5]), "y": 1.0, "n": -1.5}, rng.choice([0.3, 1.0, 2.0]), rng.choice([-2.0, 0.0, 3.0]))
+        tokens = [rng.choice("xynaaaaa") for _ in range(rng.randint(0, 40))]
+        more = list(tokens)
+        more.insert(rng.randint(0, len(more)), rng.choice("xy"))
+        assert toxicity.evidence_of(model, more)[0] >= toxicity.evidence_of(model, tokens)[0] - 1e-9
+
+
+def test_best_evidence_is_the_best_choice_of_segments():
+    rng = random.Random(9)
+    for _ in range(200):
+        scores = [rng.choice([-3.0, -1.0, 1.0, 2.0, 4.0]) for _ in range(rng.randint(1, 7))]
+        base = rng.choice([-1.0, 0.5, 2.0, 5.0])
+        best = -math.inf
+        for marks in range(1, 1 << len(scores)):  # chosen places; segments are their runs, cut or not cut between neighbours
+            chosen = [marks >> i & 1 for i in range(len(scores))]
+            inner = sum(chosen[i] and chosen[i - 1] for i in range(1, len(scores)))
+            runs = sum(chosen) - inner
+            for cuts in range(inner + 1):
+                best = max(best, sum(s for s, c in zip(scores, chosen) if c) - base * (runs + cuts))
+        assert abs(toxicity.best_evidence(scores, 1.0, base) - best) < 1e-9
+
+
+def test_scan_is_linear():
+    start = time.time()
+    assert len(toxicity.maximal_segments([1.0, -1.5] * 200_000)) == 200_000
+    assert len(toxicity.maximal_segments([x for i in range(100_000) for x in (2.0 + i % 7, -1.5)])) >= 1
+    assert time.time() - start < 4
+
+
 def test_tied_languages_go_to_the_first_name(spark):
     docs = spark.createDataFrame([(1, "abab", "y"), (2, "abab", "x")], "doc_id long, text string, lang string")
     model = language_id.fit(docs, language_id.F.lit(True), bits=10)
