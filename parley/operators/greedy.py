@@ -3,49 +3,39 @@ a bounded number by Spark, or within scopes by grouped pandas."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.graph import checkpointed
 from parley.operators.segments import scan
 
 
-def greedy_cover(label_counts: pd.DataFrame, labels_of: Callable[[str, int], pd.DataFrame], k: int) -> list[int]:
-    """Pages that cover labels: the rarest uncovered label first, and of its pages the one with most
-    new labels, smaller id first. ``labels_of(label, n)`` brings the pages of a
-    label, of each label set the n smallest ids at least."""
+def greedy_cover(pages: DataFrame, k: int) -> list[int]:
+    """Up to ``k`` pages (page, labels) that cover labels: the rarest uncovered label first, and of its pages the
+    one with most new labels, smaller id first. Two small results a step come to the driver; labels and
+    pages stay in Spark."""
+    pages = checkpointed(pages)
+    counts = checkpointed(pages.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")))
     chosen: list[int] = []
     covered: set[str] = set()
     while len(chosen) < k:
-        left = label_counts[~label_counts["label"].isin(covered)]
-        if not len(left):
+        label = counts.where(~F.col("label").isin(list(covered))).orderBy("n", "label").first()
+        if label is None:
             break
-        label = left.sort_values(["n", "label"]).iloc[0]["label"]
-        pages = labels_of(label, k + 1)
-        pages = pages[~pages["page"].isin(chosen)]
-        if not len(pages):
-            covered.add(label)
+        left = pages.where(F.array_contains("labels", label["label"]) & ~F.col("page").isin(chosen))
+        known = F.array(*map(F.lit, sorted(covered))).cast("array<string>")
+        best = left.orderBy(F.desc(F.size(F.array_except("labels", known))), "page").first()
+        if best is None:
+            covered.add(label["label"])
             continue
-        new = pages["labels"].map(lambda x: len(set(x) - covered))
-        best = pages.assign(new=new).sort_values(["new", "page"], ascending=[False, True]).iloc[0]
         chosen.append(int(best["page"]))
         covered |= set(best["labels"])
     return chosen
 
 
-def first_of_label_set(pages: DataFrame, k: int) -> DataFrame:
-    """The pages (page, labels) that ``greedy_cover`` can choose: those of one label set cover alike, so
-    the ``k`` smallest ids of each. Salted parts come first."""
-    from pyspark.sql.window import Window as W
-
-    first = lambda *by: F.row_number().over(W.partitionBy(F.array_sort("labels"), *by).orderBy("page"))
-    parts = pages.withColumn("p", first(F.pmod(F.xxhash64("page"), F.lit(64)))).where(F.col("p") <= k)
-    return parts.withColumn("p", first()).where(F.col("p") <= k).drop("p")
-
-
 def fill_batches(slices: DataFrame, most: int) -> DataFrame:
     """scope, chat_id, batch: slices (scope, chat_id, n) in order into batches of ``most``; a slice
     stays whole if it fits into one. Slices pass sorted in Arrow batches; the state is two numbers."""
@@ -118,8 +108,6 @@ def guarded_draw(rows: DataFrame, scope: str, order: list[str], k: int, most: fl
     later block is accepted and there are at most ``k`` of them."""
     from pyspark.sql.window import Window as W
 
-    from parley.operators.graph import checkpointed
-
     rows = rows.withColumn(scope, F.coalesce(scope, F.lit("")))
     part = F.row_number().over(W.partitionBy(scope, F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(*order))
     first = rounds(rows.withColumn("p", part).where(F.col("p") <= block), scope, order)
@@ -162,32 +150,3 @@ def budgeted(candidates: pd.DataFrame, budget: int, gain: int = 20, again: int =
         covered |= labels
         scopes[scope] = scopes.get(scope, 0) + 1
     return chosen
-
-
-def overlap_groups(rows: DataFrame) -> DataFrame:
-    """lead, group_id: in order of ``lead`` within a scope, a row joins the first group that shares
-    half of the smaller of both reference sets, rounded up, and its references join the group's; else
-    it starts one, named by it. ``rows``: scope, lead, refs; no reference stands in two scopes. The
-    state is the references of a scope's groups."""
-    ordered = rows.select("scope", "lead", "refs").repartition("scope").sortWithinPartitions("scope", "lead")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scope, groups, holding = None, [], {}  # groups: (first lead, references); holding: groups of a reference
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                if r.scope != scope:
-                    scope, groups, holding = r.scope, [], {}
-                refs = set(r.refs)
-                shared = Counter(g for x in refs for g in holding.get(x, ()))
-                home = next((g for g in sorted(shared) if 2 * shared[g] >= min(len(refs), len(groups[g][1]))), None)
-                if home is None:
-                    home = len(groups)
-                    groups.append((r.lead, set()))
-                for x in refs - groups[home][1]:
-                    holding.setdefault(x, set()).add(home)
-                groups[home][1].update(refs)
-                out.append((r.lead, groups[home][0]))
-            yield pd.DataFrame(out, columns=["lead", "group_id"])
-
-    return ordered.mapInPandas(run, "lead long, group_id long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ from parley.operators.pairs import neighbours, placed
 from parley.operators.thinning import thinned
 from parley.plans.analytics import MINUTE, SCORED, _session_sql, scored_documents
 from parley.plans.archive import M
-from parley.plans.registry import query
+from parley.plans.registry import ORACLES, query
 from parley.sources.tables import event_messages, table, turn_messages
 
 HOUR = 60 * MINUTE
@@ -295,31 +297,37 @@ def block_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("chat_id", "session", F.concat(sentence, F.when(F.col("kinds") == 1, ", all alike.").otherwise(".")).alias("summary"))
 
 
-INVARIANTS = ("clause_spans_overlap", "episode_rows_lost", "episodes_overlap", "fragment_outside_turn", "object_not_in_clause", "root_not_smallest")
-
-
-@query("SELECT unnest([" + ", ".join(f"'{x}'" for x in INVARIANTS) + "]) AS invariant, 0::BIGINT AS violations")
-def pipeline_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zero-tolerance counts over what the queries make: spans of clauses, episodes and components."""
-    turns, f = turn_messages(spark, sf_dir), fragments(turn_messages(spark, sf_dir))
+def invariant_counts(turns: DataFrame, clauses: DataFrame, episodes: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """invariant, violations: clauses (chat_id, pos, start, stop, own) of turns, episodes (chat_id, episode, n,
+    start_us, end_us) of rows, and groups (id, root)."""
     by_turn = W.partitionBy("chat_id", "pos").orderBy("start")
-    overlap = f.withColumn("free", F.lag("stop").over(by_turn)).agg(F.count_if(F.col("start") < F.col("free")))
-    there = f.join(turns.select("chat_id", "pos", "content"), ["chat_id", "pos"], "left")
+    overlap = clauses.withColumn("free", F.lag("stop").over(by_turn)).agg(F.count_if(F.col("start") < F.col("free")))
+    there = clauses.join(turns.select("chat_id", "pos", "content"), ["chat_id", "pos"], "left")
     span = F.substring(F.col("content"), F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
     outside = there.agg(F.count_if(F.col("content").isNull() | (F.col("stop") > F.length("content"))))
     unnamed = there.where("own IS NOT NULL").agg(F.count_if(~F.contains(span, F.col("own"))))
-    e, rows = adaptive_episodes(spark, sf_dir), event_messages(spark, sf_dir).agg(F.count("*").alias("rows"))
-    lost = e.agg(F.sum("n").alias("n")).crossJoin(rows).select(F.abs(F.coalesce("n", F.lit(0)) - F.col("rows")))  # two single rows
+    held = episodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    lost = held.crossJoin(rows.agg(F.count("*").alias("rows"))).select(F.abs(F.col("n") - F.col("rows")))  # two single rows
     follow = W.partitionBy("chat_id").orderBy("episode")
-    crossed = e.withColumn("ended", F.lag("end_us").over(follow)).agg(F.count_if(F.col("start_us") < F.col("ended")))
-    roots = topic_components(spark, sf_dir).groupBy("root").agg(F.min("id").alias("least"))
-    wrong = roots.agg(F.count_if(F.col("least") != F.col("root")))
+    crossed = episodes.withColumn("ended", F.lag("end_us").over(follow)).agg(F.count_if(F.col("start_us") < F.col("ended")))
+    wrong = groups.groupBy("root").agg(F.min("id").alias("least")).agg(F.count_if(F.col("least") != F.col("root")))
     found = {"clause_spans_overlap": overlap, "episode_rows_lost": lost, "episodes_overlap": crossed, "fragment_outside_turn": outside, "object_not_in_clause": unnamed, "root_not_smallest": wrong}
-    out = None
-    for name, one in found.items():
-        row = one.select(F.lit(name).alias("invariant"), F.col(one.columns[0]).cast("long").alias("violations"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    parts = [one.select(F.lit(name).alias("invariant"), F.col(one.columns[0]).cast("long").alias("violations")) for name, one in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""WITH f AS ({ORACLES["context_fragments"]}), e AS ({ORACLES["adaptive_episodes"]}), c AS ({ORACLES["topic_components"]}),
+t AS (SELECT f.*, v.text, v.conv_id FROM f LEFT JOIN conversations v ON v.conv_id = f.chat_id AND v.turn = f.pos)
+SELECT 'clause_spans_overlap' AS invariant, count(*)::BIGINT AS violations FROM (SELECT start, lag(stop) OVER (PARTITION BY chat_id, pos ORDER BY start) AS free FROM f) WHERE start < free
+UNION ALL SELECT 'episode_rows_lost', abs((SELECT coalesce(sum(n), 0) FROM e) - (SELECT count(*) FROM events))::BIGINT
+UNION ALL SELECT 'episodes_overlap', count(*) FROM (SELECT start_us, lag(end_us) OVER (PARTITION BY chat_id ORDER BY episode) AS ended FROM e) WHERE start_us < ended
+UNION ALL SELECT 'fragment_outside_turn', count(*) FROM t WHERE text IS NULL OR stop > length(text)
+UNION ALL SELECT 'object_not_in_clause', count(*) FROM t WHERE object IS NOT NULL AND NOT carried AND NOT contains(substr(text, start + 1, stop - start), object)
+UNION ALL SELECT 'root_not_smallest', count(*) FROM (SELECT root, min(id) AS least FROM c GROUP BY root) WHERE least <> root""")
+def pipeline_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero-tolerance counts over what the queries make: spans of clauses, episodes and components."""
+    turns = turn_messages(spark, sf_dir)
+    return invariant_counts(turns, fragments(turns), adaptive_episodes(spark, sf_dir), event_messages(spark, sf_dir), topic_components(spark, sf_dir))
 
 
 MAX_RETRIES = 3

@@ -19,11 +19,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
-
-
-def also(name: str, known: str) -> Query:
-    """A second name of a query."""
-    QUERIES[name] = QUERIES[known]
-    if known in ORACLES:
-        ORACLES[name] = ORACLES[known]
-    return QUERIES[name]

@@ -14,7 +14,7 @@ from parley.operators.pairs import as_of, cluster_sizes, neighbours, placed, ran
 from parley.plans import scans
 from parley.plans.analytics import MINUTE, SCORED, _session_sql, scored_documents
 from parley.plans.archive import DAY, M
-from parley.plans.registry import also, query
+from parley.plans.registry import query
 from parley.streaming.state import cooldown_decisions
 from parley.sources.tables import event_messages, table, turn_messages
 
@@ -107,9 +107,6 @@ def _overlap(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
     return c.join(g, "ev", "left").select("cand", F.when(F.col("ne") >= 1, F.col("ec")).when(F.col("n") == 1, F.col("c1")).alias("code"), how.alias("how"))
 
 
-evidence_overlap_join_whole = also("evidence_overlap_join_whole", "evidence_overlap_join")
-
-
 @query("""WITH RECURSIVE l AS (SELECT l_orderkey AS ev, l_linenumber AS line, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber IN (1, 2)),
 e AS (SELECT DISTINCT 2 * x.l_partkey AS a, 2 * y.l_suppkey + 1 AS b FROM l x JOIN l y ON x.ev = y.ev AND x.line = 1 AND y.line = 2),
 s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x AS i, x AS c FROM s UNION SELECT s.y, r.c FROM r JOIN s ON s.x = r.i),
@@ -121,9 +118,6 @@ def bipartite_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(table(spark, sf_dir, "lineitem"))
 
 
-bipartite_alignment_whole = also("bipartite_alignment_whole", "bipartite_alignment")
-
-
 def alignment(lines: DataFrame) -> DataFrame:
     a = lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("ev"), (2 * F.col("l_partkey")).alias("a"))
     b = lines.where("l_linenumber = 2").select(F.col("l_orderkey").alias("ev"), (2 * F.col("l_suppkey") + 1).alias("b"))
@@ -316,9 +310,6 @@ def acu_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _acu(l, l)
 
 
-acu_evaluation_whole = also("acu_evaluation_whole", "acu_evaluation")
-
-
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("acu"))
 
@@ -357,12 +348,10 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stratum_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten documents that cover term labels, the rarest label first. Labels are counted by Spark; of
-    each label set only the smallest ids, which are all that can be chosen, come to the driver."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.array_distinct(F.concat(F.array("lang", "source"), F.array(F.when(F.col("text").contains("@"), "mail").otherwise("plain")))).alias("labels"))
-    counts = d.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).orderBy("n", "label").limit(500).toPandas()
-    few = greedy.first_of_label_set(d, 11).toPandas()
-    pages = greedy.greedy_cover(counts, lambda label, n: few[[label in x for x in few["labels"]]], 10)
+    """Ten documents that cover term labels, the rarest label first, whatever the number of labels."""
+    mail = F.when(F.col("text").contains("@"), "mail").otherwise("plain")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.array_distinct(F.array_compact(F.array("lang", "source", mail))).alias("labels"))
+    pages = greedy.greedy_cover(d, 10)
     return d.join(F.broadcast(spark.createDataFrame([(p, i) for i, p in enumerate(pages)] or [(-1, -1)], "page long, place int")), "page").select("page", "place", F.array_join("labels", ",").alias("labels"))
 
 
@@ -429,8 +418,8 @@ def gate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_messages(spark, sf_dir).withColumn("before", before).where("before IS NULL OR before <> kind").select("row_id", "chat_id", F.col("kind").alias("channel"), "before")
 
 
-@query("""WITH c AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark), t AS (SELECT item_id, unnest(w) AS term, len(w) AS n FROM c), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}'))) AS term FROM documents WHERE n_chars <= 20000),
-s AS (SELECT item_id, doc_id, n, count(*) AS i FROM t JOIN d USING (term) GROUP BY ALL) SELECT item_id, doc_id, i AS shared, n AS claim_terms, CASE WHEN 10 * i >= 8 * n THEN 'supported' ELSE 'partly' END AS verdict FROM s WHERE 2 * i >= n""".replace(" WHERE n_chars <= 20000", ""))
+@query("""WITH c AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark), t AS (SELECT item_id, unnest(w) AS term, len(w) AS n FROM c), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}'))) AS term FROM documents),
+s AS (SELECT item_id, doc_id, n, count(*) AS i FROM t JOIN d USING (term) GROUP BY ALL) SELECT item_id, doc_id, i AS shared, n AS claim_terms, CASE WHEN 10 * i >= 8 * n THEN 'supported' ELSE 'partly' END AS verdict FROM s WHERE 2 * i >= n""")
 def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims against an offline table of results by shared terms. Claim terms are few and go to every
     task up to a checked number; only shared terms are shuffled."""

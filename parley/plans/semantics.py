@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from parley.functions import text as T
-from parley.operators import greedy, segments
+from parley.operators import segments
+from parley.operators.events import most_anchored
 from parley.operators.graph import components
 from parley.operators.mentions import mentions
+from parley.operators.ordered import Rule, ordered_groups, overlap_rule
 from parley.operators.pairs import neighbours, placed
 from parley.plans import scans
 from parley.plans.analytics import MINUTE, SCORED, SIGNED, scored_documents, signed_pieces
@@ -188,40 +190,24 @@ def active_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("total", F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).where(F.col("total") <= PERIOD_ROWS)
 
 
-ANCHORS = """t AS (SELECT doc_id, source, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{11,}'))) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM t GROUP BY term), a AS (SELECT * FROM df WHERE df BETWEEN 2 AND 8)"""
+ANCHORS = """t AS (SELECT doc_id, source, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{11,}'))) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+a AS (SELECT * FROM df WHERE df BETWEEN 2 AND (SELECT greatest(8, least(24, round(0.08 * count(*)))) FROM documents))"""
 
 
-@query(f"WITH {ANCHORS} SELECT lang AS domain, term AS anchor, count(*) AS members, count(DISTINCT source) AS chats, min(doc_id) AS lead, least(100, 40 + 10 * count(*) + 5 * count(DISTINCT source)) AS quality FROM t JOIN a USING (term) GROUP BY ALL HAVING count(*) >= 2")
+@query(f"""WITH {ANCHORS} SELECT lang AS domain, term AS anchor, count(*) AS members, count(DISTINCT source) AS chats, min(doc_id) AS lead, least(100, 40 + 10 * count(*) + 5 * count(DISTINCT source)) AS quality
+FROM t JOIN a USING (term) GROUP BY ALL HAVING count(*) >= 2""")
 def anchor_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event proposals: documents of a domain that share a term which is neither unique nor common."""
-    return _proposals(spark, sf_dir, 8)
+    """Event proposals: documents of a domain that share a term which is neither unique nor common. The most
+    documents that a term may have follow the number of all."""
+    return _proposals(spark, sf_dir, most_anchored(table(spark, sf_dir, "documents").count()))
 
 
-@query(f"""WITH RECURSIVE {ANCHORS}, x AS (SELECT lang, term, doc_id FROM t JOIN a USING (term)), e AS (SELECT p.doc_id AS a, q.doc_id AS b FROM x p JOIN x q ON p.lang = q.lang AND p.term = q.term AND p.doc_id <> q.doc_id GROUP BY ALL HAVING count(*) >= 3),
+@query(f"""WITH RECURSIVE {ANCHORS}, x AS (SELECT lang, term, doc_id FROM t JOIN a USING (term)),
+e AS (SELECT p.doc_id AS a, q.doc_id AS b FROM x p JOIN x q ON p.lang = q.lang AND p.term = q.term AND p.doc_id <> q.doc_id GROUP BY ALL HAVING count(*) >= 3),
 r AS (SELECT a AS i, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.i) SELECT i AS doc_id, min(c) AS event_id FROM r GROUP BY i""")
 def anchor_event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents joined by three rare anchors or more. An anchor has at most eight documents, so pairs
+    """Documents joined by three rare anchors or more. An anchor has at most 24 documents, so pairs
     within it are few."""
-    return _event_clusters(spark, sf_dir, 8)
-
-
-SIZED_ANCHORS = ANCHORS.replace("BETWEEN 2 AND 8", "BETWEEN 2 AND (SELECT greatest(8, least(24, round(0.08 * count(*)))) FROM documents)")
-
-
-def most_anchored(documents: int) -> int:
-    """The most documents that an anchor may have."""
-    return max(8, min(24, round(documents * 0.08)))
-
-
-@query(f"WITH {SIZED_ANCHORS} SELECT lang AS domain, term AS anchor, count(*) AS members, count(DISTINCT source) AS chats, min(doc_id) AS lead, least(100, 40 + 10 * count(*) + 5 * count(DISTINCT source)) AS quality FROM t JOIN a USING (term) GROUP BY ALL HAVING count(*) >= 2")
-def anchor_proposals_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """anchor_proposals with the reference's limit, which follows the number of documents."""
-    return _proposals(spark, sf_dir, most_anchored(table(spark, sf_dir, "documents").count()))
-
-
-@query()
-def anchor_event_clusters_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """anchor_event_clusters with the reference's limit, 24 documents an anchor at most."""
     return _event_clusters(spark, sf_dir, most_anchored(table(spark, sf_dir, "documents").count()))
 
 
@@ -259,12 +245,12 @@ def meme_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT l_orderkey AS lead, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_orderkey), e AS (SELECT DISTINCT l_orderkey AS lead, l_suppkey AS ref FROM lineitem),
 p AS (SELECT a.lead AS a, b.lead AS b, count(*) AS shared FROM e a JOIN e b ON a.ref = b.ref AND a.lead <> b.lead WHERE a.lead % 20 = 0 GROUP BY 1, 2)
-SELECT a, b, shared FROM p JOIN r x ON x.lead = a JOIN r y ON y.lead = b WHERE least(x.n, y.n) >= 2 AND shared >= (least(x.n, y.n) + 1) // 2""")
+SELECT a, b, shared FROM p JOIN r x ON x.lead = a JOIN r y ON y.lead = b WHERE shared >= (least(x.n, y.n) + 1) // 2""")
 def citation_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads whose citations overlap those of a queried lead by half of the smaller set, rounded up. The
     queries are the leads whose id 20 divides, against all leads; ``citation_groups`` groups all."""
     r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("b")).agg(F.collect_set("l_suppkey").alias("refs")).withColumn("m", F.size("refs"))
-    e = r.where("m >= 2").select("b", "m", F.explode("refs").alias("ref"))
+    e = r.select("b", "m", F.explode("refs").alias("ref"))
     q = e.where("b % 20 = 0").select(F.col("b").alias("a"), F.col("m").alias("n"), "ref")
     p = q.join(e, "ref").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.any_value(F.least("n", "m")).alias("smaller"))
     return p.where("shared >= floor((smaller + 1) / 2)").select("a", "b", "shared")
@@ -272,12 +258,10 @@ def citation_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def citation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All leads in greedy groups by overlapping citations. Groups meet only through shared references,
-    so the ordered step runs within the components of leads and references."""
-    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("lead")).agg(F.collect_set("l_suppkey").alias("refs"))
-    roots = components(r.select((2 * F.col("lead")).alias("a"), F.explode(F.transform("refs", lambda x: 2 * x + 1)).alias("b")))
-    scopes = roots.where("id % 2 = 0").select(F.expr("id DIV 2").alias("lead"), F.col("root").alias("scope"))
-    return greedy.overlap_groups(r.join(scopes, "lead", "left").withColumn("scope", F.coalesce("scope", 2 * F.col("lead"))))
+    """All leads in greedy groups by overlapping citations: a lead joins the first group that shares half
+    of the smaller of both reference sets, rounded up."""
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pos")).agg(F.collect_set("l_suppkey").alias("refs"))
+    return ordered_groups(r, overlap_rule(50)).withColumnRenamed("pos", "lead")
 
 
 @query("""SELECT sha256(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS claim, count(*) AS merged, min(doc_id) AS first_doc, count(DISTINCT source) AS refs FROM documents GROUP BY 1 HAVING count(*) > 1""")

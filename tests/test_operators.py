@@ -193,13 +193,9 @@ def test_guarded_and_budgeted_choice():
     assert greedy.budgeted(packages, 2) == [1, 3]
 
 
-def test_greedy_cover_takes_rare_labels_first():
-    import pandas as pd
-
-    pages = {1: ["a"], 2: ["a", "b"], 3: ["a", "c"], 4: ["a"]}
-    counts = pd.DataFrame({"label": ["a", "b", "c"], "n": [4, 1, 1]})
-    of = lambda label, n: pd.DataFrame([(p, x) for p, x in pages.items() if label in x][:n], columns=["page", "labels"])
-    assert greedy.greedy_cover(counts, of, 3) == [2, 3]
+def test_greedy_cover_takes_rare_labels_first(spark):
+    pages = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["a", "c"]), (4, ["a"])], "page long, labels array<string>")
+    assert greedy.greedy_cover(pages, 3) == [2, 3]
 
 
 def test_bundle_parents_keep_alternatives(spark):

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from parley.operators.ordered import ordered_groups, overlap_rule
 from parley.operators import greedy
 from parley.plans import relations, semantics
 
@@ -39,7 +40,7 @@ def test_alignment_of_all_orders(spark, tmp_path, seed):
     # Keys beyond 100000 on both sides, and orders that no step of forty holds.
     lines = [(ev, rng.choice([1, 2, 3, 100_001]) + 10 * (ev % 9), rng.randrange(1, 9) + 10 * (ev % 9), n) for ev in range(1, 60) for n in (1, 2, 3)]
     save(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
-    got = {tuple(r) for r in relations.bipartite_alignment_whole(spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in relations.bipartite_alignment(spark, str(tmp_path)).collect()}
     assert got == alignment_by_hand(lines) and len(got) > 1
 
 
@@ -48,14 +49,14 @@ def test_evidence_of_all_orders_and_codes(spark, tmp_path):
     # Orders 1 and 4 are no multiples of three; code 20 is past the first twelve.
     save(spark, tmp_path, "orders", [(1, 7, urgent), (4, 7, high), (3, 8, low), (5, 9, "3-MEDIUM"), (7, 10, urgent)], "o_orderkey long, o_custkey long, o_orderpriority string")
     save(spark, tmp_path, "supplier", [(20,), (21,), (23,)], "s_suppkey long")
-    got = {tuple(r) for r in relations.evidence_overlap_join_whole(spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in relations.evidence_overlap_join(spark, str(tmp_path)).collect()}
     assert got == {(7, 20, "exact"), (8, None, "ambiguous"), (9, None, "none"), (10, None, "ambiguous")}
 
 
 def test_acu_evaluation_of_all_claims(spark, tmp_path):
     # must: 3, 6; may: 1; exclude: 2, 5. No claim is a multiple of nine.
     save(spark, tmp_path, "lineitem", [(1, 3), (1, 2), (2, 2), (4, 1), (5, 5), (7, 3)], "l_orderkey long, l_partkey long")
-    (r,) = relations.acu_evaluation_whole(spark, str(tmp_path)).collect()
+    (r,) = relations.acu_evaluation(spark, str(tmp_path)).collect()
     assert (r["claims"], r["precision"], r["must_recall"], r["unsupported"]) == (5, 0.6, 1.0, 2)
 
 
@@ -87,8 +88,17 @@ def test_citation_groups_of_all_leads(spark, tmp_path, seed):
 
 def test_citation_groups_merge_unions(spark):
     rows = [(0, 1, [1, 2]), (0, 2, [2, 3, 4, 5]), (0, 3, [4, 5]), (0, 4, [3, 6, 7, 8]), (0, 5, [1, 3, 6, 9])]
-    got = dict(greedy.overlap_groups(spark.createDataFrame(rows, "scope long, lead long, refs array<long>")).collect())
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
+    for block in (2, 100):
+        got = dict(ordered_groups(spark.createDataFrame([r[1:] for r in rows], "pos long, refs array<long>"), overlap_rule(50), block).collect())
+        assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
+
+
+@pytest.mark.parametrize("seed, refs, width, block", [(1, 60, 5, 40), (2, 400, 4, 20), (3, 12, 3, 15)])
+def test_rounds_of_ordered_groups_equal_the_loop(spark, seed, refs, width, block):
+    rng = random.Random(seed)
+    leads = {i: {rng.randrange(refs) for _ in range(rng.randrange(width + 1))} for i in range(0, 240, 2)}
+    got = {tuple(r) for r in ordered_groups(spark.createDataFrame([(i, sorted(r)) for i, r in leads.items()], "pos long, refs array<long>"), overlap_rule(50), block).collect()}
+    assert got == groups_by_hand(leads)
 
 
 def test_guarded_draw_goes_on_past_a_block_of_copies(spark):
@@ -140,6 +150,6 @@ def test_anchor_limit_follows_the_number_of_documents(spark, tmp_path):
     # 20 of 300 documents share three terms; 30 share three others, which are too common.
     text = lambda i: "aaaaaaaaaaaa bbbbbbbbbbbb cccccccccccc" if i < 20 else "dddddddddddd eeeeeeeeeeee ffffffffffff" if i < 50 else "short"
     save(spark, tmp_path, "documents", [(i, text(i), "en", "s") for i in range(300)], "doc_id long, text string, lang string, source string")
-    assert {tuple(r) for r in semantics.anchor_event_clusters_sized(spark, str(tmp_path)).collect()} == {(i, 0) for i in range(20)}
-    got = semantics.anchor_proposals_sized(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in semantics.anchor_event_clusters(spark, str(tmp_path)).collect()} == {(i, 0) for i in range(20)}
+    got = semantics.anchor_proposals(spark, str(tmp_path)).collect()
     assert {(r["anchor"][0], r["members"], r["lead"]) for r in got} == {(x, 20, 0) for x in "abc"}
