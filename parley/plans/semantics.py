@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from parley.functions import profiles
 from parley.functions import text as T
 from parley.operators import segments
 from parley.operators.events import most_anchored
 from parley.operators.graph import components
-from parley.operators.mentions import mentions
+from parley.operators.mentions import claims as clause_claims
+from parley.operators.mentions import mentions, typed_mentions
 from parley.operators.ordered import Rule, ordered_groups, overlap_rule
 from parley.operators.pairs import neighbours, placed
 from parley.plans import scans
@@ -69,6 +71,30 @@ def mention_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+ENTRIES = profiles.entries()
+#: Values become marks that no text holds, then clauses are split and words are looked up.
+CLAIM_WORDS = f"""v AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+  '[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9-]{{1,63}}(?:\\.[A-Za-z0-9-]{{1,63}}){{1,8}}', ' § ', 'g'), '[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}}', ' § ', 'g'),
+  '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:[ T][0-9]{{2}}:[0-9]{{2}})?|[0-9]{{1,2}}:[0-9]{{2}})', ' ¶\\1¶ ', 'g'),
+  '[0-9]+(?:[.,][0-9]+)? ?(?:%|kg|km|GB|MB|ms|EUR|USD)', ' ¤ ', 'g'), '[0-9]{{3,}}', ' ¤ ', 'g') AS t FROM documents),
+c AS (SELECT doc_id, unnest(string_split_regex(t, '[.!?\\n]+')) AS part, generate_subscripts(string_split_regex(t, '[.!?\\n]+'), 1) - 1 AS clause FROM v),
+k(word, class) AS (VALUES {", ".join(f"('{w}', '{c}')" for w, c in ENTRIES)}),
+w AS (SELECT doc_id, clause, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT *, regexp_extract_all(part, '[\\p{{L}}\\p{{N}}_]+') AS words FROM c)),
+l AS (SELECT w.*, k.class FROM w LEFT JOIN k ON k.word = lower(w.word)),
+n AS (SELECT doc_id, clause, string_agg(DISTINCT lower(word), ',' ORDER BY lower(word)) FILTER (class IS NULL AND i > 1 AND regexp_matches(word, '^\\p{{Lu}}\\p{{Ll}}{{5,}}$')) AS names,
+  lower(arg_max(word, (length(word), -i)) FILTER (class IS NULL AND regexp_matches(word, '^\\p{{L}}{{4,}}$'))) AS noun,
+  min(CASE class {" ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(profiles.ACTIONS))} END) AS rank,
+  coalesce(string_agg(DISTINCT class, ',' ORDER BY class) FILTER (class NOT IN ({", ".join(f"'{a}'" for a in profiles.ACTIONS)})), '') AS roles FROM l GROUP BY doc_id, clause)"""
+
+
+@query(f"""WITH {CLAIM_WORDS} SELECT n.doc_id AS id, n.clause, [{", ".join(f"'{a}'" for a in profiles.ACTIONS)}][rank + 1] AS action, roles, coalesce(names, noun, '') AS targets,
+  length(part) - length(replace(part, '§', '')) AS contacts, length(part) - length(replace(part, '¤', '')) AS amounts FROM n JOIN c USING (doc_id, clause) WHERE rank IS NOT NULL""")
+def mention_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims on mentions: each clause with a word that does something, what it does, its roles and whom it is about."""
+    found = typed_mentions(table(spark, sf_dir, "documents"), "doc_id", "text", ENTRIES)
+    return clause_claims(found, profiles.ACTIONS).drop("times")
+
+
 @query("""SELECT o_orderkey AS row_id, epoch_us(TRY_CAST(CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN 'not a time' END AS TIMESTAMP)) AS us FROM orders""")
 def parsed_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to instants; what can't be read is null, never the present."""
