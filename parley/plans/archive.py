@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from parley.operators.graph import shared_folder
 from parley.operators.upsert import enrich_upsert, latest_by_key, protected_latest, task_states
-from parley.plans.registry import query
+from parley.plans.registry import ORACLES, query
+from parley.sources import manifest
 from parley.sources.tables import between, event_messages, instant, table, turn_messages, union_shards
 
 M = "m AS (SELECT event_id AS row_id, user_id AS chat_id, ts, epoch_us(ts) AS us, event_type AS kind, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
@@ -214,6 +218,16 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars"), F.bit_xor(h).alias("content_hash"))
 
 
+@query(ORACLES["export_manifest"])
+def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """export_manifest of what was written as JSON lines with a manifest, checked, and read back."""
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    manifest.write(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"), path)
+    back = manifest.read(spark, path, "doc_id long, source string, text string, n_chars long")
+    h = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("long")
+    return back.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars"), F.bit_xor(h).alias("content_hash"))
+
+
 @query("""SELECT l_orderkey AS task_id, l_linenumber AS attempt, o_orderstatus AS status, o_custkey AS message_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'""")
 def tasks_with_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
