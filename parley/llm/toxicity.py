@@ -113,12 +113,14 @@ def maximal_segments(scores: list[float]) -> list[tuple[float, int, int]]:
 
 def scored_runs(model: ToxicityModel, tokens: list[str]) -> tuple[list[float], list[tuple[int, int]]]:
     """Scores in order with the tokens that each covers: runs of tokens that cost DRIFT are summed up,
-    so the scans only visit tokens of the lexicon."""
-    weight, scores, places, last = model.weight, [], [], -1
-    for i, t in enumerate(tokens):
-        w = weight(t)
-        if w is None:
-            continue
+    so the scans only visit tokens of the lexicon. Nothing where no token gains."""
+    known = {t: w for t in set(tokens) if (w := model.weight(t)) is not None}
+    scores: list[float] = []
+    places: list[tuple[int, int]] = []
+    if not any(w > 0 for w in known.values()):
+        return scores, places
+    last = -1
+    for i, w in [(i, known[t]) for i, t in enumerate(tokens) if t in known]:
         if scores and i - last > 1:
             scores.append(-DRIFT * (i - last - 1))
             places.append((last + 1, i))
@@ -143,21 +145,18 @@ def best_evidence(scores: list[float], lam: float, base: float) -> float:
     return done
 
 
-def evidence_of(model: ToxicityModel, tokens: list[str]) -> tuple[float, list[tuple[float, int, int]], float]:
-    """Evidence of a document, its significant segments with their -ln E, and its best score.
+def evidence_of(model: ToxicityModel, tokens: list[str]) -> tuple[float, list[tuple[float, int, int]], float, int]:
+    """Evidence of a document, its significant segments with their -ln E, its best score, and the tokens that don't gain.
 
     E is by the length of what could bring a segment by chance: the tokens that don't gain."""
     scores, places = scored_runs(model, tokens)
     segments = token_segments(scores, places)
+    n = max(1, len(tokens) - sum(s > 0 for s in scores))
     if not segments:
-        return float(LOW), [], 0.0
-    base = model.log_k + math.log(background(scores, places, len(tokens)))
+        return float(LOW), [], 0.0, n
+    base = model.log_k + math.log(n)
     good = [(x, a, b) for s, a, b in segments if (x := model.lam * s - base) >= -math.log(SIGNIFICANT)]
-    return float(min(max(best_evidence(scores, model.lam, base), LOW), HIGH)), good, max(s for s, _, _ in segments)
-
-
-def background(scores: list[float], places: list[tuple[int, int]], n: int) -> int:
-    return max(1, n - sum(s > 0 for s in scores))
+    return float(min(max(best_evidence(scores, model.lam, base), LOW), HIGH)), good, max(s for s, _, _ in segments), n
 
 
 def _tokens(text: str) -> list[str]:
@@ -296,8 +295,8 @@ def _scan(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             rows = []
             for text, toxic in zip(filled(batch.column(0)).to_pylist(), batch.column(1).to_pylist()):
                 tokens = _tokens(text)
-                evidence, _, best = evidence_of(m, tokens)
-                rows.append((best, background(*scored_runs(m, tokens), len(tokens)), evidence, toxic))
+                evidence, _, best, n = evidence_of(m, tokens)
+                rows.append((best, n, evidence, toxic))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["best", "n", "evidence", "toxic"]).astype({"best": float, "n": "int64", "evidence": float, "toxic": "int32"}), preserve_index=False)
 
     return docs.select(F.col("text").cast("string"), "toxic").mapInArrow(run, "best double, n long, evidence double, toxic int")
@@ -314,7 +313,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             found, passages = [], []
             for text in filled(batch.column(1)).to_pylist():
                 tokens = _tokens(text)
-                e, good, _ = evidence_of(m, tokens)
+                e, good, *_ = evidence_of(m, tokens)
                 found.append(e)
                 passages.append([{"start": a, "end": b, "evidence": x} for x, a, b in good])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.probability(np.array(found))), pa.array(passages, pa.list_(passage))], names=["doc_id", "score", "passages"])
