@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Redaction patterns in the order in which they apply. Portable to other regex engines.
@@ -42,21 +42,39 @@ TEST_PROFILE = Profile(
 
 
 def redact(text: Column) -> Column:
+    """The redactions as one expression; ``redacted`` is for whole columns."""
     for name, pattern in REDACTIONS:
         text = F.regexp_replace(text, pattern, name)
     return text
 
 
+#: What a text has at least where a pattern could match: a search for it spares most texts the pattern.
+MARKS = {"[KEY]": "-", "[PATH]": "/", "[EMAIL]": "@", "[PHONE]": "+"}
+
+
+def redacted(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with the redactions applied to a column, one projection for each, so that none is copied into the next."""
+    for name, pattern in REDACTIONS:
+        clean = F.regexp_replace(text, pattern, name)
+        rows = rows.withColumn(text, F.when(F.contains(text, F.lit(MARKS[name])), clean).otherwise(F.col(text)) if name in MARKS else clean)
+    return rows
+
+
 def clip(text: Column, limit: int) -> Column:
     trimmed = F.trim(text)
     return F.when(F.length(trimmed) > limit, F.concat(F.substring(trimmed, 1, limit - 1), F.lit("…"))).otherwise(trimmed)
 
 
-def message_score(text: Column, profile: Profile) -> Column:
-    """0 to 100: 10 for 24 characters or more, and the points of every class that is met."""
+def classes_met(text: Column, profile: Profile) -> Column:
+    """Names of the classes that a text meets, sorted: each pattern is tried once, and score and reasons follow."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), name) for name, (p, _) in sorted(profile.weights.items())]))
+
+
+def message_score(text: Column, profile: Profile, met: Column | None = None) -> Column:
+    """0 to 100: 10 for 24 characters or more, and the points of every class that is met (by ``met``, where that is known)."""
     total = F.when(F.length(text) >= 24, 10).otherwise(0)
-    for pattern, points in profile.weights.values():
-        total = total + F.when(text.rlike(pattern), points).otherwise(0)
+    for name, (pattern, points) in profile.weights.items():
+        total = total + F.when(text.rlike(pattern) if met is None else F.array_contains(met, name), points).otherwise(0)
     return F.when(text.rlike(profile.decision_only), F.least(total, F.lit(24))).otherwise(F.least(total, F.lit(100)))
 
 
@@ -64,10 +82,6 @@ def score_level(score: Column) -> Column:
     return F.when(score >= 60, "high").when(score >= 28, "medium").when(score > 0, "low").otherwise("excluded")
 
 
-def score_reasons(text: Column, profile: Profile) -> Column:
-    return F.array_join(F.array_compact(F.array(*[F.when(text.rlike(p), name) for name, (p, _) in sorted(profile.weights.items())])), ",")
-
-
 def recognition(text: Column, profile: Profile) -> Column:
     """First class that fits."""
     bare = F.regexp_replace(text, "[\\s\\p{Punct}]", "")

@@ -29,7 +29,8 @@ SCORED = f"s AS (SELECT doc_id, source, lang, text, n_chars, CASE WHEN regexp_ma
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("score", T.message_score(F.col("text"), P))
+    met = T.classes_met(F.col("text"), P)
+    return table(spark, sf_dir, "documents").withColumn("met", met).withColumn("score", T.message_score(F.col("text"), P, F.col("met")))
 
 
 @query(f"""WITH {M} SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS local_day, count(*) AS n FROM m WHERE us >= {START + DAY - 8 * 3_600_000_000} AND us < {START + 8 * DAY - 8 * 3_600_000_000} GROUP BY 1""")
@@ -93,7 +94,7 @@ def _sql_redact(text: str) -> str:
 
 @query(f"SELECT doc_id, sha256({_sql_redact('text')}) AS redacted_sha FROM documents")
 def pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("redacted_sha"))
+    return T.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", F.sha2("text", 256).alias("redacted_sha"))
 
 
 @query("SELECT doc_id, CASE WHEN length(trim(text)) > 40 THEN substr(trim(text), 1, 39) || '…' ELSE trim(text) END AS clip, (octet_length(encode(text)) + 3) // 4 AS tokens FROM documents")
@@ -137,7 +138,7 @@ def registry_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORED} SELECT doc_id, score, CASE WHEN score >= 60 THEN 'high' WHEN score >= 28 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'excluded' END AS level, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, (p, _) in sorted(P.weights.items())) + ") AS reasons FROM s")
 def message_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_documents(spark, sf_dir).select("doc_id", "score", T.score_level(F.col("score")).alias("level"), T.score_reasons(F.col("text"), P).alias("reasons"))
+    return scored_documents(spark, sf_dir).select("doc_id", "score", T.score_level(F.col("score")).alias("level"), F.array_join("met", ",").alias("reasons"))
 
 
 @query(f"""WITH b AS (SELECT doc_id, text, regexp_replace(text, '[\\s[:punct:]]', '', 'g') AS bare FROM documents)

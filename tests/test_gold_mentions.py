@@ -1,12 +1,21 @@
 """Typed mentions and claims, spans against spans, graph rules of the contract."""
 
+import json
+import os
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from parley.functions import profiles
+from parley.functions import text as T
 from parley.operators import contract
 from parley.operators.mentions import claims, found_in, trie, typed_mentions
+from parley.operators.model import draws, merged_draws
+from parley.operators.paging import stream_pages
 from parley.operators.spans import alike, crossing, overlaps
+from parley.sources import manifest
 
 ENTRIES = [("as", "x"), ("as well", "y"), ("as well as", "z"), ("well done", "w"), ("not", "deny"), ("was", "report"), ("will", "plan"), ("with", "means")]
 
@@ -94,3 +103,76 @@ def test_pairs_kept_apart_that_links_join(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
     apart = spark.createDataFrame([(1, 3), (3, 7), (8, 7), (1, 99)], "a long, b long")
     assert contract.linked_apart(links, apart, "r", "x").collect()[0]["violations"] == 2
+
+
+def test_redaction_of_columns_equals_the_expression(spark):
+    texts = ["a@b.org or +1 (555) 010-2345", "sk-abcdefghijkl123 /usr/local/lib/x", None, "", "d41d8cd98f00b204e9800998ecf8427e", "a + b @ c - d / e"]
+    df = spark.createDataFrame([(t, t) for t in texts], "t string, keep string")
+    rows = T.redacted(df, "t").select("t", T.redact(F.col("keep")).alias("want")).collect()
+    assert [r["t"] for r in rows] == [r["want"] for r in rows] and rows[0]["t"] == "[EMAIL] or [PHONE]"
+
+
+PAGED = "root long, stream int, pos long, tokens long"
+
+
+def pages_by_hand(streams, caps, budget):
+    at, out = [0, 0, 0], []
+    while any(at[k] < len(streams[k]) for k in range(3)):
+        took, used, forced = [0, 0, 0], 0, False
+        for k in range(3):
+            while at[k] < len(streams[k]) and took[k] < caps[k]:
+                item = streams[k][at[k]]
+                if used + item <= budget:
+                    took[k], used, at[k] = took[k] + 1, used + item, at[k] + 1
+                    continue
+                if not any(took):
+                    took[k], used, at[k], forced = 1, item, at[k] + 1, True
+                break
+            if forced:
+                break
+        out.append((*took, used, "pending" if forced else "ready"))
+    return out
+
+
+def test_pages_of_three_streams_equal_the_loop(spark):
+    rng = random.Random(9)
+    roots = {r: [[rng.choice([1, 5, 9, 30, 80]) for _ in range(rng.randint(0, 9))] for _ in range(3)] for r in range(40)}
+    rows = [(r, k, p, t) for r, streams in roots.items() for k, s in enumerate(streams) for p, t in enumerate(s)]
+    rng.shuffle(rows)
+    got = {}
+    for x in stream_pages(spark.createDataFrame(rows, PAGED), (3, 2, 4), 40).orderBy("root", "page").collect():
+        got.setdefault(x["root"], []).append((x["n0"], x["n1"], x["n2"], x["tokens"], x["status"]))
+    assert got == {r: p for r, s in roots.items() if (p := pages_by_hand(s, (3, 2, 4), 40))}
+
+
+def test_exports_show_all_files_or_none(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    df = spark.range(500).selectExpr("id", "concat('tëxt ', id) AS t", "IF(id % 7 = 0, NULL, id) AS n").repartition(3)
+    manifest.write(df, path, file_bytes=2_000)
+    files = manifest.manifest_of(path)
+    assert len(files) > 3 and sum(f.rows for f in files) == 500 and not [x for x in os.listdir(tmp_path / "out") if x.endswith(".jsonl") and x.startswith(".") and not x.endswith(".crc")]
+    back = manifest.read(spark, path, "id long, t string, n long")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(Exception, match="finished export"):
+        manifest.write(df, path)
+    with open(tmp_path / "out" / files[0].name, "a") as f:
+        f.write("{}\n")
+    with pytest.raises(ValueError, match="not as the manifest says"):
+        manifest.read(spark, path, "id long, t string, n long")
+    broken = df.selectExpr("IF(id = 499, raise_error('x'), id) AS id")
+    with pytest.raises(Exception):  # noqa: B017
+        manifest.write(broken, f"file://{tmp_path}/broken")
+    assert not os.path.exists(tmp_path / "broken" / manifest.MANIFEST)
+
+
+def test_draws_are_bound_and_merged(spark):
+    packets = spark.createDataFrame([(1, "a", ["m1", "m2", "m3"]), (2, "b", ["m1"])], "packet long, body string, handles array<string>")
+    answers = {("a", 1): [["m1", "m2"], ["m9"]], ("a", 2): [["m2", "m3"]], ("a", 3): [["m3"]], ("b", 1): [["m1"]], ("b", 2): None, ("b", 3): []}
+
+    def model(bodies, seeds):
+        told = [answers[b, s] for b, s in zip(bodies, seeds)]
+        return ["prose" if t is None else json.dumps([{"title": f"t{len(r)}", "importance": s, "refs": r} for r in t]) for t, s in zip(told, seeds)]
+
+    got = sorted(tuple(r) for r in merged_draws(draws(packets, model, [1, 2, 3])).collect())
+    # m1 m2 and m2 m3 share half; m3 is half of the smaller set then.
+    assert got == [(1, 1, 0, 3, 3, "t2", 2, ["m1", "m2", "m3"]), (2, 1, 0, 1, 1, "t1", 1, ["m1"])]
