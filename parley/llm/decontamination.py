@@ -30,6 +30,8 @@ from pyspark.sql.window import Window as W
 from parley.llm.common import Workspace, staged, workspace
 
 WINDOW, KEYS = 10, 3
+#: Test words that are sent to every task: some 100 bytes each in a hash table.
+BROADCAST_TERMS = 200_000
 BLOCK_WINDOWS = 100_000
 #: Documents with hits, some 100 bytes each, up to which they are sent to every task: 50 MB.
 BROADCAST_HITS = 500_000
@@ -58,8 +60,11 @@ def indexed(docs: DataFrame) -> DataFrame:
 
 def keyed_windows(windows: DataFrame, index: DataFrame, keys: int = KEYS) -> DataFrame:
     """window, words, term and offset of its rarest word, others: offsets of the next rarer ones
-    from the rarest on. A window with a word that no document has is left out."""
-    counts = index.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    from the rarest on. A window with a word that no document has is left out. Only words of windows are
+    counted in the documents; up to BROADCAST_TERMS of them go to every task, so no others are shuffled."""
+    terms = windows.select(F.explode("words").alias("term")).distinct()
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    counts = index.select(F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     offsets = windows.select("window", F.posexplode("words").alias("offset", "term"))
     ranked = offsets.join(counts, "term", "left").fillna(0, ["n"]).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("r"))
     ranked = ranked.where(F.col("r")[0]["n"] > 0)  # at most WINDOW words each
