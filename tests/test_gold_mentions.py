@@ -15,6 +15,7 @@ from parley.operators.mentions import claims, found_in, trie, typed_mentions
 from parley.operators.model import draws, merged_draws
 from parley.operators.paging import stream_pages
 from parley.operators.spans import alike, crossing, overlaps
+from parley.plans.profiled import clause_words
 from parley.sources import manifest
 
 ENTRIES = [("as", "x"), ("as well", "y"), ("as well as", "z"), ("well done", "w"), ("not", "deny"), ("was", "report"), ("will", "plan"), ("with", "means")]
@@ -176,3 +177,11 @@ def test_draws_are_bound_and_merged(spark):
     got = sorted(tuple(r) for r in merged_draws(draws(packets, model, [1, 2, 3])).collect())
     # m1 m2 and m2 m3 share half; m3 is half of the smaller set then.
     assert got == [(1, 1, 0, 3, 3, "t2", 2, ["m1", "m2", "m3"]), (2, 1, 0, 1, 1, "t1", 1, ["m1"])]
+
+
+def test_clause_words_by_profile(spark):
+    df = spark.createDataFrame([(1, "Please write to a.b@host.org with Bernadette. Not now! 3.5 kg"), (2, None), (3, "")], "id long, body string")
+    got = [(r["clause"], r["word"], r["class"], r["content"]) for r in clause_words(df, "id", "body").orderBy("id", "clause", "i").collect()]
+    assert got == [
+        (0, "please", "request", False), (0, "write", None, True), (0, "to", "place", False), (0, "with", "means", False), (0, "bernadette", None, True), (1, "not", "deny", False), (1, "now", None, False),
+    ]
