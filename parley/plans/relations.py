@@ -346,7 +346,14 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id AS page, list_filter([lang, source, CASE WHEN contains(text, '@') THEN 'mail' ELSE 'plain' END], lambda x: x IS NOT NULL) AS labels FROM documents),
+n AS (SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM d) GROUP BY label),
+r(step, chosen, covered) AS (SELECT 0, []::BIGINT[], []::VARCHAR[]
+  UNION ALL SELECT step + 1, CASE WHEN best IS NULL THEN chosen ELSE list_append(chosen, best.page) END, CASE WHEN best IS NULL THEN list_append(covered, label) ELSE covered || best.labels END FROM (
+    SELECT y.*, (SELECT arg_min({'page': page, 'labels': labels}, (-len(list_filter(d.labels, lambda x: NOT list_contains(y.covered, x))), page)) FROM d WHERE list_contains(d.labels, y.label) AND NOT list_contains(y.chosen, d.page)) AS best
+    FROM (SELECT r.*, (SELECT arg_min(label, (n, label)) FROM n WHERE NOT list_contains(r.covered, n.label)) AS label FROM r WHERE len(r.chosen) < 10) y WHERE y.label IS NOT NULL)),
+z AS (SELECT unnest(chosen) AS page, generate_subscripts(chosen, 1) - 1 AS place FROM r WHERE step = (SELECT max(step) FROM r))
+SELECT page, place::INT AS place, array_to_string(labels, ',') AS labels FROM z JOIN d USING (page)""")
 def stratum_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten documents that cover term labels, the rarest label first, whatever the number of labels."""
     mail = F.when(F.col("text").contains("@"), "mail").otherwise("plain")
