@@ -203,10 +203,16 @@ def editorial_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.unionByName(rest).unionByName(s.where("coalesce(low, true)").select("doc_id", F.lit("low_information").alias("decision"), nowhere))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT page_id AS id, regexp_extract(html, 'lang="([a-z]+)"', 1) AS family, list_filter(string_split_regex(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^\\p{L}0-9]+'), lambda x: x <> '') AS w FROM pages),
+g AS (SELECT id, family, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1) + 1), lambda i: array_to_string(w[i:i + 1], ' '))) AS grams, row_number() OVER (PARTITION BY family ORDER BY id) AS i FROM w WHERE len(w) > 0),
+r(family, i, kept) AS (SELECT DISTINCT family, 0::BIGINT, []::STRUCT(id BIGINT, grams VARCHAR[])[] FROM g
+  UNION ALL SELECT r.family, g.i, CASE WHEN len(list_filter(r.kept, lambda k: 100 * len(list_intersect(k.grams, g.grams)) >= 50 * (len(k.grams) + len(g.grams) - len(list_intersect(k.grams, g.grams))))) > 0 THEN r.kept
+    ELSE list_append(r.kept, {'id': g.id, 'grams': g.grams}) END FROM r JOIN g ON g.family = r.family AND g.i = r.i + 1),
+z AS (SELECT family, list_transform(arg_max(kept, i), lambda k: k.id) AS ids FROM r GROUP BY family)
+SELECT g.id, list_contains(z.ids, g.id) AS kept FROM g JOIN z USING (family)""")
 def thinned_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages thinned within a language: one whose word bigrams are half those of an earlier
-    kept title goes. What goes depends on what stayed, so this has no SQL; tests hold it to a loop."""
+    kept title goes."""
     html = F.col("html")
     words = F.filter(F.split(F.lower(F.regexp_extract(html, "<title>([^<]*)</title>", 1)), "[^\\p{L}0-9]+"), lambda w: w != "")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 2), " "))
