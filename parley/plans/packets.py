@@ -62,7 +62,14 @@ def _chosen(spark: SparkSession, ids: list[int]) -> DataFrame:
     return spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "doc_id long, place int")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, c AS (SELECT doc_id AS id, coalesce(source, '') AS scope, list_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS terms,
+  row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS round FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY round, scope) AS k FROM c),
+r(k, chosen) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, terms VARCHAR[])[]
+  UNION ALL SELECT o.k, CASE WHEN len(list_filter(r.chosen, lambda x: len(list_intersect(x.terms, o.terms)) > 0.35 * len(list_distinct(x.terms || o.terms)))) > 0 THEN r.chosen
+    ELSE list_append(r.chosen, {{'id': o.id, 'terms': o.terms}}) END FROM r JOIN o ON o.k = r.k + 1 WHERE len(r.chosen) < 20),
+z AS (SELECT list_transform(arg_max(chosen, k), lambda x: x.id) AS ids FROM r)
+SELECT unnest(ids) AS doc_id, (generate_subscripts(ids, 1) - 1)::INT AS place FROM z""")
 def guarded_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty documents drawn from the scopes in turn, none alike to another by over .35."""
     s = scored_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", (-F.col("score")).alias("s"), T.terms(F.col("text"), 6).alias("terms"))
