@@ -76,7 +76,15 @@ def guarded_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chosen(spark, greedy.guarded_draw(s, "source", ["s", "id"], 20, 0.35, BLOCK))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, p AS (SELECT doc_id AS id, score, source AS scope, text, list_filter([lang, CASE WHEN contains(text, '@') THEN 'mail' END, CASE WHEN regexp_matches(text, '[0-9]{{6,}}') THEN 'number' END,
+  CASE WHEN contains(text, '|') THEN 'table' END], lambda x: x IS NOT NULL) AS labels FROM s),
+b AS (SELECT * FROM p WHERE id IN (SELECT min(id) FROM p GROUP BY text)),
+r(step, chosen, covered, scopes) AS (SELECT 0, []::BIGINT[], []::VARCHAR[], []::VARCHAR[]
+  UNION ALL SELECT step + 1, list_append(chosen, best.id), covered || best.labels, list_append(scopes, best.scope) FROM (
+    SELECT r.*, (SELECT arg_max({{'id': id, 'labels': labels, 'scope': scope}}, (score + 20 * len(list_filter(labels, lambda x: NOT list_contains(r.covered, x))) - 15 * len(list_filter(r.scopes, lambda x: x = b.scope)), -id))
+      FROM b WHERE NOT list_contains(r.chosen, b.id)) AS best FROM r WHERE step < 10) WHERE best IS NOT NULL),
+z AS (SELECT unnest(chosen) AS id, generate_subscripts(chosen, 1) - 1 AS place FROM r WHERE step = (SELECT max(step) FROM r))
+SELECT p.id AS doc_id, z.place, CASE WHEN z.place IS NOT NULL THEN 'selected' WHEN b.id IS NOT NULL THEN 'budget' ELSE 'duplicate' END AS decision FROM p LEFT JOIN z USING (id) LEFT JOIN b USING (id)""")
 def budgeted_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten packages by score, coverage and diversity among those of distinct keys, and a decision on
     every candidate: selected (with its place), budget, or duplicate of another's key."""
