@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parley.operators import phrases
+from parley.operators import overlaps, phrases
 
 
 def test_phrases_look_only_at_repeated_runs(spark):
@@ -14,3 +14,17 @@ def test_phrases_look_only_at_repeated_runs(spark):
     assert held.where("gram LIKE '%w1%'").count() == 0 and held.count() < 30
     found = {tuple(r) for r in phrases.repeated_phrases(m, 4, 8, 2).collect()}
     assert found == {(1, "a b c d e f", 2), (1, "a b c d", 3), (2, "a b c d e", 2)}
+
+
+def test_citation_pairs_are_not_shuffled(spark):
+    """Pairs are counted in the partition of the lead, whatever the block of queries that is sent to it."""
+    rows = spark.createDataFrame([(lead, ref % 7) for lead in range(40) for ref in range(lead, lead + 1 + lead % 4)] + [(1, 1), (2, None)], "lead long, ref long")
+    sets = {}
+    for r in rows.where("ref IS NOT NULL").collect():
+        sets.setdefault(r["lead"], set()).add(r["ref"])
+    want = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a % 5 == 0 and a != b and len(sets[a] & sets[b]) >= max(1, (min(len(sets[a]), len(sets[b])) + 1) // 2))
+    for block in (1_000, 3):
+        found = overlaps.citation_overlaps(rows, 5, block)
+        assert sorted(tuple(r) for r in found.collect()) == want
+    plan = overlaps.citation_overlaps(rows, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 0
