@@ -12,11 +12,12 @@ import bisect
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Mentions that a task holds before it sends them on.
+HELD = 20_000
 #: Rules by type for the test texts; a profile may bring others.
 RULES = {"number": r"[0-9]{3,}", "mail": r"[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9.-]{1,128}", "caps": r"[A-Z]{3,}", "name": r"[A-Z][a-z]{5,}"}
 
@@ -25,19 +26,29 @@ def mentions(rows: DataFrame, id_column: str, text: str, rules: dict[str, str] |
     """id, type, start, end, surface: at each place the longest match, then on behind it."""
     known = [(name, re.compile(p)) for name, p in (rules or RULES).items()]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for i, t in zip(frame[id_column], frame[text]):
-                found = sorted(((m.start(), -m.end(), n, m.group()) for n, p in known for m in p.finditer(t or "")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k in range(batch.num_rows):  # a text at a time, and no more mentions than ``HELD`` at once
+                i, t = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or ""
                 last = 0
-                for s, e, n, g in found:
+                for s, e, n in sorted((m.start(), -m.end(), n) for n, p in known for m in p.finditer(t)):
                     if s >= last:
-                        out.append((i, n, s, -e, g))
+                        out.append((i, n, s, -e, t[s:-e]))
                         last = -e
-            yield pd.DataFrame(out, columns=["id", "type", "start", "end", "surface"])
+                        if len(out) >= HELD:
+                            yield _spans(out)
+                            out = []
+            if out:
+                yield _spans(out)
+
+    kind = "id long, type string, start long, end long, surface string"
+    return rows.select(F.col(id_column).cast("long"), F.col(text).cast("string")).mapInArrow(run, kind)
+
 
-    return rows.select(id_column, text).mapInPandas(run, "id long, type string, start long, end long, surface string")
+def _spans(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "type", "start", "end", "surface"])
 
 
 #: Typed rules that may hold sentence marks, the first one first where two are equally long.
@@ -129,7 +140,7 @@ def typed_mentions(rows: DataFrame, id_column: str, text: str, entries: list[tup
             out: list[tuple] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out += [(i, *m) for m in found_in(t or "", known.value)]
-                if len(out) > 20_000:
+                if len(out) > HELD:
                     yield _batch(out, batch.schema.field(0).type)
                     out = []
             if out:
