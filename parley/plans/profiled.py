@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from parley.functions import profiles
 from parley.plans.registry import query
@@ -32,6 +31,26 @@ def clause_words(rows: DataFrame, key: str, text: str) -> DataFrame:
     return words.join(known, "word", "left").withColumn("content", F.col("class").isNull() & F.col("word").rlike(CONTENT))
 
 
+def clauses(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, clause, words: the clauses of every text that have words, in lower case. Words stay in their clause, so a
+    row a clause is what travels."""
+    clean: Column = F.col(text)
+    for pattern in VALUES:
+        clean = F.regexp_replace(clean, pattern, " § ")
+    # The outer form: for the plain one Spark infers a filter that would split the text anew.
+    parts = rows.select(key, F.posexplode_outer(F.split(clean, "[.!?\\n]+")).alias("clause", "part")).where("part IS NOT NULL")
+    words = F.transform(F.regexp_extract_all("part", F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)), F.lower)
+    return parts.select(key, "clause", words.alias("words")).where("size(words) > 0")
+
+
+def class_of(word: Column) -> Column:
+    """The class of a word in the profile, by a set for each class; a profile has some hundred words."""
+    by: dict[str, list[str]] = {}
+    for w, name in ENTRIES:
+        by.setdefault(name, []).append(w)
+    return F.coalesce(*[F.when(word.isin(words), name) for name, words in by.items()])
+
+
 SQL_WORDS = CLAIM_WORDS.partition(",\nn AS (")[0] + ", b AS (SELECT doc_id, clause, i, lower(word) AS word, class, class IS NULL AND regexp_matches(lower(word), '^\\p{L}{4,}$') AS content FROM l)"
 SQL_ROLES = ", ".join(f"'{r}'" for r in ROLES)
 
@@ -40,10 +59,16 @@ SQL_ROLES = ", ".join(f"'{r}'" for r in ROLES)
 SELECT doc_id, clause, class AS role, entity, count(*) AS n FROM x WHERE class IN ({SQL_ROLES}) AND entity IS NOT NULL GROUP BY ALL""")
 def profiled_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities by role: the next content word of the clause after a word of purpose, means or place."""
-    after = W.partitionBy("doc_id", "clause").orderBy("i").rowsBetween(1, W.unboundedFollowing)
-    words = clause_words(table(spark, sf_dir, "documents"), "doc_id", "text")
-    found = words.withColumn("entity", F.first(F.when(F.col("content"), F.col("word")), ignorenulls=True).over(after))
-    return found.where(F.col("class").isin(*ROLES) & F.col("entity").isNotNull()).groupBy("doc_id", "clause", F.col("class").alias("role"), "entity").agg(F.count("*").alias("n"))
+    # A clause as a text of its role and content words; what stands between two content words plays its roles for the second.
+    known = clauses(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("classes", F.transform("words", class_of))
+    token = lambda w, c: F.when(c.isin(*ROLES), F.concat(c, F.lit(" "))).when(c.isNull() & w.rlike(CONTENT), F.concat(F.lit("|"), w, F.lit(" ")))
+    pieces = known.select("doc_id", "clause", F.split(F.array_join(F.zip_with("words", "classes", token), ""), "[|]").alias("pieces"))
+    roles = lambda p, i: F.when(i == 0, p).otherwise(F.substr(p, F.instr(p, F.lit(" ")) + 1))
+    met = F.transform("pieces", lambda p, i: F.struct(F.trim(roles(p, i)).alias("roles"), F.substring_index(F.get("pieces", i + 1), " ", 1).alias("entity")))
+    # Only what plays a role becomes a row, without the rest of its clause.
+    found = pieces.select("doc_id", "clause", F.filter(met, lambda x: (x["roles"] != "") & x["entity"].isNotNull()).alias("met"))
+    rows = found.select("doc_id", "clause", F.explode_outer("met").alias("x")).where("x IS NOT NULL").select("doc_id", "clause", F.split("x.roles", " ").alias("roles"), "x.entity")
+    return rows.select("doc_id", "clause", F.explode_outer("roles").alias("role"), "entity").groupBy("doc_id", "clause", "role", "entity").agg(F.count("*").alias("n"))
 
 
 SQL_RANK = "CASE class " + " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(profiles.ACTIONS)) + " END"
@@ -56,10 +81,12 @@ SELECT doc_id, clause, words, {SQL_STATE} AS state, hedged, denied, object, role
 def profiled_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses with their state by the strongest class of action, whether they hedge or deny, and their object, the longest
     content word."""
-    words = clause_words(table(spark, sf_dir, "documents"), "doc_id", "text")
-    rank = F.coalesce(*[F.when(F.col("class") == a, i) for i, a in enumerate(profiles.ACTIONS)])
-    longest = F.max_by(F.when(F.col("content"), F.col("word")), F.when(F.col("content"), F.struct(F.length("word"), -F.col("i"))))
-    has = lambda name: F.coalesce(F.bool_or(F.col("class") == name), F.lit(False))
-    c = words.groupBy("doc_id", "clause").agg(F.count("*").alias("words"), F.min(rank).alias("rank"), has("hedge").alias("hedged"), has("deny").alias("denied"), longest.alias("object"), F.count_if(F.col("class").isin(*ROLES)).alias("roles"))
+    known = clauses(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("classes", F.transform("words", class_of))
+    has = lambda name: F.array_contains(F.array_compact("classes"), name)
+    rank = F.coalesce(*[F.when(has(a), i) for i, a in enumerate(profiles.ACTIONS)])
+    content = F.array_compact(F.transform("words", lambda w, i: F.when(F.get("classes", i).isNull() & w.rlike(CONTENT), F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("word")))))
+    own = known.select("doc_id", "clause", F.size("words").cast("long").alias("words"), rank.alias("rank"), has("hedge").alias("hedged"), has("deny").alias("denied"), F.array_max(content).alias("longest"), F.size(F.filter("classes", lambda c: c.isin(*ROLES))).cast("long").alias("roles"))
+    # Rows of a document that stands twice are one.
+    c = own.groupBy("doc_id", "clause").agg(F.sum("words").alias("words"), F.min("rank").alias("rank"), F.bool_or("hedged").alias("hedged"), F.bool_or("denied").alias("denied"), F.max("longest")["word"].alias("object"), F.sum("roles").alias("roles"))
     state = F.coalesce(F.get(F.array(*[F.lit(STATES[a]) for a in profiles.ACTIONS]), F.col("rank")), F.lit("unknown"))
     return c.select("doc_id", "clause", "words", state.alias("state"), "hedged", "denied", "object", "roles")

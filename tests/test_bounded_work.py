@@ -1,8 +1,13 @@
 """Work of queries that follows their input: what is shuffled, and what passes one task."""
 
+from types import SimpleNamespace
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from parley.operators import mentions as spans_of
 from parley.operators import overlaps, phrases
+from parley.plans import profiled
 
 
 def test_phrases_look_only_at_repeated_runs(spark):
@@ -28,3 +33,27 @@ def test_citation_pairs_are_not_shuffled(spark):
         assert sorted(tuple(r) for r in found.collect()) == want
     plan = overlaps.citation_overlaps(rows, 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 0
+
+
+def test_mentions_leave_a_task_in_parts(spark, monkeypatch):
+    """A task holds a bounded number of mentions, whatever a text or a batch has."""
+    monkeypatch.setattr(spans_of, "HELD", 10)
+    sizes = []
+    monkeypatch.setattr(spans_of, "_spans", lambda rows, f=spans_of._spans: sizes.append(len(rows)) or f(rows))
+    frames = []
+    taken = SimpleNamespace(select=lambda *c: SimpleNamespace(mapInArrow=lambda run, schema: frames.append(run)))
+    spans_of.mentions(taken, "doc_id", "text")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None]), pa.array(["123 " * 35, None])], names=["doc_id", "text"])
+    out = [b.num_rows for b in frames[0](iter([batch]))]
+    assert sizes == out == [10, 10, 10, 5]
+
+
+def test_words_of_clauses_are_not_shuffled(spark, tmp_path):
+    """Clauses travel, not their words: no window over words, and no sort of them."""
+    spark.createDataFrame([(1, "They came with hammer and by train in London. In for. " + "in " * 3000), (1, "Go with hammer."), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    roles = profiled.profiled_roles(spark, str(tmp_path))
+    got = sorted((r["clause"], r["role"], r["entity"], r["n"]) for r in roles.collect())
+    assert got == [(0, "means", "hammer", 2), (0, "means", "train", 1), (0, "place", "london", 1)]
+    assert "Window" not in roles._jdf.queryExecution().executedPlan().toString()
+    parts = {r["clause"]: r for r in profiled.profiled_fragments(spark, str(tmp_path)).collect()}
+    assert parts[0]["words"] == 12 and parts[0]["object"] == "hammer" and parts[2]["words"] == 3000
