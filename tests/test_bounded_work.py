@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parley.operators import mentions as spans_of
-from parley.operators import overlaps, phrases
+from parley.operators import ordered, overlaps, phrases
 from parley.plans import profiled
 
 
@@ -57,3 +57,14 @@ def test_words_of_clauses_are_not_shuffled(spark, tmp_path):
     assert "Window" not in roles._jdf.queryExecution().executedPlan().toString()
     parts = {r["clause"]: r for r in profiled.profiled_fragments(spark, str(tmp_path)).collect()}
     assert parts[0]["words"] == 12 and parts[0]["object"] == "hammer" and parts[2]["words"] == 3000
+
+
+def test_small_parts_of_ordered_groups_take_no_rounds(spark, monkeypatch):
+    """Parts that share no reference are decided side by side by one pass of the loop, larger ones in a few rounds."""
+    rounds = []
+    monkeypatch.setattr(ordered, "_free", lambda *a, f=ordered._free: rounds.append(1) or f(*a))
+    rows = [(40 * k + i, [100 * k + (7 * i + j) % 11 for j in range(1 + i % 4)]) for k in range(30) for i in range(20)] + [(5_000, None), (5_001, [])]
+    want = dict(ordered.decided_in_order([(p, ordered.Group(dict.fromkeys(r or [], p), (), (), ())) for p, r in rows], {}, ordered.overlap_rule(50)))
+    df = spark.createDataFrame(rows, "pos long, refs array<long>")
+    assert dict(ordered.ordered_groups(df, ordered.overlap_rule(50), 20).collect()) == want and not rounds
+    assert dict(ordered.ordered_groups(df, ordered.overlap_rule(50), 8).collect()) == want and len(rounds) <= 2
