@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parley.operators.graph import checkpointed
 from parley.operators.ordered import Rule, ordered_groups
@@ -61,9 +62,9 @@ def merged_draws(findings: DataFrame) -> DataFrame:
     of all: findings in order of packet, draw and number, each joined to the first story that it shares enough
     references with."""
     placed = checkpointed(findings.orderBy("packet", "seed", "no").withColumn("pos", F.monotonically_increasing_id()))
-    # References of two packets are never the same.
-    keyed = placed.withColumn("keys", F.transform("refs", lambda r: F.xxhash64(F.col("packet").cast("string"), r)))
-    groups = ordered_groups(keyed.select("pos", F.col("keys").alias("refs")), SAME_STORY)
+    # References of two packets are never the same, so each packet is decided on its own.
+    keyed = placed.withColumns({"keys": F.transform("refs", lambda r: F.xxhash64(F.col("packet").cast("string"), r)), "part": F.min("pos").over(Window.partitionBy("packet"))})
+    groups = ordered_groups(keyed.select("pos", F.col("keys").alias("refs"), "part"), SAME_STORY)
     rows = groups.join(placed, "pos")
     best = F.max_by(F.struct("title", "importance"), F.struct(F.size("refs"), "importance", -F.col("pos")))
     found = rows.groupBy("packet", "group_id").agg(

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parley.operators import mentions as spans_of
-from parley.operators import ordered, overlaps, phrases
+from parley.operators import model, ordered, overlaps, phrases
 from parley.plans import profiled
 
 
@@ -68,3 +68,11 @@ def test_small_parts_of_ordered_groups_take_no_rounds(spark, monkeypatch):
     df = spark.createDataFrame(rows, "pos long, refs array<long>")
     assert dict(ordered.ordered_groups(df, ordered.overlap_rule(50), 20).collect()) == want and not rounds
     assert dict(ordered.ordered_groups(df, ordered.overlap_rule(50), 8).collect()) == want and len(rounds) <= 2
+
+
+def test_packets_of_draws_are_decided_without_links(spark, monkeypatch):
+    """Packets are parts by themselves: no search for linked findings, whatever their number."""
+    monkeypatch.setattr(ordered, "components", None)
+    rows = [(p, s, 0, f"t{s}", s, refs) for p in (1, 2) for s, refs in enumerate([["a", "b"], ["b", "c", "d", "e"], ["x"], ["d", "e"]])]
+    found = model.merged_draws(spark.createDataFrame(rows, "packet long, seed long, no long, title string, importance long, refs array<string>"))
+    assert sorted((r["packet"], r["first_seed"], r["support"], ",".join(r["refs"])) for r in found.collect()) == [(p, s, n, refs) for p in (1, 2) for s, n, refs in [(0, 3, "a,b,c,d,e"), (2, 1, "x")]]
