@@ -1,12 +1,14 @@
 """Work of queries that follows their input: what is shuffled, and what passes one task."""
 
+import random
 from types import SimpleNamespace
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from parley.functions import text
 from parley.operators import mentions as spans_of
-from parley.operators import model, ordered, overlaps, phrases
+from parley.operators import model, nearest, ordered, overlaps, phrases
 from parley.plans import profiled
 
 
@@ -76,3 +78,21 @@ def test_packets_of_draws_are_decided_without_links(spark, monkeypatch):
     rows = [(p, s, 0, f"t{s}", s, refs) for p in (1, 2) for s, refs in enumerate([["a", "b"], ["b", "c", "d", "e"], ["x"], ["d", "e"]])]
     found = model.merged_draws(spark.createDataFrame(rows, "packet long, seed long, no long, title string, importance long, refs array<string>"))
     assert sorted((r["packet"], r["first_seed"], r["support"], ",".join(r["refs"])) for r in found.collect()) == [(p, s, n, refs) for p in (1, 2) for s, n, refs in [(0, 3, "a,b,c,d,e"), (2, 1, "x")]]
+
+
+def test_nearest_pairs_are_not_rows(spark):
+    """Cosines come from products of cells: the values, ties and odd vectors are those of the join of all pairs."""
+    rng = random.Random(4)
+    pool = [[rng.uniform(-1, 1) for _ in range(5)] for _ in range(30)] + [[1.0] * 5, [2.0] * 5, [0.1] * 5, [0.0] * 5, [1.0, 2.0], [], [float("nan")] * 5, None]
+    rows = [(i, pool[rng.randrange(len(pool))], rng.choice([0, 1, 1, 1, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, label int")
+    q = df.where("id % 4 = 0").select(F.col("id").alias("query"), F.col("v").alias("w"), "label")
+    every = q.join(df, "label").where("query <> id").select("query", F.col("id").alias("found"), text.cosine(F.col("w"), F.col("v")).alias("sim"))
+    want = {}
+    for r in sorted(every.collect(), key=lambda r: (r["query"], -r["sim"], r["found"])):
+        want.setdefault(r["query"], []).append((r["query"], r["found"], len(want.get(r["query"], ())) + 1, r["sim"]))
+    want = sorted(x for found in want.values() for x in found[:3])
+    for block in (1_000, 7):
+        found = nearest.nearest(df, 4, 3, block)
+        assert sorted(tuple(r) for r in found.collect()) == want
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
