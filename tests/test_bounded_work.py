@@ -1,6 +1,7 @@
 """Work of queries that follows their input: what is shuffled, and what passes one task."""
 
 import random
+from collections import Counter
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -96,3 +97,19 @@ def test_nearest_pairs_are_not_rows(spark):
         found = nearest.nearest(df, 4, 3, block)
         assert sorted(tuple(r) for r in found.collect()) == want
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_terms_are_counted_in_cells(spark):
+    """Only the best of a cell are shuffled; repeated rows and ties count as in the plain join."""
+    rng = random.Random(6)
+    rows = [(i % 90, ["a", "a", "b", None, "b"][i % 5], f"t{rng.randrange(12)}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, scope string, term string")
+    shared = Counter((a, b) for a, s, t in rows for b, z, u in rows if a % 4 == 0 and a != b and s is not None and (s, t) == (z, u))
+    places = {}
+    for (a, b), n in sorted(shared.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
+        places.setdefault(a, []).append((a, b, n, len(places.get(a, ())) + 1))
+    want = sorted(x for found in places.values() for x in found[:3])
+    for block, cell in ((1_000, 1_000), (20, 30)):
+        found = overlaps.best_overlaps(df, 4, 3, block, cell)
+        assert sorted(tuple(r) for r in found.collect()) == want
+    assert overlaps.best_overlaps(df, 4, 3)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") <= 5
