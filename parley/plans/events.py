@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import events
+from parley.operators.graph import checkpointed
 from parley.plans.analytics import MINUTE, SCORED
 from parley.plans.analytics import P as PROFILE
 from parley.plans.registry import query
@@ -65,7 +66,7 @@ greatest(20, least(95, 38 + least(22, 6 * n) + least(15, 6 * chats) + least(16,
 {QUALITY} FROM w WHERE chats < 2 OR supported""")
 def event_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items around terms that few share, near in time and of one domain, with the quality of each cluster."""
-    every = items(spark, sf_dir)
+    every = checkpointed(items(spark, sf_dir))  # texts are scored once
     found = events.proposals(every, RULES, events.most_anchored(every.count()))
     return found.select("term", F.array_join("members", ",").alias("members"), "n", "chats", "points", "specific", F.array_join("topics", ",").alias("topics"), "score", "confidence")
 
@@ -104,6 +105,6 @@ SELECT substr(sha256(array_to_string(members, '|')), 1, 14) AS event_id, members
 FROM y WHERE fits AND (chats < 2 OR supported)""")
 def event_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events out of proposals merged in order, and telling items outside of them, each with lane, status and points."""
-    every = items(spark, sf_dir)
+    every = checkpointed(items(spark, sf_dir))  # texts are scored once
     members = events.events(events.proposals(every, RULES, events.most_anchored(every.count())), RULES)
     return events.briefs(every, members, RULES)

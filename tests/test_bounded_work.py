@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text
 from parley.operators import mentions as spans_of
-from parley.operators import model, nearest, ordered, overlaps, phrases
+from parley.operators import events, model, nearest, ordered, overlaps, phrases
 from parley.plans import profiled
 
 
@@ -113,3 +113,10 @@ def test_pairs_of_terms_are_counted_in_cells(spark):
         found = overlaps.best_overlaps(df, 4, 3, block, cell)
         assert sorted(tuple(r) for r in found.collect()) == want
     assert overlaps.best_overlaps(df, 4, 3)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") <= 5
+
+
+def test_terms_of_proposals_are_counted_before_items_travel(spark):
+    """A lane is one where no two domains meet, and terms outside of the limits are never joined with items."""
+    rows = [(1, "", "a"), (2, "mail", "a"), (3, "", "b"), (4, "mail", "b"), (5, "legal", "b"), (6, "", "b"), (7, "", "c")] + [(10 + i, "", "d") for i in range(9)] + [(30 + i, "mail,table", "e") for i in range(2)]
+    found = events.lanes(spark.createDataFrame(rows, "id long, tag string, term string"), 8)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "", "one"), ("a", "mail", "one"), ("b", "", ""), ("e", "mail,table", "mail,table")]
