@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a partition of ``bundle_scales``, some 100 bytes each while they are counted.
+PART_ROWS = 50_000
+
 
 def scan(rows: DataFrame, scope: str, order: list[str], step: Callable[[dict, object], dict], fields: str, fresh: Callable[[], dict]) -> DataFrame:
     """Runs ``step(state, row) -> output columns`` over each scope in order."""
@@ -104,12 +107,15 @@ def bundle_parents(rows: DataFrame, most: int) -> DataFrame:
     return joined.select("chat_id", "row_id", F.posexplode("bundles").alias("candidate_rank", "bundle"))
 
 
-def bundle_scales(rows: DataFrame) -> DataFrame:
+def bundle_scales(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """scale, chat_id, message_id, fragments, first_fragment, last_fragment. Scales: micro (a fragment),
     turn (a message's fragments), session (a chat's; no message_id), and for cold fragments a sparse and
     a cold bundle each. ``rows``: chat_id, message_id, fragment, cold. A repeated fragment is one, cold if
     any of its rows is; a null ``cold`` is false. Sessions add up turns, so a chat of any size is combined
-    before it is shuffled."""
+    before it is shuffled. Messages lie in partitions of about ``part_rows`` rows, so what a task holds of them
+    doesn't follow the input."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // part_rows))
+    rows = rows.repartition(parts, "chat_id", "message_id")
     rows = rows.groupBy("chat_id", "message_id", "fragment").agg(F.bool_or("cold").alias("cold"))
     one = F.array(F.lit("micro"), F.when(F.col("cold"), "sparse"), F.when(F.col("cold"), "cold"))
     single = rows.select(F.explode(F.array_compact(one)).alias("scale"), "chat_id", "message_id", F.lit(1).cast("long").alias("fragments"), F.col("fragment").alias("first_fragment"), F.col("fragment").alias("last_fragment"))

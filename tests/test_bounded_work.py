@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text
 from parley.operators import mentions as spans_of
-from parley.operators import events, model, nearest, ordered, overlaps, phrases
+from parley.operators import events, model, nearest, ordered, overlaps, phrases, segments
 from parley.plans import profiled
 
 
@@ -120,3 +120,11 @@ def test_terms_of_proposals_are_counted_before_items_travel(spark):
     rows = [(1, "", "a"), (2, "mail", "a"), (3, "", "b"), (4, "mail", "b"), (5, "legal", "b"), (6, "", "b"), (7, "", "c")] + [(10 + i, "", "d") for i in range(9)] + [(30 + i, "mail,table", "e") for i in range(2)]
     found = events.lanes(spark.createDataFrame(rows, "id long, tag string, term string"), 8)
     assert sorted(tuple(r) for r in found.collect()) == [("a", "", "one"), ("a", "mail", "one"), ("b", "", ""), ("e", "mail,table", "mail,table")]
+
+
+def test_bundles_hold_partitions_of_bounded_rows(spark):
+    """Partitions follow the rows, and messages are not shuffled again."""
+    rows = spark.range(300).selectExpr("id % 3 AS chat_id", "id % 40 AS message_id", "CAST(id % 7 AS INT) AS fragment", "id % 2 = 0 AS cold")
+    small, whole = segments.bundle_scales(rows, 10), segments.bundle_scales(rows, 1_000)
+    assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect()))
+    assert "hashpartitioning(chat_id#" in (plan := small._jdf.queryExecution().executedPlan().toString()) and ", 30), REPARTITION_BY_NUM" in plan
