@@ -1,5 +1,7 @@
 """Loose forms of personal data are found where a corpus holds base forms in like contexts."""
 
+import hashlib
+import math
 import random
 import time
 
@@ -128,3 +130,26 @@ def test_a_text_full_of_spans_takes_seconds(frame):
     assert len(base) == 16_000
     model.select(log, base)
     assert len(log) > 1_000_000 and time.time() - start < 40
+
+
+def test_every_document_is_learned_from(frame, monkeypatch):
+    """Look-alikes of more documents than any sample took are all counted."""
+    monkeypatch.setattr(pii, "COPIES", 10**6)
+    monkeypatch.setattr(pii, "TREES", 1)
+    texts = [(i, f"{i} at 300-7-9-{i % 10}") for i in range(24_000)]
+    model = pii.fit(frame(texts))
+    wrong = sum(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 3 > 0 for _, t in texts)
+    right = 24_000 / 20_000 * 1_500 / 2 * 2 / 3  # of plants: every other is right, two in three are not kept back
+    assert wrong > 15_000 and math.exp(model.trees[1].start) < 1.2 * right / wrong
+
+
+def test_trees_do_not_depend_on_how_candidates_are_dealt(frame, monkeypatch):
+    """Levels counted by jobs give the trees and thresholds that the driver's counts give."""
+    monkeypatch.setattr(pii, "TREES", 5)
+    monkeypatch.setattr(pii, "KEPT_TREES", 2)
+    docs = frame([(i, t) for i, (t, _, _) in enumerate(mixed_corpus(random.Random(5), 120))])
+    want = pii.fit(docs, rounds=300)
+    monkeypatch.setattr(pii, "AT_HAND", 0)
+    got = pii.fit(docs.repartition(7), rounds=300)
+    assert len(want.trees) == 5 and want.thresholds and got.thresholds == want.thresholds
+    assert {k: t.trees for k, t in got.trees.items()} == {k: t.trees for k, t in want.trees.items()}
