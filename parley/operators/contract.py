@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.graph import checkpointed, components
+from parley.operators.graph import HELD, checkpointed, components, in_blocks
 
 
 def counted(found: DataFrame, dataset: str, rule: str) -> DataFrame:
@@ -38,10 +40,43 @@ def linked_apart(links: DataFrame, apart: DataFrame, dataset: str, rule: str) ->
     return counted(apart.join(a, "a").join(b, "b").where("root_a = root_b"), dataset, rule)
 
 
-def cycle_members(refs: DataFrame) -> DataFrame:
-    """id of all that stand on a cycle of references (id, ref), one reference an id at most.
-
-    In rounds those go that nothing refers to, and those whose reference leads out; a pointer doubled in each
+def _followed(ids: list, refs: list) -> Iterator[pa.RecordBatch]:
+    """id, ref of a block's ids that may stand on a cycle: ref is null for those on a cycle of the block, and the id's own
+    where the chain leads out of the block. Chains that end inside, or in a cycle further on, are done."""
+    to = dict(zip(ids, refs))
+    end: dict = {}  # of each id followed: True on a cycle, False out of the block, None for no cycle
+    for start in to:
+        path, at = {}, start
+        while at in to and at not in end and at not in path and to[at] is not None:
+            path[at] = len(path)
+            at = to[at]
+        if at in path:
+            found, ring = None, path[at]
+        elif at in to:
+            # What leads into a cycle is on none; what joins a chain that leads out leads out.
+            found, ring = (False if end.get(at) is False else None), len(path)
+            end.setdefault(at, None)
+        else:
+            found, ring = False, len(path)
+        for x, i in path.items():
+            end[x] = True if i >= ring else found
+    out = [(x, None if e else to[x]) for x, e in end.items() if e is not None]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["id", "ref"])
+
+
+def cycle_members(refs: DataFrame, held: int = HELD) -> DataFrame:
+    """id of all that stand on a cycle of references (id, ref), one row and one reference an id at most.
+
+    Tasks follow the chains in their blocks of rows. Only ids whose chains lead out of a block are left to rounds over
+    tables: none where the ids of a chain lie together, with those that refer to nothing."""
+    own = refs.select(F.col("id").cast("long"), F.col("ref").cast("long"))
+    near = checkpointed(own.mapInArrow(in_blocks(_followed, held), "id long, ref long"))
+    found, left = near.where("ref IS NULL").select("id"), near.where("ref IS NOT NULL")
+    return found.union(_rounds(left)) if left.limit(1).count() else found
+
+
+def _rounds(refs: DataFrame) -> DataFrame:
+    """In rounds those go that nothing refers to, and those whose reference leads out; a pointer doubled in each
     round lets long chains go fast: an id is on a cycle exactly if it is among the ends of chains of any length."""
     now = checkpointed(refs.where("ref IS NOT NULL").select("id", "ref"))
     jump, left = now, now.count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from parley.operators import contract
+from parley.operators.graph import checkpointed
 from parley.operators.pairs import neighbours, placed
 from parley.operators.spans import alike, crossing, overlaps
 from parley.plans.analytics import MINUTE
@@ -150,6 +151,7 @@ def contract_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts.append(contract.linked_apart(pairs.where("NOT apart"), pairs.where("apart").select("a", "b"), "relations", "linked_apart"))
     parts.append(contract.reference_cycles(pointers(spark, sf_dir), "references", "cycle"))
     gold = fragments(turn_messages(spark, sf_dir)).select(*SPAN, "start", "stop", "state", "actor")
+    gold = checkpointed(gold)  # clauses are cut once for the four places that read them
     spans = gold.select(*SPAN, "start", "stop").union(altered(gold).select(*SPAN, "start", F.col("stop") + 3)).distinct()
     parts.append(contract.counted(crossing(spans, SPAN), "spans", "crossing"))
     return contract.all_of(parts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text
 from parley.operators import mentions as spans_of
-from parley.operators import events, model, nearest, ordered, overlaps, phrases, segments
+from parley.operators import contract, events, graph, model, nearest, ordered, overlaps, phrases, segments
 from parley.plans import profiled
 
 
@@ -128,3 +128,35 @@ def test_bundles_hold_partitions_of_bounded_rows(spark):
     small, whole = segments.bundle_scales(rows, 10), segments.bundle_scales(rows, 1_000)
     assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect()))
     assert "hashpartitioning(chat_id#" in (plan := small._jdf.queryExecution().executedPlan().toString()) and ", 30), REPARTITION_BY_NUM" in plan
+
+
+def test_links_that_lie_together_take_no_rounds(spark, monkeypatch):
+    """Components and cycles inside a block are found by the task that holds it, others by rounds over what is left."""
+    rng = random.Random(8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    edges = [(100 * c + rng.randrange(30), 100 * c + rng.randrange(30)) for c in range(6) for _ in range(25)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    refs = [(100 * c + i, rng.choice([None, 100 * c + rng.randrange(40), 100 * c + max(0, i - 1)])) for c in range(6) for i in range(30)]
+    to, ring = dict(refs), set()
+    for start in to:
+        at = to[start]
+        for _ in to:
+            ring |= {start} if at == start else set()
+            at = to.get(at)
+    pairs, rows = spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame(refs, "id long, ref long")
+    try:
+        for held in (7, 1_000):
+            assert {r["id"]: r["root"] for r in graph.components(pairs, held).collect()} == root
+            assert sorted(r["id"] for r in contract.cycle_members(rows, held).collect()) == sorted(ring) and ring
+        monkeypatch.setattr(graph, "_rounds", None)
+        monkeypatch.setattr(contract, "_rounds", None)
+        assert graph.components(pairs.coalesce(1)).count() == len(root)
+        known = rows.where("ref IS NULL OR ref % 100 < 30").coalesce(1).unionByName(spark.createDataFrame([], "id long, ref long")).coalesce(1)
+        gone = {x for x, r in refs if r is not None and r % 100 >= 30}
+        ends = spark.createDataFrame([(x, None) for x in sorted(gone)], "id long, ref long")
+        assert {r["id"] for r in contract.cycle_members(known.union(ends).coalesce(1)).collect()} == ring
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
