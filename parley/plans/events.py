@@ -23,11 +23,14 @@ RULES = events.EventRules(weak_topics=("question",))
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, chat, person, us, points, telling, private, asking, terms, domains, topics of every document."""
     t = F.coalesce("text", F.lit(""))
-    d = table(spark, sf_dir, "documents").withColumn("t", t).withColumn("met", F.array(*[F.when(F.col("t").rlike(p), k) for k, p in sorted((TOPICS | DOMAINS).items())]))
-    tags = F.array_compact("met")
+    # Each class is looked for once, for the score as well.
+    classes = {name: pattern for name, (pattern, _) in PROFILE.weights.items()} | DOMAINS
+    met = F.array_compact(F.array(*[F.when(F.col("t").rlike(p), k) for k, p in sorted(classes.items())]))
+    d = table(spark, sf_dir, "documents").withColumn("t", t).withColumn("met", met)
+    tags = F.filter("met", lambda x: x.isin(*TOPICS, *DOMAINS))
     domains = F.filter(tags, lambda x: x.isin(*DOMAINS))
     telling = F.exists(tags, lambda x: x.isin("action", "risk", "trade"))
-    points = T.message_score(F.col("t"), PROFILE) + F.least(F.lit(20), F.floor(F.length("t") / 12)) + F.when(F.size(domains) > 0, 20).otherwise(0)
+    points = T.message_score(F.col("t"), PROFILE, F.col("met")) + F.least(F.lit(20), F.floor(F.length("t") / 12)) + F.when(F.size(domains) > 0, 20).otherwise(0)
     return d.select(
         F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("chat"), F.coalesce("lang", F.lit("")).alias("person"), (F.col("doc_id") * STEP).alias("us"), points.cast("long").alias("points"), telling.alias("telling"),
         F.coalesce(F.col("source").endswith("0"), F.lit(False)).alias("private"), F.array_contains(tags, "question").alias("asking"), T.terms(F.col("t"), 11).alias("terms"), domains.alias("domains"), tags.alias("topics"),

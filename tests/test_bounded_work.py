@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parley.functions import text
 from parley.operators import mentions as spans_of
 from parley.operators import contract, events, graph, model, nearest, ordered, overlaps, phrases, segments
+from parley.plans import events as event_plans
 from parley.plans import profiled
 
 
@@ -160,3 +161,9 @@ def test_links_that_lie_together_take_no_rounds(spark, monkeypatch):
         assert {r["id"] for r in contract.cycle_members(known.union(ends).coalesce(1)).collect()} == ring
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_classes_of_items_are_looked_for_once(spark, tmp_path):
+    """Five classes, four domains and the rule of decisions: the score looks for no class again."""
+    spark.createDataFrame([(1, "We approve the license of 10.0.0.1", "s0", "en")], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert event_plans.items(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 10
