@@ -16,6 +16,7 @@ Repeated rows are judged each; an empty table gives no rows. Only doc_id and tex
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import staged
 
-SPACE = "[ \\t-\\r]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -31,55 +31,75 @@ NO_LETTERS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 KEEP = 0.5
 ROUNDS = 50
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks", "n_ends", "n_other")
+#: Low bits of a window's key that hold its start; those above hold bits of its hash.
+START_BITS = 31
 
 
 def word_list(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    """Words, split without a character class: regular expressions with several of these at once slow each other down."""
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def _counted(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
-def repeated_words(windows: Column, n_words: Column) -> Column:
+def window_keys(words: Column, hashed: Callable[..., Column] = F.xxhash64) -> Column:
+    """A sorted number for each 3-word window: bits of its hash, then its start. Numbers sort without a comparison that Spark
+    would interpret, and windows of equal text stand together."""
+    of = lambda w, i: hashed(w, F.get(words, i + 1), F.get(words, i + 2))
+    return F.sort_array(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: of(w, i).bitwiseAND(F.lit(-(1 << START_BITS))).bitwiseOR(i.cast("long"))))
+
+
+def repeat_candidates(keys: Column, words: Column) -> Column:
+    """Sorted structs (w, i) of text and start of the windows that share the bits of their hash with another: all windows that
+    occur twice or more, and by chance some that do not."""
+    bits = lambda key: F.shiftright(key, START_BITS)
+    same = lambda key, k: F.coalesce(bits(key) == bits(F.get(keys, k)), F.lit(False))
+    starts = F.transform(F.filter(keys, lambda key, k: same(key, k - 1) | same(key, k + 1)), lambda key: key.bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int"))
+    return F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))))
+
+
+def repeated_words(windows: Column) -> Column:
     """Words inside 3-word windows that occur twice or more. ``windows``: sorted structs (w, i) of
-    window text and start."""
+    window text and start, all those of a text that occurs twice among them."""
     size = F.size(windows)
     at = F.sequence(F.lit(1), size)
     same = lambda k: F.element_at(windows, k)["w"] == F.element_at(windows, k + 1)["w"]
-    starts = F.array_sort(F.transform(F.filter(at, lambda k: F.coalesce((k > 1) & same(k - 1), F.lit(False)) | F.coalesce((k < size) & same(k), F.lit(False))), lambda k: F.element_at(windows, k)["i"]))
+    starts = F.sort_array(F.transform(F.filter(at, lambda k: F.coalesce((k > 1) & same(k - 1), F.lit(False)) | F.coalesce((k < size) & same(k), F.lit(False))), lambda k: F.element_at(windows, k)["i"]))
     covered = F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, s: F.struct((a["n"] + F.least(F.lit(3), s - a["last"])).alias("n"), s.alias("last")))
     return F.when(size < 2, F.lit(0).cast("long")).otherwise(covered["n"])
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and STATISTICS of every document, without a shuffle."""
+def statistics(docs: DataFrame, hashed: Callable[..., Column] = F.xxhash64) -> DataFrame:
+    """doc_id and STATISTICS of every document, without a shuffle. No statistic depends on ``hashed``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    # What is neither a letter of a-z nor white space, a small part of a text, is what most counts need.
-    rest = F.translate("text", UPPER + UPPER.lower() + SPACES, "")
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", word_list(F.col("text")).alias("words"), lines.alias("lines"), rest.alias("rest"))
-    windows = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))),
-            lambda i: F.struct(F.concat_ws(" ", F.get("words", i - 1), F.get("words", i), F.get("words", i + 1)).alias("w"), i.cast("int").alias("i")),
-        )
-    )
+    lines = F.filter(F.split("text", "\n"), lambda x: F.ltrim(x, F.lit(SPACES)) != "")
+    # What is neither a letter of a-z nor white space, a small part of a text, is what most counts need; capitals are
+    # counted on the way to it.
+    capitals = F.translate("text", UPPER.lower() + SPACES, "")
+    rows = docs.select("doc_id", text.alias("text")).select("doc_id", word_list(F.col("text")).alias("words"), lines.alias("lines"), capitals.alias("capitals"))
+    rows = rows.select("doc_id", "words", "lines", "capitals", F.translate("capitals", UPPER, "").alias("rest"))
     rows = rows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _counted(F.col("rest"), SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        _counted(F.col("text"), UPPER).alias("n_upper"),
+        (F.length("capitals") - F.length("rest")).cast("long").alias("n_upper"),
         _counted(F.col("rest"), "!?").alias("n_marks"),
         _counted(F.col("rest"), ".!?").alias("n_ends"),
         _counted(F.col("rest"), NO_LETTERS).alias("n_other"),
-        F.when(F.size("words") > 3, windows).otherwise(F.array().cast("array<struct<w:string,i:int>>")).alias("windows"),
+        "words",
+        window_keys(F.col("words"), hashed).alias("keys"),
     )
-    return rows.select("doc_id", *[c for c in STATISTICS if c != "n_repeat_words"], repeated_words(F.col("windows"), F.col("n_words")).alias("n_repeat_words")).select("doc_id", *STATISTICS)
+    counted = [c for c in STATISTICS if c != "n_repeat_words"]
+    rows = rows.select("doc_id", *counted, repeat_candidates(F.col("keys"), F.col("words")).alias("windows"))
+    return rows.select("doc_id", *counted, repeated_words(F.col("windows")).alias("n_repeat_words")).select("doc_id", *STATISTICS)
 
 
 def _ratio(a: str, b: str) -> Column:

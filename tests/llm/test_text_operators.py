@@ -127,6 +127,25 @@ def test_quality_rules_base(frame, odd_texts):
     assert quality_rules.quality_rules(frame([])).count() == 0
 
 
+def test_quality_rules_windows(frame, odd_texts):
+    """Statistics are exact whatever bits of hashes windows share, and nothing is sorted by an interpreted comparison."""
+    rng = random.Random(11)
+    texts = odd_texts + [(100 + i, rng.choice(["", " ", "\r\n"]).join(["".join(rng.choice(["a", "b", "\u00e9", "\U0001f600", "A", "1", "!", " ", "  ", "\t", "\n", "\x0b\x0c", "\r", "\u00a0", "\u2028", "\x1c"]) for _ in range(rng.randint(0, 60))) for _ in range(2)])) for i in range(150)]
+    texts += [(300, "x " * 500), (301, "a b c d " * 3), (302, "a b c"), (303, "a b c a b c"), (304, prose(rng, 400)), (305, "ab c d a bc d ab c d")]
+    assert "array_sort" not in quality_rules.statistics(frame(texts))._jdf.queryExecution().optimizedPlan().toString()
+    for hashed in (F.xxhash64, lambda *words: F.lit(0).cast("long"), lambda *words: F.shiftleft(F.xxhash64(*words), 61)):
+        stats = quality_rules.statistics(frame(texts), hashed)
+        rows = stats.collect()
+        assert len(rows) == len(texts)
+        got = {r["doc_id"]: r for r in rows}
+        for i, t in texts:
+            t, r = t or "", got[i]
+            words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_rules(t)
+            count = lambda pattern: len(re.findall(pattern, t))
+            assert (r["n_lines"], r["n_distinct"], r["n_upper"], r["n_marks"], r["n_ends"], r["n_other"]) == (len(lines), len(set(words)), count("[A-Z]"), count("[!?]"), count("[.!?]"), count("[!-@\\[-`{-~]"))
+
+
 def test_label_model_recovers_rule_accuracy(spark):
     rng = random.Random(2)
     accuracy = {"a": 0.95, "b": 0.8, "c": 0.7, "d": 0.55}
