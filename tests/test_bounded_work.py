@@ -74,6 +74,51 @@ def test_small_parts_of_ordered_groups_take_no_rounds(spark, monkeypatch):
     assert dict(ordered.ordered_groups(df, ordered.overlap_rule(50), 8).collect()) == want and len(rounds) <= 2
 
 
+class Batches:
+    """Stands for a frame whose batches go through a step in this process."""
+
+    def repartition(self, *a):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, step, schema):
+        return step
+
+
+def test_certain_rows_of_ordered_groups_go_by_arrays(monkeypatch):
+    """Rows that bring the first group nothing new are no objects of the loop; decisions stay those of the loop."""
+    calls, rng, rule = [], random.Random(5), ordered.overlap_rule(50)
+    monkeypatch.setattr(ordered.Loop, "decided", lambda self, *a, f=ordered.Loop.decided: calls.append(1) or f(self, *a))
+    rows = [(part, 10 * i + part, sorted(rng.sample(range(100 * part, 100 * part + 12), 1 + i % 4)) + [None] * (i % 50 == 0)) for part, n in enumerate([3_000, 5, 200, 2]) for i in range(n)]
+    columns = {c: [r[k] for r in rows] for k, c in enumerate(["part", "id", "refs"])}
+    n = len(rows)
+    batch = pa.RecordBatch.from_pydict(columns | {"kind": [1] * n, "m": [len(r[2]) for r in rows]} | {c: [[]] * n for c in ("since", "topics", "any_domain", "all_domains")}, pa.schema([("part", pa.int64()), ("id", pa.int64()), ("refs", pa.list_(pa.int64())), ("kind", pa.int32()), ("m", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("since", "topics", "any_domain", "all_domains"))]))
+    found = {}
+    for out in ordered._looped(Batches(), rule)(iter(batch.slice(k, 700) for k in range(0, n, 700))):
+        found |= dict(zip(*(c.to_pylist() for c in out.columns)))
+    assert len(calls) < 1_300
+    want = {}
+    for part in range(4):
+        want |= dict(ordered.decided_in_order([(pos, ordered.Group(dict.fromkeys(refs, pos), (), (), ())) for p, pos, refs in rows if p == part], {}, rule))
+    assert found == want and len(set(want.values())) > 4
+
+
+def test_parts_of_certain_joins_take_no_rounds(spark, monkeypatch):
+    """A part of more than 20,000 rows whose rule says what is certain is decided by one pass of the loop."""
+    monkeypatch.setattr(ordered, "_free", None)
+    rows, rule = [(i, [i % 7, i % 11 + 7]) for i in range(25_000)], ordered.overlap_rule(50)
+    want = dict(ordered.decided_in_order([(p, ordered.Group(dict.fromkeys(r, p), (), (), ())) for p, r in rows], {}, rule))
+    df = spark.range(25_000).selectExpr("id AS pos", "array(id % 7, id % 11 + 7) AS refs")
+    assert dict(ordered.ordered_groups(df, rule).collect()) == want
+
+
+def test_first_rows_of_parts(spark):
+    df = spark.createDataFrame([(p, 3 * i + p, [i]) for p, n in ((1, 500), (2, 40), (7, 39)) for i in range(n)], "part long, pos long, refs array<long>").repartition(5)
+    got = sorted((r["part"], r["pos"]) for r in ordered._first(df, 40).collect())
+    assert got == [(p, 3 * i + p) for p, n in ((1, 40), (2, 40), (7, 39)) for i in range(n)]
+
+
 def test_packets_of_draws_are_decided_without_links(spark, monkeypatch):
     """Packets are parts by themselves: no search for linked findings, whatever their number."""
     monkeypatch.setattr(ordered, "components", None)
