@@ -332,7 +332,8 @@ def sums(model: dict[int, Trees], blocks: Iterable[Block]) -> Sums:
         at = np.searchsorted(nodes, place).clip(max=len(nodes) - 1)
         here = nodes[at] == place
         cell = ((at[here, None] * width + np.arange(width)) * BINS + binned[here]).ravel()
-        g, h = (np.bincount(cell, np.repeat((np.rint(v * UNIT) * n)[here], width), len(nodes) * width * BINS) for v in (y - p, p * (1 - p)))
+        # Of no rows bincount makes integers, whatever the weights.
+        g, h = (np.bincount(cell, np.repeat((np.rint(v * UNIT) * n)[here], width), len(nodes) * width * BINS).astype(float) for v in (y - p, p * (1 - p)))
         for node, a, b in zip(trees.open, g.reshape(len(nodes), width, BINS), h.reshape(len(nodes), width, BINS)):
             if (kind, node) in out:
                 out[kind, node][0][:] += a

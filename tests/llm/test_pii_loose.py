@@ -5,6 +5,8 @@ import math
 import random
 import time
 
+import numpy as np
+
 from parley.llm import pii
 
 
@@ -153,3 +155,12 @@ def test_trees_do_not_depend_on_how_candidates_are_dealt(frame, monkeypatch):
     got = pii.fit(docs.repartition(7), rounds=300)
     assert len(want.trees) == 5 and want.thresholds and got.thresholds == want.thresholds
     assert {k: t.trees for k, t in got.trees.items()} == {k: t.trees for k, t in want.trees.items()}
+
+
+def test_blocks_without_rows_of_open_nodes_are_summed():
+    """A first block that has no rows in the open nodes of its kind takes nothing from the others."""
+    trees = pii.Trees.begun([[0.5]], 2, 4)
+    trees.trees, trees.open = [[(0, 0, 1, 2), 0.1, 0.2]], [2]
+    blocks = [(0, np.full((3, 1), bins, np.uint8), np.array([True, False, False]), np.ones(3), np.zeros(3)) for bins in (0, 1, 1)]
+    (g, h), (g1, h1) = (pii.sums({0: trees}, part)[0, 2] for part in (blocks, blocks[1:2]))
+    assert np.allclose(g, 2 * g1) and np.allclose(h, 2 * h1) and h[0, 1] > 0
